@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
+from lodestone.llm.packing import op5_sum_of_squares_packing
+from lodestone.llm.quality import op8_quality_cascade
 from lodestone.llm.token_counts import op3_token_counts
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
+    "op8_quality_cascade": op8_quality_cascade,
+    "op9_schema_fingerprint_chat": op9_schema_fingerprint_chat,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_schema_fingerprint_chat": OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
