@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
 from lodestone.llm.packing import op5_sum_of_squares_packing
+from lodestone.llm.piece_bpe import op6_backtracking_pieces
 from lodestone.llm.quality import op8_quality_cascade
 from lodestone.llm.token_counts import op3_token_counts
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
+    "op6_backtracking_pieces": op6_backtracking_pieces,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_schema_fingerprint_chat": op9_schema_fingerprint_chat,
 }
