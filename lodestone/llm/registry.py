@@ -6,6 +6,7 @@ from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
 from lodestone.llm.packing import op5_sum_of_squares_packing
 from lodestone.llm.piece_bpe import op6_backtracking_pieces
 from lodestone.llm.quality import op8_quality_cascade
+from lodestone.llm.simhash import op10_simhash_multi_index
 from lodestone.llm.token_counts import op3_token_counts
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_backtracking_pieces": op6_backtracking_pieces,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_schema_fingerprint_chat": op9_schema_fingerprint_chat,
+    "op10_simhash_multi_index": op10_simhash_multi_index,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_schema_fingerprint_chat": OP9_SQL,
