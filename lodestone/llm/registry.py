@@ -8,8 +8,10 @@ from lodestone.llm.piece_bpe import op6_backtracking_pieces
 from lodestone.llm.quality import op8_quality_cascade
 from lodestone.llm.simhash import op10_simhash_multi_index
 from lodestone.llm.token_counts import op3_token_counts
+from lodestone.llm.toxicity import op1_noisy_channel_toxicity
 
 QUERIES = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     "op6_backtracking_pieces": op6_backtracking_pieces,
