@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
 from lodestone.llm.packing import op5_sum_of_squares_packing
+from lodestone.llm.personal_data import op4_disclosure_spans
 from lodestone.llm.piece_bpe import op6_backtracking_pieces
 from lodestone.llm.quality import op8_quality_cascade
 from lodestone.llm.simhash import op10_simhash_multi_index
@@ -13,6 +14,7 @@ from lodestone.llm.toxicity import op1_noisy_channel_toxicity
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_disclosure_spans": op4_disclosure_spans,
     "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     "op6_backtracking_pieces": op6_backtracking_pieces,
     "op8_quality_cascade": op8_quality_cascade,
