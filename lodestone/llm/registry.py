@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
+from lodestone.llm.media_chunks import op7_chunked_media
 from lodestone.llm.packing import op5_sum_of_squares_packing
 from lodestone.llm.personal_data import op4_disclosure_spans
 from lodestone.llm.piece_bpe import op6_backtracking_pieces
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_disclosure_spans": op4_disclosure_spans,
     "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     "op6_backtracking_pieces": op6_backtracking_pieces,
+    "op7_chunked_media": op7_chunked_media,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_schema_fingerprint_chat": op9_schema_fingerprint_chat,
     "op10_simhash_multi_index": op10_simhash_multi_index,
