@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.chat_format import OP9_SQL, op9_schema_fingerprint_chat
+from lodestone.llm.context_mixing import op2_context_mixing
 from lodestone.llm.media_chunks import op7_chunked_media
 from lodestone.llm.packing import op5_sum_of_squares_packing
 from lodestone.llm.personal_data import op4_disclosure_spans
@@ -14,6 +15,7 @@ from lodestone.llm.toxicity import op1_noisy_channel_toxicity
 
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
+    "op2_context_mixing": op2_context_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_disclosure_spans": op4_disclosure_spans,
     "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
