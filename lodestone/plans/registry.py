@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import activity, corpus_build
+
+JOBS = (activity, corpus_build)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for job in JOBS for name, q in job.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for job in JOBS for name, sql in job.ORACLE_SQL.items()}
