@@ -92,5 +92,5 @@ def front_matter(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---\n", 1)
     key = lambda k: F.nullif(F.trim(F.regexp_extract(block, rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
-    themes = F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(key("themes"), F.lit("")), r"[\[\]]", ""), ","), F.trim), lambda x: x != ""))
+    themes = F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(key("themes"), F.lit("")), r"[\[\]]", ""), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return docs.select("doc_id", key("title").alias("title"), key("date").alias("date"), themes.alias("themes"), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n", "").alias("prose"))

@@ -57,7 +57,7 @@ def bm25(terms: DataFrame, docs: DataFrame, fields: dict[str, float], max_df_sha
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).filter(F.col("df") <= F.col("n") * max_df_share).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return asked.join(weights, "term").join(tf, "term").groupBy(*keys, "doc_id").agg(F.sum(part).alias("score"))
+    return asked.join(weights, "term").join(tf, "term").groupBy(*keys, "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def floored(scored: DataFrame, least: float, relative: float, keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
@@ -133,7 +133,7 @@ def diverse_pick(ranked: DataFrame, pinned: list[str], k: int) -> DataFrame:
 def age_months(date: Column, as_of: Column) -> Column:
     """Whole calendar months between two days, at least 0; 120 for an unknown date."""
     months = (F.year(as_of) - F.year(date)) * 12 + F.month(as_of) - F.month(date) - (F.day(as_of) < F.day(date)).cast("int")
-    return F.coalesce(F.greatest(months, F.lit(0)), F.lit(120)).cast("long")
+    return F.when(date.isNull(), 120).otherwise(F.greatest(months, F.lit(0))).cast("long")
 
 
 def freshness(months: Column) -> Column:

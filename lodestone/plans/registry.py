@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import activity, conversations, corpus_build, live, retrieval, snapshots
+from lodestone.plans import activity, conversations, corpus_build, evidence, live, retrieval, snapshots
 
-JOBS = (activity, corpus_build, retrieval, conversations, snapshots, live)
+JOBS = (activity, corpus_build, retrieval, conversations, snapshots, live, evidence)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for job in JOBS for name, q in job.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for job in JOBS for name, sql in job.ORACLE_SQL.items()}

@@ -140,7 +140,7 @@ VARIANTS = f"""raw AS (SELECT item_id AS question_id, 0 AS p, text AS query FROM
 fresh AS (SELECT * FROM raw WHERE trim(query) <> '' QUALIFY row_number() OVER (PARTITION BY question_id, lower(trim(query)) ORDER BY p) = 1),
 variants AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY p) AS pos, query FROM fresh QUALIFY pos <= 3)"""
 VARIANT_TERMS = f"asked AS (SELECT question_id, pos, unnest(list_distinct({content_sql('query')})) AS term, 1.0 AS weight FROM variants)"
-SCORED = """scored AS (SELECT question_id, pos, doc_id, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+SCORED = """scored AS (SELECT question_id, pos, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
   FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), stats WHERE df <= n * 0.5 GROUP BY ALL)"""
 VOCABULARY = f"vocabulary AS (SELECT DISTINCT unnest({content_sql('text')}) AS word FROM documents)"
 
