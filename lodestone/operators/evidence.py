@@ -156,3 +156,40 @@ def merged_prose(pairs: DataFrame) -> DataFrame:
     known = F.transform(sentences(longer), t.normal_question)
     fresh = F.filter(sentences(other), lambda s: (t.normal_question(s) != "") & ~F.array_contains(known, t.normal_question(s)))
     return pairs.select("key", F.concat_ws(" ", longer, F.nullif(F.array_join(fresh, " "), F.lit(""))).alias("prose"))
+
+
+def angles(candidates: DataFrame, seed: int, limit: int = 4) -> DataFrame:
+    """question_id, theme, place, lead: the first row's theme of each question and on, at most `limit`; one, by the hash of
+    question and seed, leads."""
+    first = candidates.groupBy("question_id", "theme").agg(F.min("rank").alias("rank"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")).cast("long")).filter(F.col("place") <= limit)
+    n = F.count("*").over(Window.partitionBy("question_id"))
+    return placed.withColumn("lead", F.pmod(F.xxhash64("question_id", F.lit(seed)), n) + 1 == F.col("place")).select("question_id", "theme", "place", "lead")
+
+
+def broad_pick(candidates: DataFrame, seed: int, limit: int) -> DataFrame:
+    """question_id, doc_id, rank, place: the leading theme's first row, the first of every other theme, then by rank; rows on
+    the question's subject, then primaries, take the place of later ones that are neither."""
+    lead = angles(candidates, seed).filter("lead").select("question_id", F.col("theme").alias("lead_theme"))
+    rows = candidates.join(lead, "question_id").select("question_id", "doc_id", F.col("rank").cast("long").alias("rank"), "theme", "tier", "on_subject", "lead_theme")
+
+    def swap(chosen: list, rest: list, wanted, keep) -> None:
+        for r in (r for r in rest if wanted(r) and r not in chosen):
+            at = next((k for k in range(len(chosen) - 1, 0, -1) if not keep(chosen[k])), None)
+            if at is not None:
+                chosen[at] = r
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = list(group.sort_values(["rank", "doc_id"]).itertuples(index=False))
+        first = next(r for r in ordered if r.theme == r.lead_theme)
+        chosen, themes = [first], {first.theme}
+        for r in ordered:
+            if r.theme not in themes and len(chosen) < limit:
+                themes.add(r.theme)
+                chosen.append(r)
+        chosen += [r for r in ordered if r not in chosen][: limit - len(chosen)]
+        swap(chosen, ordered, lambda r: r.on_subject, lambda r: r.on_subject)
+        swap(chosen, ordered, lambda r: r.tier == "primary", lambda r: r.tier == "primary")
+        return pd.DataFrame([(r.question_id, r.doc_id, r.rank, n + 1) for n, r in enumerate(chosen)], columns=["question_id", "doc_id", "rank", "place"])
+
+    return rows.groupBy("question_id").applyInPandas(walk, KEPT)

@@ -161,3 +161,19 @@ def question_shape(question: Column, rules: list[tuple[str, str]]) -> Column:
 
 def vetoed(question: Column, pattern: str, veto: str) -> Column:
     return question.rlike(pattern) & ~question.rlike(veto)
+
+
+def expanded(questions: DataFrame, phrases: list[tuple[str, str]], heads: list[tuple[str, str]]) -> DataFrame:
+    """question_id, query: short queries beside the question: for each phrase rule (pattern, phrase) that it meets without
+    holding the phrase, and for the first head rule; else, of three content words or more, the first of four letters."""
+    q = F.col("question")
+    added = [F.when(q.rlike(p) & ~F.contains(F.lower(q), F.lit(x.lower())), x) for p, x in phrases]
+    first = F.coalesce(*(F.when(q.rlike(p), x) for p, x in heads), F.when(F.size(t.content_words(q)) >= 3, F.get(F.filter(t.content_words(q), lambda w: F.length(w) > 3), 0)))
+    return questions.select("question_id", F.explode(F.array_distinct(F.array_compact(F.array(*added, first)))).alias("query"))
+
+
+def reply_skips(questions: DataFrame) -> DataFrame:
+    """question_id, courtesy, bare, short: questions that need no rewriting, that are a single word, or up to three words."""
+    key = t.normal_question(F.col("question"))
+    n = F.size(F.filter(F.split(key, " "), lambda w: w != ""))
+    return questions.select("question_id", key.rlike(r"^(thanks|thank you|hello|hi|ok|okay|great|merci|danke|gracias)( .{0,12})?$").alias("courtesy"), (n == 1).alias("bare"), (n <= 3).alias("short"))
