@@ -124,7 +124,8 @@ def store_media(docs: DataFrame, listed: DataFrame) -> DataFrame:
     are shared is found by joins of digests alone; of the payloads one copy of each media is shuffled once, compressed.
     """
     media = written(listed.groupBy("media_sha256").agg(F.min("doc_id").alias("doc_id"), F.first("digests").alias("digests")), "media")
-    each = media.select("media_sha256", F.explode(F.array_distinct("digests")).alias("digest"))
+    # the header, which all media of one length have, stays with each media: 44 bytes aren't worth a fetch
+    each = media.select("media_sha256", F.explode(F.array_distinct(F.slice("digests", 2, 1 << 30))).alias("digest"))
     shared = written(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("media_sha256").alias("keeper")).filter("n > 1").select("digest", "keeper"), "shared")
     held = each.join(shared, "digest").select("media_sha256", F.struct("digest", (F.col("keeper") == F.col("media_sha256")).alias("keeps")).alias("role"))
     roles = written(held.groupBy("media_sha256").agg(F.collect_list("role").alias("roles")), "roles")
@@ -162,7 +163,7 @@ def rebuilt(store: DataFrame) -> DataFrame:
     bytes and the shared chunks that they ask for meet by media."""
     own = store.filter("kind = 'own'")
     some = own.filter("not complete")
-    asked = some.select("media_sha256", F.explode(F.array_distinct("digests")).alias("digest"))
+    asked = some.select("media_sha256", F.explode(F.array_distinct(F.slice("digests", 2, 1 << 30))).alias("digest"))
     kept = store.filter("kind = 'shared'").select("digest", "data").dropDuplicates(["digest"])
     parts = asked.join(kept, "digest").select("media_sha256", "digest", "data", F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("lengths"))
     rows = some.select("media_sha256", "digest", "data", "digests", "lengths").unionByName(parts)
