@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import attribution, conversations as ops
-from lodestone.plans.retrieval import DELETED, FIELDS, QUESTIONS, SCORED, STOP, TEXT, docs_sql, words_sql  # noqa: F401
+from lodestone.plans.retrieval import QUESTIONS, SCORED, STOP, TEXT, content_sql, docs_sql, stem_sql, words_sql
 from lodestone.plans.retrieval import top_passages as passages
 from lodestone.sources.tables import corpus, questions, table
 
@@ -88,7 +88,13 @@ KEY = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}\\s]
 USE = lambda x: f"list_filter({words_sql(x)}, lambda w: length(w) >= 4 AND NOT list_contains([{STOP}], w))"
 TOP3 = f"""WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, kept AS (SELECT * FROM scored QUALIFY score >= max(score) OVER (PARTITION BY question_id) * 0.25),
 best AS (SELECT question_id AS answer_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS n, doc_id FROM kept QUALIFY n <= 3)"""
+FOLD = lambda x: f"translate(lower({x}), '{ops.FOLDED[0]}', '{ops.FOLDED[1]}')"
 ORACLE_SQL = {
+    "thread_search": f"""WITH {VALID}, q AS (SELECT r_regionkey AS query_id, list_distinct(list_filter(string_split_regex({FOLD("lower(left(r_name, 2)) || ' ent'")}, '\\s+'), lambda x: x <> '')) AS terms FROM region),
+f AS (SELECT query_id, conv_id, turn, text, terms, list_filter(terms, lambda x: contains({FOLD('text')}, x)) AS found FROM m, q),
+h AS (SELECT *, list_min(list_transform(found, lambda x: strpos({FOLD('text')}, x))) AS p FROM f WHERE len(found) > 0),
+g AS (SELECT query_id, conv_id, any_value(terms) AS terms, list_distinct(flatten(list(found))) AS found, min(turn) AS turn, arg_min(substr(text, greatest(p - 52, 1), 104), turn) AS snippet FROM h GROUP BY ALL)
+SELECT query_id, conv_id, turn, snippet FROM g WHERE len(found) = len(terms)""",
     "thread_messages": f"WITH {VALID} SELECT conv_id, turn, role, regexp_replace(text, '\\s?\\[[0-9]+\\]', '', 'g') AS text FROM m QUALIFY trim(text) <> '' OR turn = max(turn) OVER (PARTITION BY conv_id)",
     "thread_context": f"WITH {VALID}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m) SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC))::BIGINT AS used FROM b WHERE back > 1 QUALIFY back <= 5 AND used <= 1500",
     "thread_prior_questions": f"WITH {VALID} SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM m WHERE role = 'user'",
@@ -103,6 +109,10 @@ s AS (SELECT answer_id, n, answer, len(list_intersect(list_distinct(ct), ta)) +
 SELECT answer_id, n, usage::BIGINT AS usage, usage >= 3 OR NOT bool_or(usage >= 3) OVER (PARTITION BY answer_id) OR count(*) OVER (PARTITION BY answer_id) < 2 OR trim(answer) = '' AS kept FROM s""",
     "answer_provenance": f"""{TOP3}, k AS (SELECT answer_id, list_distinct(list(lang)) AS classes FROM best JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT item_id AS answer_id, CASE WHEN length(text) < 60 THEN 'general' WHEN len(classes) = 1 THEN classes[1] WHEN len(classes) > 1 THEN 'mixed' ELSE 'none' END AS provenance FROM benchmark LEFT JOIN k ON answer_id = item_id""",
+    "follow_ups": f"""{TOP3}, c AS (SELECT answer_id, n, 'What about ' || trim(title) || '?' AS suggestion, title, question, list_filter(list_transform({content_sql('title')}, lambda w: {stem_sql('w')}), lambda w: length(w) >= 3)[1] AS subject
+  FROM (SELECT answer_id, n, substr(string_split(d.text, chr(10))[1], 1, 120) AS title, q.text AS question FROM best JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = answer_id)),
+k AS (SELECT * FROM c WHERE length(suggestion) <= 90 AND subject IS NOT NULL AND {KEY.replace('text', 'title')} <> {KEY.replace('text', 'question')} QUALIFY row_number() OVER (PARTITION BY answer_id, subject ORDER BY n) = 1)
+SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY n) AS place, suggestion FROM k QUALIFY place <= 3""",
     "source_labels": """WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT page_id, CASE WHEN host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org') THEN 'Spam' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'Example Trust' WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'Example Commerce' ELSE coalesce(string_split(host, '.')[-2], host) END AS label FROM h""",
 }

@@ -96,7 +96,7 @@ def question_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_terms(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("question_id", F.array_join(t.subject_terms(F.col("question")), " ").alias("terms"))
+    return questions(spark, d).select("question_id", F.array_join(F.array_sort(t.subject_terms(F.col("question"))), " ").alias("terms"))
 
 
 def seeded_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -177,5 +177,6 @@ c AS (SELECT r.*, source, row_number() OVER (PARTITION BY question_id, source OR
 SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN c > 1 THEN 2 WHEN source = 'src1' THEN 0 ELSE 1 END, rank) AS place FROM c QUALIFY place <= 7""",
     "order_freshness": f"WITH m AS (SELECT o_orderkey, {MONTHS} AS months FROM orders) SELECT o_orderkey, months, CASE WHEN months > 18 THEN 'dated' WHEN months <= 6 THEN 'current' ELSE 'ageing' END AS freshness, round(CASE WHEN months <= 0 THEN 1.0 ELSE pow(2.0, -months / 12.0) END, 6) AS weight FROM m",
     "question_shapes": f"""SELECT item_id AS question_id, CASE {' '.join(f"WHEN regexp_matches(text, '{p}') THEN '{s}'" for p, s in SHAPES)} ELSE 'general' END AS shape, regexp_matches(text, '(?i)\\bthe\\b') AND NOT regexp_matches(text, '(?i)\\bfrom\\b') AS topical, len({words_sql('text')}) > 40 AS broad, len({words_sql('text')}) <= 6 AS short FROM benchmark""",
+    "question_terms": f"SELECT item_id AS question_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({content_sql('text')}, lambda w: {stem_sql('w')}), lambda w: length(w) >= 3))), ' ') AS terms FROM benchmark",
     "unseen_questions": f"WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED} SELECT item_id AS question_id FROM benchmark WHERE item_id NOT IN (SELECT question_id FROM scored WHERE score >= 60)",
 }
