@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, slices, whole_text, written
+from lodestone.llm.common import documents, shuffles_dropped, slices, whole_text, written
 
 PAD, RATE = 64, 8000
 #: A cut falls where these bits of the rolling gear hash are zero (1 in 4096 places), not within LEAST bytes of the last, and
@@ -216,8 +216,9 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     A null text is empty (64 zero bytes), null and repeated ids keep their rows, an empty table gives none. Equal texts are
     one media: they are stored and rebuilt once."""
-    listed = written(manifests(docs), "manifests")
-    got = written(rebuilt(store_media(docs, listed)), "rebuilt")
+    with shuffles_dropped(docs.sparkSession):  # each step's result is a written table
+        listed = written(manifests(docs), "manifests")
+        got = written(rebuilt(store_media(docs, listed)), "rebuilt")
     return listed.select("doc_id", "n_bytes", "media_sha256").join(got, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
