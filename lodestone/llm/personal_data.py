@@ -23,8 +23,10 @@ SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 #: Code points before and after a protected entity in which terms are looked for.
 CONTEXT = 80
-#: Letters a term has at least; texts in which it must stand by the entity at least.
-TERM_LETTERS, LEAST_TEXTS = 4, 2
+#: Letters a term has at least; texts in which it must stand by the entity at least (one: no term is left out).
+TERM_LETTERS, LEAST_TEXTS = 4, 1
+#: Further occurrences of a term, not seen, that its p(e|t) is estimated with; beside the entity by chance only.
+UNSEEN = 1
 #: Share of an entity's information that a term must give away to be generalised, and to be removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -104,8 +106,8 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """digest, start, end, share: terms beside protected entities that give away at least GENERALISE of their information.
 
     From counts over all texts: p(e) is the entity's share of all words, p(e|t) the share of the term's occurrences that
-    stand beside the entity. The term gives log2(p(e|t) / p(e)) of the entity's -log2(p(e)) bits. A term must stand beside
-    an entity in LEAST_TEXTS different texts, as one alone says nothing of a link.
+    stand beside the entity, smoothed by UNSEEN more. The term gives log2(p(e|t) / p(e)) of the entity's -log2(p(e)) bits.
+    All pairs count, also those of one text: a rare name beside an address reveals it there.
     """
     rows = found.filter("around is not null").select("digest", F.explode("around").alias("a"))
     entities = rows.groupBy(F.col("a.entity").alias("entity")).agg(F.count("*").alias("n_e"))
@@ -114,8 +116,9 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(whole_text()), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}+"), F.lit(0))).alias("term"))
     counts = written(words.groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     total = counts.agg(F.sum("n_t").alias("n"))
-    pairs = places.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count_distinct("digest").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
-    p_e, p_e_t = F.least(F.col("n_e") / F.col("n"), F.lit(1.0)), F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
+    pairs = places.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
+    p_e = F.least(F.col("n_e") / F.col("n"), F.lit(1.0))
+    p_e_t = F.least((F.col("n_te") + UNSEEN * p_e) / (F.col("n_t") + UNSEEN), F.lit(1.0))
     share = F.when(p_e < 1, F.log2(p_e_t / p_e) / -F.log2(p_e)).otherwise(0.0)
     told = pairs.join(counts, "term").join(entities, "entity").join(F.broadcast(total)).withColumn("share", share).filter(F.col("share") >= GENERALISE).select("entity", "term", "share")  # total: one row
     told = written(told, "told")
