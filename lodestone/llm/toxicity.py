@@ -38,8 +38,12 @@ _sign = re.escape("".join(LEET)) + re.escape("".join(sorted(SEPARATORS)))
 _INSIDE = rf"\p{{L}}[{_sign}]+\p{{L}}|^[{re.escape(''.join(LEET))}]+\p{{L}}|\p{{L}}[0134578@$!|+€]+"
 _TRIPLE = "|".join(f"{c}{{3}}" for c in sorted(LETTERS))
 HIDDEN = f"{_INSIDE}|{_TRIPLE}"
-#: These never hide a word: addresses, links, plain numbers with units.
-PLAIN = r"@[^.]*\.|://|^www\.|^[0-9.,:+-]*\p{L}{0,2}$"
+#: Twice the same letter: hidden where the character model finds another reading likelier than the word.
+DOUBLED = "|".join(f"{c}{{2}}" for c in sorted(LETTERS))
+#: These never hide a word: links, plain numbers with units; and, without the punctuation around them, whole addresses
+#: (at most 64 characters before the @, as mail has it).
+PLAIN = r"://|^www\.|^[0-9.,:+-]*\p{L}{0,2}$"
+ADDRESS = r"^[\p{L}0-9._%+-]{1,64}@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}$"
 
 
 @dataclass
@@ -110,6 +114,20 @@ def decode(word: str, model: CharModel, spaced: bool = False) -> list[str]:
     return [read.strip() for _, read in sorted(ends, key=lambda x: (-x[0], x[1]))[:BEST]]
 
 
+def readings(word: str, model: CharModel) -> list[str]:
+    """As decode; what is longer than one hidden word is taken as several, in overlapping stretches."""
+    if len(word) <= LONGEST:
+        return decode(word, model)
+    parts = (word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2))
+    return list(dict.fromkeys(w for part in parts for read in decode(part, model, spaced=True) for w in read.split()))
+
+
+def likelier(word: str, model: CharModel) -> list[str]:
+    """The readings that the model finds likelier than the word itself."""
+    found = readings(word, model)
+    return found[: found.index(word)] if word in found else found
+
+
 def stripped(word: str) -> str:
     return word.strip(".,;:?\"()[]{}'“”«»…")
 
@@ -123,12 +141,15 @@ class Restored:
         self.codes, distinct = coded(values)
         words = distinct.to_pylist()
         self.readings: list[list[str]] = [[stripped(w)] for w in words]
-        hidden = pc.and_(pc.match_substring_regex(distinct, HIDDEN), pc.invert(pc.match_substring_regex(distinct, PLAIN))).to_numpy(zero_copy_only=False)
-        for k in np.flatnonzero(hidden).tolist():
+        bare = pa.array([r[0] for r in self.readings], pa.string())
+        plain = pc.or_(pc.match_substring_regex(distinct, PLAIN), pc.match_substring_regex(bare, ADDRESS))
+        hidden = pc.and_(pc.match_substring_regex(distinct, HIDDEN), pc.invert(plain)).to_numpy(zero_copy_only=False)
+        doubled = pc.and_(pc.match_substring_regex(bare, DOUBLED), pc.invert(plain)).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(hidden | doubled).tolist():
             if words[k] not in memo:
                 if len(memo) > 100_000:
                     memo.clear()
-                memo[words[k]] = decode(words[k].rstrip(".,;:?"), model)
+                memo[words[k]] = readings(words[k].rstrip(".,;:?"), model) if hidden[k] else likelier(self.readings[k][0], model)
             self.readings[k] = self.readings[k] + memo[words[k]]
         self.spaced: list[tuple[int, list[str]]] = []
         letter = np.array([len(w) == 1 and (w in LETTERS or w in LEET) for w in words], bool)
