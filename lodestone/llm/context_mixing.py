@@ -1,360 +1,562 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased words, each a string of bytes and a space, then an end sign. Every symbol is a path of binary
-decisions through one prefix code. Each decision is predicted from hashed contexts (the byte before it, three bytes before
-it, the word so far), whose counts come from all training words. The predictions are mixed in the logistic domain by a set
-of weights that a gate picks. Three such mixers are trained online over the training words, for usual words, words that
-were trained on, and rare ones; within each text their shares are refined adaptively, block by block, by
-how well each predicted what came before. Every decision's two probabilities add up to one, and so do the shares, so the
-product is a probability of the text. It is a function of word and mixer, which a Python worker computes once for each
-distinct word.
+A text is its lower-cased words, then an end sign. Each is a path of binary decisions: the usual words (HOT_WORDS, a fixed
+number), the end sign and an escape are the leaves of one prefix code; behind the escape a word is spelled, byte by byte.
+Every decision of the code's tree is predicted from three hashed contexts: none, the word before, the two words before.
+Their counts are those of all training texts, kept exactly: each unit of texts sends its distinct (context, path) keys, in
+sorted blobs by range of the hash, to the task that adds up that range, and gets the counts along each path back. So what is
+gathered grows with the corpus, and no task or broadcast holds it whole. The three predictions are mixed in the logistic
+domain by weights that a gate picks (how well known the contexts are), and along each text these weights are refined, block
+by block, by what they predicted. Spelled bytes are mixed from three byte contexts by weights trained online on the corpus.
+The two probabilities of every decision add up to one, so the product is a probability of the text.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import coded, documents, id_remainder, owner, shuffles_dropped, slices, split_words, sums, whole_text, written
 
-END, SYMBOLS = 256, 257
-ORDERS = 3
-#: Places of the context table; of the contexts that fall on one place the most frequent stays. The table has four bytes a
-#: place, so what is broadcast is 32 MB at any size of the corpus.
-TABLE_BITS = 23
-#: The words counted most often, whose counts every task gets; the rest are joined. Bounded at any size of the corpus.
+#: Leaves of the code's tree that are words: the most frequent ones, by count and word. Bounded, so broadcast.
 HOT_WORDS = 65_536
-#: Tokens of a text between two refinements of the mixers' shares, and what of them is spread evenly again each time.
-BLOCK, SHARED = 64, 0.02
-#: Words that are worked on at a time, and that a worker keeps; this bounds a task's memory and changes no result.
-SOME_WORDS, KEPT_WORDS = 8_000, 600_000
-GATES = 8
-#: For each mixer the counts of its training words, and whether their own occurrence is left out of the counts.
-MIXERS = ((1, 1 << 62, True), (1, 1 << 62, False), (1, 3, True))
-MIX1, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
-BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+#: The longest path; a key is the upper 42 bits of a context's hash, and below them the path.
+CODE_BITS = 22
+CODE_MASK = np.uint64((1 << CODE_BITS) - 1)
+#: Text of a unit, and the tokens for each range of keys: they bound a task's memory and change no result.
+UNIT_BYTES, RANGE_TOKENS = 2 << 20, 500_000
+#: Tokens of a text between two refinements of its weights; the size of a step, and the most that one changes a weight.
+BLOCK, RATE, MOST_STEP = 16, 0.01, 0.25
+#: Added to both counts of a decision in a context of words, and of bytes.
+ADDED, SPELL_ADDED = 0.08, 0.2
+#: How often a decision's node was seen in a context: never, once, two or three times, more often.
+LEVELS = 4
+MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+FIRST = np.uint64(0x2545F4914F6CDD1D)  # stands for the word before the first
+
+END, SYMBOLS = 256, 257  # of spelling: the byte space ends a word
+SPELL_ORDERS = (1, 2, 4)
+#: Places of the spelling table. Counts of contexts that fall on one place are added up, none is left out.
+SPELL_BITS = 22
+SPELL_GATES = 6
+#: Words spelled at a time, and bytes of words whose result a worker keeps.
+SOME_WORDS, KEPT_BYTES = 4_000, 12 << 20
+
+
+def start_weights() -> np.ndarray:
+    """What each text begins with, by the levels of the word before and of the two words before: the more often a longer
+    context was seen, the more it counts, and the less the shorter ones."""
+    w = np.zeros((LEVELS, LEVELS, 3), np.float32)
+    for one in range(LEVELS):
+        for two in range(LEVELS):
+            long, mid = (0.0, 0.45, 0.6, 0.7)[two], (0.0, 0.2, 0.35, 0.55)[one]
+            w[one, two] = 1 - 0.6 * max(long, mid), mid * (1 - 0.5 * long), long
+    return w.reshape(LEVELS * LEVELS, 3)
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact up to 127, then by the fourth of a doubling."""
-    return np.where(n < 128, n, np.minimum(255, 128 + 4 * np.log2(np.maximum(n, 128) / 128))).astype(np.uint8)
+    """Counts in a byte: exact up to 127, then by the eighth of a doubling."""
+    return np.where(n < 128, n, np.minimum(255, 128 + 8 * np.log2(np.maximum(n, 128) / 128))).astype(np.uint8)
 
 
-COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2 ** ((np.arange(256) - 128) / 4)).astype(np.float32)
+COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2 ** ((np.arange(256) - 128) / 8)).astype(np.float64)
 
 
-def prefix_code(frequency: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman's code: where each symbol's path begins, and the nodes and bits of all paths one after another."""
-    heap = [(n + 1, s, s) for s, n in enumerate(frequency)]
+def level(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted([0.5, 1.5, 3.5], n).astype(np.uint8)
+
+
+def paths(frequency: np.ndarray) -> list[list[tuple[int, float, float]]]:
+    """Huffman's code: for each symbol its bits from the root, each with the frequency on the path and beside it."""
+    heap = [(float(n), s) for s, n in enumerate(frequency)]
+    total = dict(enumerate(float(n) for n in frequency))
     heapq.heapify(heap)
-    up: dict[int, tuple[int, int]] = {}
-    for node in range(SYMBOLS, 2 * SYMBOLS - 1):
-        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        up[x], up[y] = (node, 0), (node, 1)
-        heapq.heappush(heap, (a + b, node, node))
-    starts, nodes, bits = [0], [], []
-    for s in range(SYMBOLS):
+    up: dict[int, tuple[int, int, int]] = {}
+    for node in range(len(frequency), 2 * len(frequency) - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (node, 0, y), (node, 1, x)
+        total[node] = a + b
+        heapq.heappush(heap, (a + b, node))
+    out = []
+    for s in range(len(frequency)):
         path, at = [], s
         while at in up:
-            path.append(up[at])
-            at = up[at][0]
-        nodes += [n - SYMBOLS for n, _ in reversed(path)]
-        bits += [b for _, b in reversed(path)]
-        starts.append(len(nodes))
-    return np.array(starts), np.array(nodes, np.uint64), np.array(bits, np.uint8)
+            node, bit, other = up[at]
+            path.append((bit, total[at], total[other]))
+            at = node
+        out.append(path[::-1])
+    return out
 
 
-def spelled(words: list[str], end: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words (and at last of the end sign), where each begins, and for each symbol its hashed contexts."""
-    raw = [w.encode() + b" " for w in words] + [b"\0"] * end
-    symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    if end:
-        symbols[-1] = END
-    start = np.repeat(at[:-1], np.diff(at))
-    into = np.arange(len(symbols)) - start  # characters of the word so far
-    before = np.zeros((3, len(symbols)), np.uint64)
-    for k in (1, 2, 3):
-        before[k - 1, k:] = np.where(into[k:] >= k, symbols[:-k] + 1, 0)
-    power = np.cumprod(np.full(len(symbols) + 1, BASE, np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-    inverse = np.cumprod(np.full(len(symbols) + 1, BASE_INVERSE, np.uint64))
-    so_far = (total[:-1] - total[start]) * inverse[start]
-    mixed = np.stack([before[0], (before[0] | before[1] << np.uint64(9) | before[2] << np.uint64(18)) + np.uint64(1 << 40), so_far ^ MIX1])
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX2
-    return symbols, at, mixed ^ (mixed >> np.uint64(32))
-
-
-def places(context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and check of a context at a node of the code (given times MIX1)."""
-    h = (context + node) * MIX2
-    h ^= h >> np.uint64(31)
-    h *= MIX1
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int32), ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint32)
-
-
-#: By the two quantised counts of a cell (zeros in the upper byte): the mixer's input as they are, and without one 0 or 1.
-_N0, _N1 = np.repeat(COUNT, 256), np.tile(COUNT, 256)
-INPUT = np.log((_N1 + 0.2) / (_N0 + 0.2)).astype(np.float32)
-WITHOUT = np.stack([np.log((_N1 + 0.2) / (np.maximum(_N0 - 1, 0) + 0.2)), np.log((np.maximum(_N1 - 1, 0) + 0.2) / (_N0 + 0.2))]).astype(np.float32)
-#: What a cell of the second and of the third context adds to the number of the gate: is the one well known, how well the other.
-GATE1 = (_N0 + _N1 >= 20).astype(np.uint8)
-GATE2 = (2 * np.searchsorted([1, 6, 60], _N0 + _N1, side="right")).astype(np.uint8)
+@dataclass
+class Tree:
+    """The code of usual words, the escape (the last but one symbol) and the end sign (the last)."""
+
+    code: np.ndarray  # path of each symbol, from the left of CODE_BITS
+    length: np.ndarray
+    plain: np.ndarray  # predictions of the context of no word, path by path
+    start: np.ndarray  # where each symbol's begin
+
+    @staticmethod
+    def of(counts: np.ndarray, escapes: int, ends: int) -> Tree:
+        n = np.array([*counts, escapes, ends], np.float64) + 0.5
+        floor = n.sum() / (1 << 20)
+        while True:
+            found = paths(np.maximum(n, floor))
+            if max(map(len, found)) <= CODE_BITS:
+                break
+            floor *= 2
+        length = np.array([len(p) for p in found])
+        code = np.array([sum(bit << (CODE_BITS - 1 - d) for d, (bit, _, _) in enumerate(p)) for p in found], np.uint64)
+        plain = np.array([np.log(on / beside) for p in found for _, on, beside in p], np.float32)
+        return Tree(code, length, plain, np.concatenate([[0], np.cumsum(length)]))
+
+    def lengths_by_code(self) -> np.ndarray:
+        out = np.zeros(1 << CODE_BITS, np.uint8)
+        out[self.code.astype(np.int64)] = self.length
+        return out
+
+
+# --- units of texts
+
+
+UNITS = "unit long, doc_id array<long>, held array<boolean>, size array<long>, at array<int>, words string, codes binary"
+
+
+def text_units(rows: DataFrame) -> DataFrame:
+    """Texts (doc_id, held_out, text) as units of about UNIT_BYTES, written: the distinct words of a unit, and the texts as
+    their numbers. Every later step reads these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for b in slices(batches, max_bytes=UNIT_BYTES):
+            values, at = split_words(pc.ascii_lower(b.column("text")))
+            codes, distinct = coded(values)
+            size = sums(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1, at) + 1
+            row = [(TaskContext.get().partitionId() << 32) + k, b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), size.tolist(), at.tolist(), " ".join(distinct.to_pylist()), planes(codes.astype(np.uint32))]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in UNITS.split(", ")])
+            k += 1
+
+    return written(rows.mapInArrow(run, UNITS), "units")
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 @dataclass
-class Decisions:
-    """The binary decisions of some words: from where each word's begin, the bits, and the cells of their contexts."""
+class Unit:
+    """A row of text_units, read."""
 
+    words: list[str]
+    codes: np.ndarray
     at: np.ndarray
-    bit: np.ndarray
-    cells: list[np.ndarray]
+    held: np.ndarray
+
+    @staticmethod
+    def of(words: str, codes: bytes, at: list, held: list) -> Unit:
+        return Unit(words.split(" ") if words else [], unplaned(codes, np.uint32).astype(np.int64), np.array(at, np.int64), np.array(held, bool))
+
+    def word_counts(self) -> np.ndarray:
+        """How often each word stands in the unit's training texts."""
+        return np.bincount(self.codes[np.repeat(~self.held, np.diff(self.at))], minlength=len(self.words))
+
+
+def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Unit]]:
+    for b in batches:
+        for k in range(b.num_rows):
+            r = {c: b.column(c)[k].as_py() for c in ("unit", "words", "codes", "at", "held")}
+            yield r["unit"], Unit.of(r["words"], r["codes"], r["at"], r["held"])
 
-    def inputs(self, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The mixer's inputs and the gates. leave_out: each decision's own occurrence is taken out of the counts, as if the
-        word hadn't been trained on."""
-        x = np.empty((ORDERS, len(self.bit)), np.float32)
-        cells = self.cells
-        for k, cell in enumerate(cells):
-            x[k] = WITHOUT[self.bit, cell] if leave_out else INPUT[cell]
-        if leave_out:  # the counts that the gate sees go down as well, by one
-            low = [np.where(self.bit == 0, np.where((cell >> 8) < 128, np.maximum(cell >> 8, 1) - 1 << 8 | cell & 255, cell), np.where((cell & 255) < 128, cell & 0xFF00 | np.maximum(cell & 255, 1) - 1, cell)) for cell in cells[1:]]
-            return x, GATE1[low[0]] + GATE2[low[1]]
-        return x, GATE1[cells[1]] + GATE2[cells[2]]
 
+def word_counts(units: DataFrame) -> DataFrame:
+    """word, c over the training texts, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, unit in read_units(batches):
+            n = unit.word_counts()
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(unit.words, pa.string()).take(pa.array(seen)), pa.array(n[seen])], ["word", "n"])
+
+    return written(units.select("unit", "words", "codes", "at", "held").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+
+
+# --- counts of contexts of words
 
-def dot(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The mixed prediction of each decision in the logistic domain."""
-    return sum(x[k] * weights[:, k][gate] for k in range(ORDERS))
+
+def hashed(words: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX2
+    return (h ^ (h >> np.uint64(29))) * MIX1
 
 
 @dataclass
-class Mixer:
-    code: tuple[np.ndarray, np.ndarray, np.ndarray]
-    table: np.ndarray = field(repr=False)  # check in the upper half, quantised zeros and ones in the lower bytes
-    weights: np.ndarray = field(default_factory=lambda: np.full((len(MIXERS), GATES, ORDERS), 0.4, np.float32))
-
-    def decisions(self, words: list[str], end: bool = False) -> Decisions:
-        symbols, at, contexts = spelled(words, end)
-        starts, nodes, bits = self.code
-        n = np.diff(starts)[symbols]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        path = np.repeat(starts[symbols] - ends[:-1], n) + np.arange(ends[-1])
-        node, cells = nodes[path] * MIX1, []
-        for k in range(ORDERS):
-            place, check = places(np.repeat(contexts[k], n), node)
-            cell = self.table[place]
-            cells.append(np.where(cell >> np.uint32(16) == check, cell & np.uint32(0xFFFF), np.uint32(0)).astype(np.int32))
-        return Decisions(ends[at], bits[path], cells)
-
-    def train(self, words: list[str], counts: np.ndarray, memory: np.ndarray) -> None:
-        """Online steps over some words (each weighs as often as it was counted), sized by what the gradients were before."""
-        d = self.decisions(words)
-        both, times = {leave: d.inputs(leave) for leave in (True, False)}, np.diff(d.at)
-        for m, (least, most, leave) in enumerate(MIXERS):
-            own = np.flatnonzero(np.repeat((counts >= least) & (counts <= most), times))
-            if not len(own):
-                continue
-            x, gate = both[leave][0][:, own], both[leave][1][own]
-            weight = np.repeat(counts.astype(np.float32), times)[own]
-            p = 1 / (1 + np.exp(-np.clip(dot(x, gate, self.weights[m]), -20, 20)))
-            error, size = weight * (d.bit[own] - p), np.bincount(gate, weights=weight, minlength=GATES) + 1e-9
-            g = np.column_stack([np.bincount(gate, weights=error * x[k], minlength=GATES) for k in range(ORDERS)]) / size[:, None]
-            memory[m] += g * g
-            self.weights[m] += (0.3 * g / np.sqrt(memory[m] + 1e-8)).astype(np.float32)
-
-    def logs(self, words: list[str], end: bool = False) -> np.ndarray:
-        """ln of each word's (and at last the end sign's) probability by each mixer."""
-        out = []
-        for k in range(0, max(1, len(words)), SOME_WORDS):
-            d = self.decisions(words[k : k + SOME_WORDS], end and k + SOME_WORDS >= len(words))
-            if len(d.bit):
-                x, gate = d.inputs()
-                sign = np.where(d.bit == 1, -1, 1).astype(np.float32)
-                cost = np.column_stack([np.add.reduceat(np.log(1 + np.exp(np.clip(sign * dot(x, gate, w), -15, 15))), d.at[:-1], dtype=np.float64) for w in self.weights])
-                out.append(-cost)
-        return np.concatenate(out) if out else np.zeros((0, len(MIXERS)))
-
-
-def text_scores(codes: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """ln of each text's probability. codes: the words of all texts, at: where each text's begin, logs: by distinct word.
-
-    All texts go on block by block together. In a block each token's probability is the mixers' by their shares; after it
-    the shares follow how likely each mixer found the block."""
-    total, share = np.zeros(len(at) - 1), np.full((len(at) - 1, len(MIXERS)), 1 / len(MIXERS))
-    begin, left = at[:-1].copy(), np.arange(len(at) - 1)
-    while len(left := left[begin[left] < at[left + 1]]):
-        n = np.minimum(at[left + 1] - begin[left], BLOCK)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        own = logs[codes[np.repeat(begin[left] - ends[:-1], n) + np.arange(ends[-1])]]
-        best = own.max(1)
-        mixed = best + np.log(np.einsum("ij,ij->i", np.exp(own - best[:, None]), np.repeat(share[left], n, axis=0)))
-        total[left] += np.add.reduceat(mixed, ends[:-1])
-        block = np.add.reduceat(own, ends[:-1], axis=0)
-        new = share[left] * np.exp(block - block.max(1)[:, None])
-        share[left] = (1 - SHARED) * new / new.sum(1)[:, None] + SHARED / len(MIXERS)
-        begin[left] += n
-    return total
+class Symbols:
+    """The tokens of a unit's texts with their end signs, as symbols of the tree, and the keys of both contexts."""
+
+    symbol: np.ndarray
+    at: np.ndarray
+    word: np.ndarray  # number of the word in the unit, len(words) for an end sign
+    keys: np.ndarray  # distinct, sorted
+    pair: np.ndarray  # two rows: where the key of each token stands, for one and for two words before
+    counts: np.ndarray  # of each key in training texts
+
+    @staticmethod
+    def of(unit: Unit, tree: Tree, hot: dict[str, int], hashes: np.ndarray) -> Symbols:
+        escape = len(tree.code) - 2
+        word = np.insert(unit.codes, unit.at[1:], len(unit.words))
+        at = unit.at + np.arange(len(unit.at))
+        symbol = np.array([*(hot.get(w, escape) for w in unit.words), escape + 1], np.int64)[word]
+        h = np.append(hashes, FIRST)[word]
+        into = np.arange(len(word)) - np.repeat(at[:-1], np.diff(at))
+        one = np.concatenate([[FIRST], h[:-1]])
+        one[into == 0] = FIRST
+        two = np.concatenate([[FIRST, FIRST], h[:-2]])[: len(h)]
+        two[into < 2] = FIRST
+        contexts = np.concatenate([mixed(one), mixed(one * MIX1 + mixed(two + MIX2))])
+        keys, pair, counts = np.unique((contexts & ~CODE_MASK) | np.tile(tree.code[symbol], 2), return_inverse=True), None, None
+        keys, pair = keys
+        counts = np.bincount(pair[np.tile(np.repeat(~unit.held, np.diff(at)), 2)], minlength=len(keys))
+        return Symbols(symbol, at, word, keys, pair.reshape(2, -1), counts)
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n ranges of the keys' upper bits each (sorted) key falls into, as the cuts between them."""
+    part = ((keys >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
+    return np.searchsorted(part, np.arange(n + 1).astype(np.uint64))
+
+
+def along_paths(keys: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """keys: sorted and distinct, n: how often each was seen. A row for each: how often its context went another way at each
+    decision of the path, then how often to its end; quantised."""
+    out = np.zeros((len(keys), CODE_BITS + 1), np.uint8)
+    left = np.arange(len(keys))
+    node = None
+    for d in range(int(length.max()) + 1 if len(keys) else 0):
+        # all keys below a node of depth d follow each other; left: those whose path goes on there
+        part = keys[left] >> np.uint64(CODE_BITS - d)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        seen = np.repeat(np.add.reduceat(n[left], first), np.diff(np.append(first, len(left))))
+        if d:
+            out[left, d - 1] = quantised(node - seen)
+        done = length[left] == d
+        out[left[done], d] = quantised(n[left[done]])
+        left, node = left[~done], seen[~done]
+        if not len(left):
+            break
+    return out
+
+
+REQUEST = "part int, unit long, keys binary, n binary"
+
+
+def requests(units: DataFrame, shared, parts: int) -> DataFrame:
+    """For each unit and range of keys: the keys, and how often each stands in the unit's training texts. Ranges from `parts`
+    on hold the words that aren't leaves of the tree, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, hot = shared.value[:2]
+        for name, unit in read_units(batches):
+            h = hashed(unit.words)
+            s = Symbols.of(unit, tree, hot, h)
+            rare = np.array([w not in hot for w in unit.words], bool)
+            words, back = np.unique(h[rare], return_inverse=True)
+            seen = np.bincount(back, weights=unit.word_counts()[rare], minlength=len(words)).astype(np.int64)
+            out = []
+            for k, (keys, n) in enumerate(((s.keys, s.counts), (words, seen))):
+                cuts = ranges(keys, parts)
+                out += [(k * parts + p, name, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "unit", "keys", "n"])
+
+    return units.select("unit", "words", "codes", "at", "held").mapInArrow(run, REQUEST)
+
+
+def replies(asked: DataFrame, shared, parts: int) -> DataFrame:
+    """part, unit, data: the counts of all training texts for each request's keys, in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"part": pa.array([], pa.int32()), "unit": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        part, squeeze = table.column("part")[0].as_py(), zstandard.ZstdCompressor(level=1)
+        keys = [np.cumsum(unplaned(k, np.uint64)) for k in table.column("keys").to_pylist()]
+        n = np.concatenate([unplaned(x, np.uint32) for x in table.column("n").to_pylist()])
+        ends = np.cumsum([0, *map(len, keys)])
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, weights=n, minlength=len(distinct))
+        if part >= parts:
+            data = [planes(total[back[a:b]].astype(np.uint64)) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        else:
+            length = lengths(shared)[(distinct & CODE_MASK).astype(np.int64)]
+            rows, data = along_paths(distinct, total, length), []
+            for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                own = back[a:b]
+                data.append(squeeze.compress(rows[own][np.arange(CODE_BITS + 1) <= length[own][:, None]].tobytes()))
+        return pa.table({"part": pa.array([part] * len(data), pa.int32()), "unit": table.column("unit"), "data": pa.array(data, pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(run, "part int, unit long, data binary")
 
 
 _kept: dict = {"model": None}
 
 
-def kept_logs(model: Mixer, name: str, words: list[str]) -> np.ndarray:
-    """As model.logs with the end sign; a worker keeps what it has computed for the model of that name."""
-    if _kept["model"] != name or len(_kept["index"]) > KEPT_WORDS:
-        _kept.update(model=name, index={}, rows=np.empty((1 << 16, len(MIXERS))), end=model.logs([], end=True))
-    index = _kept["index"]
-    new = [w for w in words if w not in index]
-    if new:
-        n = len(index)
-        if n + len(new) > len(_kept["rows"]):
-            _kept["rows"] = np.concatenate([_kept["rows"][:n], np.empty((n + 2 * len(new), len(MIXERS)))])
-        _kept["rows"][n : n + len(new)] = model.logs(new)
-        index.update(zip(new, range(n, n + len(new))))
-    found = np.fromiter((index[w] for w in words), np.int64, len(words))
-    return np.concatenate([_kept["rows"][found], _kept["end"]])
+def lengths(shared) -> np.ndarray:
+    """Path lengths by path; a worker keeps them."""
+    name = shared.value[3]
+    if _kept.get("lengths_of") != name:
+        _kept.update(lengths_of=name, lengths=shared.value[0].lengths_by_code())
+    return _kept["lengths"]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c for the words of docs (text), written. Tasks add up their own words before the shuffle."""
+def predictions(data: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the counts along the paths of some keys: each decision's prediction for the way the path goes, and its level; after
+    each path one more place, as in data."""
+    raw = np.frombuffer(data, np.uint8)
+    x, levels = np.empty(len(raw), np.float32), np.empty(len(raw), np.uint8)
+    ends = np.concatenate([[0], np.cumsum(length + 1)])
+    for k in range(0, len(length), 50_000):
+        at = ends[k : k + 50_001]
+        n = COUNT[raw[at[0] : at[-1]]]
+        total = np.cumsum(n)
+        below = np.repeat(total[at[1:] - at[0] - 1], np.diff(at)) - total  # on the path after this decision
+        x[at[0] : at[-1]] = np.log((below + ADDED) / (n + ADDED))
+        levels[at[0] : at[-1]] = level(below + n)
+    return x, levels
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for b in slices(batches):
-            values, _ = split_words(pc.ascii_lower(b.column("text")))
-            codes, distinct = coded(values)
-            for w, n in zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist()):
-                total[w] += n
-            if len(total) > 400_000:
-                yield rows(total)
-        yield rows(total)
-
-    def rows(total: Counter[str]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-        total.clear()
-        return out
 
-    return written(docs.select(whole_text().alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+# --- spelling
 
 
-def word_batches(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[tuple[list[str], np.ndarray]]:
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            part = b.slice(k, rows)
-            yield part.column("word").to_pylist(), part.column("c").to_numpy(zero_copy_only=False)
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words (a space ends each), where each begins, and for each byte its hashed contexts: what stands before it
+    in the word, up to so many bytes."""
+    raw = [w.encode() + b" " for w in words]
+    symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    into = np.arange(len(symbols)) - np.repeat(at[:-1], np.diff(at))
+    before = np.zeros(len(symbols), np.uint64)
+    contexts = []
+    for k in range(1, max(SPELL_ORDERS) + 1):
+        before[k:] |= np.where(into[k:] >= k, symbols[:-k] + 1, 0).astype(np.uint64) << np.uint64(9 * (k - 1))
+        if k in SPELL_ORDERS:
+            contexts.append(mixed(before + np.uint64(k << 60)))
+    return symbols, at, np.stack(contexts)
 
 
-def fit_code(counts: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Spelling:
+    """Bytes by Huffman's code; zeros and ones of each place of the table, quantised; weights by gate."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    table: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(frequency: np.ndarray) -> Spelling:
+        found = paths(frequency + 1.0)
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in found])])
+        names: dict[tuple, int] = {}
+        nodes = [names.setdefault(tuple(b for b, _, _ in p[:d]), len(names)) for p in found for d in range(len(p))]
+        bits = [b for p in found for b, _, _ in p]
+        return Spelling(starts, np.array(nodes, np.uint64), np.array(bits, np.uint8), np.zeros((1 << SPELL_BITS, 2), np.uint8), np.full((SPELL_GATES, len(SPELL_ORDERS)), 0.4))
+
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's decisions begin, their bits, and their places in the table for each context."""
+        symbols, at, contexts = spelled(words)
+        n = np.diff(self.starts)[symbols]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        path = np.repeat(self.starts[symbols] - ends[:-1], n) + np.arange(ends[-1])
+        node = self.nodes[path] * MIX2
+        h = [(mixed(np.repeat(c, n) + node) >> np.uint64(64 - SPELL_BITS)).astype(np.int64) for c in contexts]
+        return ends[at], self.bits[path], np.stack(h)
+
+    def inputs(self, places: np.ndarray, bits: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions for the bit that follows, by context, and the gates. leave_out: without the decision itself."""
+        n0, n1 = COUNT[self.table[places, 0]], COUNT[self.table[places, 1]]
+        if leave_out:
+            n0, n1 = np.maximum(n0 - (bits == 0), 0), np.maximum(n1 - (bits == 1), 0)
+        gate = np.searchsorted([0.5, 20], n0[2] + n1[2], side="right") * 2 + (n0[1] + n1[1] >= 200)
+        return np.where(bits == 1, 1, -1) * np.log((n1 + SPELL_ADDED) / (n0 + SPELL_ADDED)), gate
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """ln of each word's probability."""
+        out = [np.zeros(0)]
+        for k in range(0, len(words), SOME_WORDS):
+            at, bits, places = self.places(words[k : k + SOME_WORDS])
+            x, gate = self.inputs(places, bits)
+            z = np.einsum("kd,dk->d", x, self.weights[gate])
+            out.append(-np.add.reduceat(np.log1p(np.exp(-np.clip(z, -20, 20))), at[:-1]))
+        return np.concatenate(out)
+
+
+def some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    for b in slices(batches, "word", 1 << 18):
+        for k in range(0, b.num_rows, SOME_WORDS):
+            yield b.column("word").slice(k, SOME_WORDS).to_pylist(), b.column("c").slice(k, SOME_WORDS).to_numpy(zero_copy_only=False)
+
+
+def fit_spelling(rare: DataFrame) -> Spelling:
+    """From the words (word, c) behind the escape. Tasks add up the table's places, which are bounded; Spark adds up the tasks.
+    Weights are trained online over the words of fixed buckets and averaged, so they don't depend on the cluster."""
+
+    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS, np.int64)
-        for words, c in word_batches(batches):
+        for words, c in some_words(batches):
             symbols, at, _ = spelled(words)
             total += np.bincount(symbols, weights=np.repeat(c, np.diff(at)), minlength=SYMBOLS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS)), pa.array(total)], ["symbol", "n"])
 
-    found = {r.symbol: r.n for r in counts.mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
-    return prefix_code([found.get(s, 0) if s != END else ends for s in range(SYMBOLS)])
-
-
-def fit_table(counts: DataFrame, code: tuple, ends: int) -> np.ndarray:
-    """The context table (see Mixer): from all training words by Spark; what comes to the driver is the table, of fixed size."""
-    starts, nodes, bits = code
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Context and symbol with their count, added up for some words at a time."""
-        for words, c in word_batches(batches, 100_000):
-            symbols, at, contexts = spelled(words)
-            weight = np.repeat(c, np.diff(at))
-            for k in range(ORDERS):
-                order = np.lexsort((symbols, contexts[k]))
-                context, symbol = contexts[k][order], symbols[order]
-                first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(symbol[first].astype(np.int32)), pa.array(np.add.reduceat(weight[order], first))], ["context", "symbol", "n"])
+    frequency = np.zeros(SYMBOLS)
+    for r in rare.mapInArrow(count_bytes, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        frequency[r.symbol] = r.n
+    model = Spelling.of(frequency)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each context the decisions at all nodes that its symbols pass."""
-        for b in batches:
-            lists = b.column("symbols")
-            at = lists.offsets.to_numpy().astype(np.int64)
-            flat, at = lists.flatten(), at - at[0]
-            symbol, n = flat.field("symbol").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-            long = np.diff(starts)[symbol]
-            to = np.concatenate([[0], np.cumsum(long)])
-            path = np.repeat(starts[symbol] - to[:-1], long) + np.arange(to[-1])
-            key = np.repeat(owner(at), long) * SYMBOLS + nodes[path].astype(np.int64)
-            which, inverse = np.unique(key, return_inverse=True)
-            one = np.repeat(n, long) * bits[path]
-            n1 = np.bincount(inverse, weights=one, minlength=len(which))
-            n0 = np.bincount(inverse, weights=np.repeat(n, long), minlength=len(which)) - n1
-            context = b.column("context").to_numpy().view(np.uint64)[which // SYMBOLS]
-            place, check = places(context, (which % SYMBOLS).astype(np.uint64) * MIX1)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(check.astype(np.int32)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], ["place", "check", "n0", "n1"])
+        total = np.zeros((2, 1 << SPELL_BITS))
+        for words, c in some_words(batches):
+            at, bits, places = model.places(words)
+            weight = np.repeat(c, np.diff(at)).astype(float)
+            for bit in (0, 1):
+                for p in places:
+                    np.add.at(total[bit], p[bits == bit], weight[bits == bit])
+        seen = np.flatnonzero(total.any(0))
+        for k in range(0, len(seen), 50_000):
+            own = seen[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[0, own].astype(np.int64)), pa.array(total[1, own].astype(np.int64))], ["place", "n0", "n1"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A stretch of the table as bytes."""
         for b in batches:
-            out = []
-            for part, rows in zip(b.column("part").to_pylist(), b.column("rows")):
-                v = rows.values
-                size = 1 << (TABLE_BITS - 8)
-                place = v.field("place").to_numpy() - part * size
-                table = np.zeros(size, np.uint32)
-                table[place] = v.field("check").to_numpy().astype(np.uint32) << np.uint32(16) | quantised(v.field("n0").to_numpy()).astype(np.uint32) << np.uint32(8) | quantised(v.field("n1").to_numpy())
-                out.append((part, table.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 2, (pa.int32(), pa.binary()))], ["part", "cells"])
-
-    # words of one beginning lie together, so that most of a context is added up before the shuffle; the end sign is a symbol at the start of a word
-    sorted_words = counts.repartitionByRange("word").sortWithinPartitions("word")
-    found = sorted_words.mapInArrow(edges, "context long, symbol int, n long")
-    if ends:
-        context = spelled([""])[2][:, 0].view(np.int64).tolist()
-        found = found.unionByName(counts.sparkSession.createDataFrame([(c, END, ends) for c in context], "context long, symbol int, n long"))
-    by_context = found.groupBy("context", "symbol").agg(F.sum("n").alias("n")).groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("symbols"), F.sum("n").alias("n"))
-    # a context that was seen once tells nothing of another occurrence
-    cells = written(by_context.filter("n > 1").select("context", "symbols"), "contexts").mapInArrow(count, "place int, check int, n0 long, n1 long")
-    best = cells.groupBy("place").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("m"))
-    parts = best.groupBy(F.shiftright("place", TABLE_BITS - 8).alias("part")).agg(F.collect_list(F.struct("place", "m.check", "m.n0", "m.n1")).alias("rows"))
-    table, size = np.zeros(1 << TABLE_BITS, np.uint32), 1 << (TABLE_BITS - 8)
-    for r in parts.mapInArrow(packed, "part int, cells binary").collect():  # 32 MB at any size
-        table[r.part * size : (r.part + 1) * size] = np.frombuffer(r.cells, np.uint32)
-    return table
-
-
-def fit(counts: DataFrame, ends: int) -> Mixer:
-    """The whole model from word counts and the number of texts. Each task trains the weights online over its words; their
-    means, by counted words, are the weights that every text starts with."""
-    spark = counts.sparkSession
-    with shuffles_dropped(spark):
-        return _fit(counts, ends)
-
-
-def _fit(counts: DataFrame, ends: int) -> Mixer:
-    code = fit_code(counts, ends)
-    mixer = Mixer(code, fit_table(counts, code, ends))
-    shared = counts.sparkSession.sparkContext.broadcast(mixer)  # of fixed size, see TABLE_BITS
+            yield pa.RecordBatch.from_arrays([b.column("place").cast(pa.int32()), pa.array(quantised(b.column("n0").to_numpy())), pa.array(quantised(b.column("n1").to_numpy()))], ["place", "n0", "n1"]).cast(pa.schema([("place", pa.int32()), ("n0", pa.int16()), ("n1", pa.int16())]))
+
+    cells = rare.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = cells.mapInArrow(packed, "place int, n0 short, n1 short").toArrow()  # at most one row a place
+    model.table[found.column("place").to_numpy()] = np.column_stack([found.column("n0").to_numpy(), found.column("n1").to_numpy()])
+    shared = rare.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def train(table: pa.Table) -> pa.Table:
+        m, n = shared.value, 0
+        weights, memory = m.weights.copy(), np.zeros_like(m.weights)
+        for words, c in some_words(iter(table.sort_by("word").to_batches())):
+            at, bits, places = m.places(words)
+            x, gate = m.inputs(places, bits, leave_out=True)
+            weight = np.repeat(np.minimum(c, 8), np.diff(at)).astype(float)
+            error = weight / (1 + np.exp(np.clip(np.einsum("kd,dk->d", x, weights[gate]), -20, 20)))
+            g = np.column_stack([np.bincount(gate, weights=error * v, minlength=SPELL_GATES) for v in x]) / (np.bincount(gate, weights=weight, minlength=SPELL_GATES)[:, None] + 1e-9)
+            memory += g * g
+            weights += 0.3 * g / np.sqrt(memory + 1e-8)
+            n += len(words)
+        return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([weights.ravel().tolist()], pa.list_(pa.float64()))})
+
+    buckets = max(1, rare.count() // 50_000)
+    trained = rare.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).applyInArrow(train, "n long, weights array<double>")
+    # two sums a weight: their number is fixed
+    each = trained.select("n", F.posexplode("weights").alias("k", "w")).groupBy("k").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).collect()
+    for r in each:
+        model.weights.ravel()[r.k] = r.w
+    shared.destroy()
+    return model
+
+
+def spelled_logs(shared, words: list[str]) -> np.ndarray:
+    """As Spelling.logs; a worker keeps what it has computed for this model."""
+    model, name = shared.value[2:4]
+    if _kept.get("logs_of") != name or _kept["bytes"] > KEPT_BYTES:
+        _kept.update(logs_of=name, logs={}, bytes=0)
+    known = _kept["logs"]
+    new = [w for w in words if w not in known]
+    known.update(zip(new, model.logs(new).tolist()))
+    _kept["bytes"] += sum(map(len, new))
+    return np.fromiter((known[w] for w in words), float, len(words))
+
+
+# --- scores
+
+
+def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """ln of each text's probability in the tree. x, levels: predictions by key, first: where those of each key begin.
+
+    All texts go on block by block together. A block's decisions are mixed by each text's weights; after it the weights
+    follow the gradient of what the block cost."""
+    texts, gates = len(s.at) - 1, LEVELS * LEVELS
+    total, weights = np.zeros(texts), np.tile(start_weights(), (texts, 1, 1))
+    begin, left = s.at[:-1].copy(), np.arange(texts)
+    long, plain_at = tree.length[s.symbol], tree.start[s.symbol]
+    one_at, two_at = first[s.pair[0]], first[s.pair[1]]
+    while len(left := left[begin[left] < s.at[left + 1]]):
+        n = np.minimum(s.at[left + 1] - begin[left], BLOCK)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        token = np.repeat(begin[left] - ends[:-1], n) + np.arange(ends[-1])
+        each = long[token]
+        to = np.concatenate([[0], np.cumsum(each)])
+        step = np.arange(to[-1])
+        place = lambda at: np.repeat(at[token] - to[:-1], each) + step
+        i, j = place(one_at), place(two_at)
+        a, b, c = tree.plain[place(plain_at)], x[i], x[j]
+        cut = to[ends]
+        row = np.repeat(np.arange(len(left)) * gates, np.diff(cut)) + levels[i] * LEVELS + levels[j]
+        w = weights[left].reshape(-1, 3)
+        own = w[row]
+        e = np.exp(-np.clip(a * own[:, 0] + b * own[:, 1] + c * own[:, 2], -30, 30))
+        total[left] -= np.add.reduceat(np.log1p(e), cut[:-1], dtype=np.float64)
+        error = e / (1 + e)
+        g = np.column_stack([np.bincount(row, weights=error * v, minlength=len(w)) for v in (a, b, c)])
+        weights[left] = (w + np.clip(RATE * g, -MOST_STEP, MOST_STEP)).reshape(-1, gates, 3)
+        begin[left] += n
+    return total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memory, n = shared.value, np.zeros((len(MIXERS), GATES, ORDERS)), 0
-        own = Mixer(m.code, m.table)
-        for words, c in word_batches(batches, 2_000):
-            own.train(words, c, memory)
-            n += int(c.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.weights.astype(float).ravel().tolist()], pa.list_(pa.float64()))], ["n", "weights"])
 
-    found = [(r.n, np.array(r.weights)) for r in counts.mapInArrow(run, "n long, weights array<double>").collect() if r.n]
-    if found:
-        mixer.weights = (sum(n * w for n, w in found) / sum(n for n, _ in found)).reshape(len(MIXERS), GATES, ORDERS).astype(np.float32)
-    return mixer
+SCORED = "doc_id long, held_out boolean, n_tokens long, seen long, base double, ln double, size long"
+
+
+def score_units(units: DataFrame, told: DataFrame, shared, parts: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree, hot, _, _, counts = shared.value
+        row = {c: left.column(c)[0].as_py() for c in left.column_names}
+        unit = Unit.of(row["words"], row["codes"], row["at"], row["held"])
+        h = hashed(unit.words)
+        s = Symbols.of(unit, tree, hot, h)
+        got = sorted(zip(right.column("part").to_pylist(), right.column("data").to_pylist()))
+        open_ = zstandard.ZstdDecompressor()
+        length = lengths(shared)[(s.keys & CODE_MASK).astype(np.int64)].astype(np.int64)
+        x, levels = predictions(b"".join(open_.decompress(d) for p, d in got if p < parts), length)
+        ln = text_scores(s, tree, x, levels, np.concatenate([[0], np.cumsum(length + 1)]))
+        number = np.array([hot.get(w, -1) for w in unit.words], np.int64)
+        rare = np.flatnonzero(number < 0)
+        c = np.zeros(len(unit.words), np.int64)
+        c[number >= 0] = counts[number[number >= 0]]
+        if len(rare):
+            _, back = np.unique(h[rare], return_inverse=True)
+            c[rare] = np.concatenate([unplaned(d, np.uint64) for p, d in got if p >= parts]).astype(np.int64)[back]
+        spelling = np.zeros(len(unit.words))
+        spelling[rare] = spelled_logs(shared, [unit.words[k] for k in rare.tolist()])
+        own = c[unit.codes]
+        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(unit.at) + 1), pa.array(sums((own > 0).astype(np.int64), unit.at)), pa.array(sums(np.log10(own + 1.0), unit.at)), pa.array(ln + sums(spelling[unit.codes], unit.at)), pa.array(row["size"], pa.int64())]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
+
+    return units.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(run, SCORED)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -362,51 +564,32 @@ def score_texts(docs: DataFrame) -> DataFrame:
     other columns are ignored).
 
     Rows whose crc32(doc_id) mod 7 is 2 are held out; all others, also those without an id, are learned from. A null text is
-    the end sign alone, repeated rows give repeated rows and count as often, an empty table gives none.
+    the end sign alone, repeated rows give repeated rows and count as often, an empty table gives none. Words of equal count
+    become leaves of the tree in their own order.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(id_remainder(7) == 2, F.lit(False)).alias("held_out"), whole_text().alias("text"))
-    shown = rows.filter(~F.col("held_out"))
-    with shuffles_dropped(spark):
-        counts, ends = word_counts(shown), shown.count()
-    sized = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = sized.n + ends, sized.v + (ends > 0)
-    unseen = -np.log10(n + v + 1)
-    hot = {r.word: r.c for r in counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()}
-    mixer, name = spark.sparkContext.broadcast((fit(counts, ends), hot)), uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = mixer.value
-        for b in slices(batches, max_bytes=3 << 20):
-            values, at = split_words(pc.ascii_lower(b.column("text")))
-            codes, distinct = coded(values)
-            words = distinct.to_pylist()
-            # every text's end sign as one more word
-            with_end = np.insert(codes, at[1:], len(words))
-            score = text_scores(with_end, at + np.arange(len(at)), kept_logs(model, name, words))
-            c = np.array([known.get(w, 0) for w in words] or [0], np.int64)
-            own = c[codes]
-            base, seen = sums(np.log10(own + 1.0), at), sums((own > 0).astype(np.int64), at)
-            text = owner(at)
-            rare = np.flatnonzero(own == 0)
-            key, times = np.unique(text[rare] * max(1, len(words)) + codes[rare], return_counts=True)
-            cut = np.searchsorted(key // max(1, len(words)), np.arange(len(at)))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([distinct.take(pa.array(key % max(1, len(words)))), pa.array(times.astype(np.int64))], ["word", "n"]))
-            size = sums(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1, at) + 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at) + 1), pa.array(seen), pa.array(base), lists, pa.array(score), pa.array(size)], ["doc_id", "held_out", "n_tokens", "seen", "base", "rare", "ln", "size"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, seen long, base double, rare array<struct<word:string,n:long>>, ln double, size long"
     with shuffles_dropped(spark):
-        scored = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    # words outside the hot ones: few of a text's tokens, none of them frequent enough to make a task hot
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n").join(counts, "word")
-    added = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("added"))
-    ends_known, end_base = int(ends > 0), float(np.log10(ends + 1.0))
-    base = F.col("base") + F.coalesce("added", F.lit(0.0)) + F.lit(end_base) + F.col("n_tokens") * F.lit(float(unseen))
-    score = F.col("ln") / F.lit(float(np.log(10)))
-    return scored.join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0)) + ends_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), score.alias("score"), (-F.col("ln") / F.lit(float(np.log(2))) / F.col("size")).alias("bits_per_byte"),
+        units = text_units(rows)
+        counts = word_counts(units)
+        size = units.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.element_at("at", -1).cast("long")), F.lit(0)).alias("tokens")).first()
+        sized = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        hot = {r.word: (k, r.c) for k, r in enumerate(counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect())}
+        hot_counts = np.array([c for _, c in hot.values()], np.int64)
+        numbers = {w: k for w, (k, _) in hot.items()}
+        # the least of the hot words cuts the table in two, whatever ties it has
+        last = min(((c, w) for w, (_, c) in hot.items()), key=lambda x: (x[0], [-ord(y) for y in x[1]]), default=None)
+        rare = counts.limit(0) if last is None else written(counts.filter((F.col("c") < last[0]) | (F.col("c") == last[0]) & (F.col("word") > last[1])), "rare-words")
+        tree = Tree.of(hot_counts, sized.n - int(hot_counts.sum()), size.ends)
+        shared = spark.sparkContext.broadcast((tree, numbers, fit_spelling(rare), uuid.uuid4().hex, hot_counts))  # of bounded size
+        parts = max(1, min(1 << 20, (size.tokens + size.ends) // RANGE_TOKENS))
+        told = written(replies(requests(units, shared, parts), shared, parts), "replies")
+        scored = written(score_units(units, told, shared, parts), "scored")
+    n, v = sized.n + size.ends, sized.v + (size.ends > 0)
+    base = F.col("base") + F.lit(float(np.log10(size.ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", (F.col("seen") + int(size.ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (F.col("ln") / F.lit(float(np.log(10)))).alias("score"), (-F.col("ln") / F.lit(float(np.log(2))) / F.col("size")).alias("bits_per_byte"),
     )
 
 

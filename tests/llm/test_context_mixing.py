@@ -2,103 +2,143 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from lodestone.llm import context_mixing as cm
 
 
-def test_code_and_contexts():
-    starts, nodes, bits = cm.prefix_code([random.Random(1).randrange(1000) for _ in range(257)])
-    paths = [tuple(zip(nodes[a:b].tolist(), bits[a:b].tolist())) for a, b in zip(starts, starts[1:])]
-    assert len(set(paths)) == 257 and abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9
-    one = cm.spelled(["abcd"])[2]
-    both = cm.spelled(["xyz", "abcd", "abcx"])[2]
-    assert (both[:, 4:9] == one).all() and (both[:, 9:12] == one[:, :3]).all()
-    assert len(set(both[2].tolist())) == 4 + 4 + 1  # the beginnings of xyz, of abcd, and abcx
+def test_code_is_a_prefix_code():
+    tree = cm.Tree.of(np.array([random.Random(1).randrange(1, 10**9) for _ in range(900)]), 7, 3)
+    paths = [format(int(c), f"0{cm.CODE_BITS}b")[:n] for c, n in zip(tree.code, tree.length)]
+    assert len(set(paths)) == 902 and abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9 and max(tree.length) <= cm.CODE_BITS
+    # of the two ways at every node the predictions are each other's negative, so their probabilities add up to one
+    by_node = defaultdict(set)
+    for p, a in zip(paths, tree.start):
+        for d in range(len(p)):
+            by_node[p[:d]].add((p[d], float(tree.plain[a + d])))
+    assert all(len(ways) == 2 and abs(sum(x for _, x in ways)) < 1e-4 for ways in by_node.values())
 
 
-def model(spark, words):
-    counts = spark.createDataFrame([(w, c) for w, c in Counter(words).items()], "word string, c long")
-    return cm.fit(counts, 5)
+def test_counts_along_paths():
+    r, tree = random.Random(4), cm.Tree.of(np.array([50, 30, 20, 9, 5, 3, 1, 1]), 4, 2)
+    seen = Counter((r.randrange(5), r.randrange(10)) for _ in range(200))
+    contexts = {k: np.uint64(r.getrandbits(42) << cm.CODE_BITS) for k in range(5)}
+    rows = sorted((int(contexts[c] | tree.code[s]), n, c, s) for (c, s), n in seen.items())
+    keys, n = np.array([x[0] for x in rows], np.uint64), np.array([x[1] for x in rows], float)
+    got = cm.along_paths(keys, n, tree.length[[x[3] for x in rows]])
+    path = lambda s: format(int(tree.code[s]), f"0{cm.CODE_BITS}b")[: tree.length[s]]
+    for row, (_, own, c, s) in zip(got, rows):
+        p = path(s)
+        for d in range(len(p)):
+            other = p[:d] + ("1" if p[d] == "0" else "0")
+            assert row[d] == sum(m for (k, t), m in seen.items() if k == c and path(t).startswith(other))
+        assert row[len(p)] == own
 
 
-def test_every_decision_adds_up_to_one(spark):
-    r = random.Random(2)
-    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 4))) for _ in range(3000)]
-    m = model(spark, words)
-    # over all symbols that can follow a beginning, the probabilities of the paths sum to one
-    starts, nodes, bits = m.code
-    alone = m.decisions(["ae"])
-    x, gate = alone.inputs()
-    assert np.isfinite(x).all() and gate.max() < cm.GATES
-    total = 0.0
-    for s in range(256):
-        if s in (9, 10, 11, 12, 13, 32) or s >= 128:
-            continue
-        d = m.decisions(["a" + chr(s)])
-        a, n = int(d.at[0]), int(starts[ord("a") + 1] - starts[ord("a")])
-        k = int(starts[s + 1] - starts[s])
-        x, gate = d.inputs()
-        z = cm.dot(x, gate, m.weights[0])[a + n : a + n + k]
-        total += math.exp(-np.log1p(np.exp(-np.where(d.bit[a + n : a + n + k] == 1, z, -z))).sum())
-    d = m.decisions(["a"])
-    x, gate = d.inputs()
-    z = cm.dot(x, gate, m.weights[0])[n:]
-    total += math.exp(-np.log1p(np.exp(-np.where(d.bit[n:] == 1, z, -z))).sum())
-    assert 0.5 < total <= 1 + 1e-6  # the rest is left to bytes that no text here holds
-
-
-def slow(m, words):
-    shares, ln = [1 / 3] * 3, 0.0
-    everything = [*words, None]
-    for i in range(0, len(everything), cm.BLOCK):
-        block = [0.0] * 3
-        for w in everything[i : i + cm.BLOCK]:
-            d = m.decisions([w]) if w is not None else m.decisions([], end=True)
-            each, (xs, gates) = [], d.inputs()
-            for own in m.weights:
-                z = [max(-15, min(15, float((x * own[g]).sum()) * (1 if b else -1))) for b, x, g in zip(d.bit, xs.T, gates)]
-                each.append(-sum(math.log1p(math.exp(-y)) for y in z))
-            ln += math.log(sum(s * math.exp(p) for s, p in zip(shares, each)))
-            block = [a + b for a, b in zip(block, each)]
-        new = [s * math.exp(b - max(block)) for s, b in zip(shares, block)]
-        shares = [(1 - cm.SHARED) * x / sum(new) + cm.SHARED / 3 for x in new]
-    return ln
-
-
-def test_scores(spark):
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), text or ""))
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def slow_scores(rows, hot):
+    """ln of each text in the tree, and its words behind the escape, by plain loops over exact counts."""
+    train = [split(t) for i, t in rows if not held(i)]
+    count = Counter(w for t in train for w in t)
+    top = sorted(count, key=lambda w: (-count[w], w))[:hot]
+    tree = cm.Tree.of(np.array([count[w] for w in top]), sum(count[w] for w in count if w not in top), len(train))
+    number = {w: k for k, w in enumerate(top)}
+    symbol = lambda w: len(top) + 1 if w is None else number.get(w, len(top))
+    path = [format(int(c), f"0{cm.CODE_BITS}b")[:n] for c, n in zip(tree.code, tree.length)]
+    below = defaultdict(Counter)
+    for t in train:
+        for k, w in enumerate([*t, None]):
+            p = path[symbol(w)]
+            for d in range(len(p) + 1):
+                for context in (("1", *t[max(0, k - 1) : k]), ("2", *t[max(0, k - 2) : k])):
+                    below[context][p[:d]] += 1
+    start, out = cm.start_weights(), []
+    for _, text in rows:
+        t, w, ln = split(text), start.copy(), 0.0
+        tokens = [*t, None]
+        for b in range(0, len(tokens), cm.BLOCK):
+            g = np.zeros_like(w)
+            for k in range(b, min(b + cm.BLOCK, len(tokens))):
+                s = symbol(tokens[k])
+                p = path[s]
+                for d in range(len(p)):
+                    xs, gate = [float(tree.plain[tree.start[s] + d])], []
+                    for context in (("1", *t[max(0, k - 1) : k]), ("2", *t[max(0, k - 2) : k])):
+                        on, at = below[context][p[: d + 1]], below[context][p[:d]]
+                        xs.append(math.log((on + cm.ADDED) / (at - on + cm.ADDED)))
+                        gate.append(0 if at < 1 else 1 if at < 2 else 2 if at < 4 else 3)
+                    row = gate[0] * cm.LEVELS + gate[1]
+                    z = max(-30, min(30, float(np.dot(w[row], xs))))
+                    ln -= math.log1p(math.exp(-z))
+                    g[row] += np.array(xs) / (1 + math.exp(z))
+            w = w + np.clip(cm.RATE * g, -cm.MOST_STEP, cm.MOST_STEP)
+        out.append((ln, [x for x in t if x not in number]))
+    return out, count, len(train)
+
+
+def test_scores(spark, monkeypatch):
+    hot = 40
+    monkeypatch.setattr(cm, "HOT_WORDS", hot)
+    monkeypatch.setattr(cm, "RANGE_TOKENS", 700)
     r = random.Random(3)
     stems = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 5))) for _ in range(60)]
-    rows = [(i, " ".join(r.choice(stems) for _ in range(r.choice([3, 40, 400]))), 1.0) for i in range(80)]
-    rows += [(100, None, 1.0), (101, " \n", 1.0), (None, "Été a a", 1.0), (7, rows[7][1], 1.0), (102, "z" * 3000 + " q" * 3000, 1.0)]
+    rows = [(i, " ".join(r.choice(stems) for _ in range(r.choice([3, 40, 200]))), 1.0) for i in range(40)]
+    rows += [(100, None, 1.0), (101, " \n", 1.0), (None, "Été a a", 1.0), (7, rows[7][1], 1.0), (102, "z" * 30000 + " q" * 3000, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
     got = cm.score_texts(docs).collect()
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
-    c, ends = Counter(), 0
-    for i, t, _ in rows:
-        if not held(i):
-            c.update(split(t))
-            ends += 1
+    plain, c, ends = slow_scores([x[:2] for x in rows], hot)
     n, v = sum(c.values()) + ends, len(c) + 1
-    assert len(got) == len(rows)
-    want = Counter()
-    for i, t, _ in rows:
-        own = split(t)
-        base = sum(math.log10((x + 1) / (n + v + 1)) for x in [*(c[w] for w in own), ends])
-        want[i, held(i), len(own) + 1, sum(c[w] > 0 for w in own) + 1, n, round(base, 6)] += 1
+    base = lambda own: sum(math.log10((x + 1) / (n + v + 1)) for x in [*(c[w] for w in own), ends])
+    want = Counter((i, held(i), len(split(t)) + 1, sum(c[w] > 0 for w in split(t)) + 1, n, round(base(split(t)), 6)) for i, t, _ in rows)
     assert want == Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got)
-    usual = [x.bits_per_byte for x in got if x.n_tokens > 300 and x.doc_id < 100]
-    assert sum(usual) / len(usual) < 4 and all(x.score < 0 for x in got)
+    # the tree's part is what plain loops give; behind the escape each word has one probability
+    counts = spark.createDataFrame([(w, k) for w, k in c.items() if w not in sorted(c, key=lambda w: (-c[w], w))[:hot]], "word string, c long")
+    spelling = cm.fit_spelling(counts)
+    words = sorted({w for _, rare in plain for w in rare})
+    ln = dict(zip(words, spelling.logs(words).tolist()))
+    left = sorted((-1 if i is None else i, (tree + sum(ln[w] for w in rare)) / math.log(10)) for (i, _, _), (tree, rare) in zip(rows, plain))
+    for (i, a), b in zip(left, sorted((-1 if x.doc_id is None else x.doc_id, x.score) for x in got)):
+        assert i == b[0] and abs(a - b[1]) < 2e-3 * abs(a) + 1e-3, (i, a, b)
     assert cm.score_texts(docs.limit(0)).count() == 0
-    # refinement within a text equals the plain loop
-    m = model(spark, [w for _, t, _ in rows[:50] for w in split(t)])
-    words = split(rows[3][1]) * 3
-    distinct = sorted(set(words))
-    codes = np.array([distinct.index(w) for w in words] + [len(distinct)])
-    ln = cm.text_scores(np.concatenate([codes, codes[-1:]]), np.array([0, len(codes), len(codes) + 1]), m.logs(distinct, end=True))
-    assert abs(ln[0] - slow(m, words)) < 1e-4 * abs(ln[0]) and abs(ln[1] - slow(m, [])) < 1e-4
-    assert np.allclose(cm.kept_logs(m, "x", distinct[:3]), np.concatenate([m.logs(distinct[:3]), m.logs([], end=True)]), atol=1e-5)
-    assert np.allclose(cm.kept_logs(m, "x", distinct)[:-1], m.logs(distinct), atol=1e-5)
+
+
+def test_spelling_is_a_probability_and_its_counts_are_exact(spark):
+    r = random.Random(2)
+    c = Counter("".join(r.choice("aei") for _ in range(r.randint(1, 3))) for _ in range(300))
+    m = cm.fit_spelling(spark.createDataFrame(list(c.items()), "word string, c long"))
+    # zeros and ones of each place, by hand
+    table = np.zeros((1 << cm.SPELL_BITS, 2))
+    for w, k in c.items():
+        _, bits, places = m.places([w])
+        for p in places:
+            np.add.at(table, (p, bits), k)
+    assert (cm.quantised(table) == m.table).all()
+    words = ["", *(a for a in "aei"), *(a + b for a in "aei" for b in "aei"), *(a + b + d for a in "aei" for b in "aei" for d in "aei")]
+    total = np.exp(m.logs(words)).sum()
+    assert 0.8 < total < 1
+    # repeated partitions, same weights
+    again = cm.fit_spelling(spark.createDataFrame(list(c.items())[::-1], "word string, c long").repartition(5))
+    assert np.allclose(again.weights, m.weights)
+
+
+def test_a_model_of_the_whole_corpus_beats_single_words(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("aeinrst") for _ in range(5)) for _ in range(300)]
+    follow = {w: r.sample(words, 3) for w in words}
+    rows = []
+    for i in range(120):
+        text = [r.choice(words)]
+        while len(text) < 150:
+            text.append(r.choice(follow[text[-1]]))
+        rows.append((i, " ".join(text)))
+    got = [x for x in cm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
+    assert len(got) > 5 and all(x.score > 0.7 * x.base_score for x in got)
