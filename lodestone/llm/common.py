@@ -51,7 +51,17 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     """The rows as a written table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of written(). Only once all that was made of them is a written table itself: a lost executor's work is
+    then never done again from them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

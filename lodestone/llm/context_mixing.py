@@ -17,6 +17,7 @@ import heapq
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import coded, documents, id_remainder, owner, shuffles_dropped, slices, split_words, sums, whole_text, written
+from lodestone.llm.common import coded, discarded, documents, id_remainder, owner, shuffles_dropped, slices, split_words, sums, whole_text, written
 
 #: Leaves of the code's tree that are words: the most frequent ones, by count and word. Bounded, so broadcast.
 HOT_WORDS = 65_536
-#: The longest path; a key is the upper 42 bits of a context's hash, and below them the path.
-CODE_BITS = 22
+#: The longest path; a key is the upper bits of a context's hash, so many more than the corpus' tokens need that one context
+#: in 2^SPARE_BITS at most shares its counts with another (as long as CODE_BITS and they fit into 64), and below them the path.
+CODE_BITS, SPARE_BITS = 22, 9
 CODE_MASK = np.uint64((1 << CODE_BITS) - 1)
+#: Units are scored in so many rounds, which bounds what is shuffled at a time.
+ROUNDS = 2
 #: Text of a unit, and the tokens for each range of keys: they bound a task's memory and change no result.
 UNIT_BYTES, RANGE_TOKENS = 2 << 20, 500_000
 #: Tokens of a text between two refinements of its weights; the size of a step, and the most that one changes a weight.
@@ -66,11 +70,11 @@ def start_weights() -> np.ndarray:
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact up to 127, then by the eighth of a doubling."""
-    return np.where(n < 128, n, np.minimum(255, 128 + 8 * np.log2(np.maximum(n, 128) / 128))).astype(np.uint8)
+    """Counts in a byte: exact up to 16, then by the fourth of a doubling."""
+    return np.where(n < 16, n, np.minimum(255, np.rint(16 + 4 * np.log2(np.maximum(n, 16) / 16)))).astype(np.uint8)
 
 
-COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2 ** ((np.arange(256) - 128) / 8)).astype(np.float64)
+COUNT = np.where(np.arange(256) < 16, np.arange(256), 16 * 2 ** ((np.arange(256) - 16) / 4))
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -214,14 +218,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """The tokens of a unit's texts with their end signs, as symbols of the tree, and the keys of both contexts."""
+    """The tokens of a unit's texts with their end signs, as symbols of the tree, and the contexts of each."""
 
     symbol: np.ndarray
     at: np.ndarray
-    word: np.ndarray  # number of the word in the unit, len(words) for an end sign
-    keys: np.ndarray  # distinct, sorted
-    pair: np.ndarray  # two rows: where the key of each token stands, for one and for two words before
-    counts: np.ndarray  # of each key in training texts
+    trained: np.ndarray
+    contexts: tuple[np.ndarray, np.ndarray]  # of the word before, and of the two words before
 
     @staticmethod
     def of(unit: Unit, tree: Tree, hot: dict[str, int], hashes: np.ndarray) -> Symbols:
@@ -235,11 +237,11 @@ class Symbols:
         one[into == 0] = FIRST
         two = np.concatenate([[FIRST, FIRST], h[:-2]])[: len(h)]
         two[into < 2] = FIRST
-        contexts = np.concatenate([mixed(one), mixed(one * MIX1 + mixed(two + MIX2))])
-        keys, pair, counts = np.unique((contexts & ~CODE_MASK) | np.tile(tree.code[symbol], 2), return_inverse=True), None, None
-        keys, pair = keys
-        counts = np.bincount(pair[np.tile(np.repeat(~unit.held, np.diff(at)), 2)], minlength=len(keys))
-        return Symbols(symbol, at, word, keys, pair.reshape(2, -1), counts)
+        return Symbols(symbol, at, np.repeat(~unit.held, np.diff(at)), (mixed(one), mixed(one * MIX1 + mixed(two + MIX2))))
+
+    def keys(self, order: int, tree: Tree, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of one context, sorted, and where the key of each token stands."""
+        return np.unique((self.contexts[order] & mask) | tree.code[self.symbol], return_inverse=True)
 
 
 def ranges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -272,67 +274,93 @@ def along_paths(keys: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarr
 REQUEST = "part int, unit long, keys binary, n binary"
 
 
-def requests(units: DataFrame, shared, parts: int) -> DataFrame:
-    """For each unit and range of keys: the keys, and how often each stands in the unit's training texts. Ranges from `parts`
-    on hold the words that aren't leaves of the tree, by hash."""
+@dataclass
+class Shared:
+    """What every task gets; all of bounded size."""
+
+    tree: Tree
+    hot: dict[str, int]
+    counts: np.ndarray  # of the hot words
+    spelling: Spelling
+    mask: np.uint64  # the bits of a context's hash that its keys have
+    parts: int  # ranges of keys
+    name: str
+
+
+def requests(units: DataFrame, shared, order: int) -> DataFrame:
+    """For each unit and range of one context's keys: the keys, and how often each stands in the unit's training texts. With
+    the first context go, in ranges of their own, the words that aren't leaves of the tree, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hot = shared.value[:2]
+        m = shared.value
         for name, unit in read_units(batches):
             h = hashed(unit.words)
-            s = Symbols.of(unit, tree, hot, h)
-            rare = np.array([w not in hot for w in unit.words], bool)
-            words, back = np.unique(h[rare], return_inverse=True)
-            seen = np.bincount(back, weights=unit.word_counts()[rare], minlength=len(words)).astype(np.int64)
+            s = Symbols.of(unit, m.tree, m.hot, h)
+            keys, where = s.keys(order, m.tree, m.mask)
+            asked = [(keys, np.bincount(where[s.trained], minlength=len(keys)))]
+            if order == 0:
+                rare = np.array([w not in m.hot for w in unit.words], bool)
+                words, where = np.unique(h[rare], return_inverse=True)
+                asked.append((words, np.bincount(where, weights=unit.word_counts()[rare], minlength=len(words))))
             out = []
-            for k, (keys, n) in enumerate(((s.keys, s.counts), (words, seen))):
-                cuts = ranges(keys, parts)
-                out += [(k * parts + p, name, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            for k, (keys, n) in enumerate(asked):
+                cuts = ranges(keys, m.parts)
+                out += [(k * m.parts + p, name, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "unit", "keys", "n"])
 
     return units.select("unit", "words", "codes", "at", "held").mapInArrow(run, REQUEST)
 
 
-def replies(asked: DataFrame, shared, parts: int) -> DataFrame:
+def replies(asked: DataFrame, shared) -> DataFrame:
     """part, unit, data: the counts of all training texts for each request's keys, in order."""
 
     def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"part": pa.array([], pa.int32()), "unit": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        part, squeeze = table.column("part")[0].as_py(), zstandard.ZstdCompressor(level=1)
+        part = table.column("part")[0].as_py()
         keys = [np.cumsum(unplaned(k, np.uint64)) for k in table.column("keys").to_pylist()]
         n = np.concatenate([unplaned(x, np.uint32) for x in table.column("n").to_pylist()])
-        ends = np.cumsum([0, *map(len, keys)])
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(distinct))
-        if part >= parts:
-            data = [planes(total[back[a:b]].astype(np.uint64)) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        ends = np.cumsum([0, *map(len, keys)]).tolist()
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, weights=n, minlength=len(distinct))
+        if part >= shared.value.parts:
+            data = [planes(total[where[a:b]].astype(np.uint64)) for a, b in zip(ends, ends[1:])]
         else:
             length = lengths(shared)[(distinct & CODE_MASK).astype(np.int64)]
-            rows, data = along_paths(distinct, total, length), []
-            for a, b in zip(ends.tolist(), ends[1:].tolist()):
-                own = back[a:b]
-                data.append(squeeze.compress(rows[own][np.arange(CODE_BITS + 1) <= length[own][:, None]].tobytes()))
+            rows = along_paths(distinct, total, length)
+            data = [path_planes(rows[where[a:b]], length[where[a:b]]) for a, b in zip(ends, ends[1:])]
         return pa.table({"part": pa.array([part] * len(data), pa.int32()), "unit": table.column("unit"), "data": pa.array(data, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(run, "part int, unit long, data binary")
 
 
-_kept: dict = {"model": None}
+def path_planes(rows: np.ndarray, length: np.ndarray) -> bytes:
+    """The rows of along_paths, depth by depth, each as far as its path goes."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(rows[length >= d, d].tobytes() for d in range(CODE_BITS + 1)))
+
+
+def unplaned_paths(data: bytes, length: np.ndarray) -> np.ndarray:
+    """What path_planes was given, row by row without what lies beyond a path."""
+    raw, rows, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.zeros((len(length), CODE_BITS + 1), np.uint8), 0
+    for d in range(int(length.max()) + 1):
+        there = np.flatnonzero(length >= d)
+        rows[there, d] = raw[at : at + len(there)]
+        at += len(there)
+    return rows[np.arange(CODE_BITS + 1) <= length[:, None]]
+
+
+_kept: dict = {}
 
 
 def lengths(shared) -> np.ndarray:
     """Path lengths by path; a worker keeps them."""
-    name = shared.value[3]
+    name = shared.value.name
     if _kept.get("lengths_of") != name:
-        _kept.update(lengths_of=name, lengths=shared.value[0].lengths_by_code())
+        _kept.update(lengths_of=name, lengths=shared.value.tree.lengths_by_code())
     return _kept["lengths"]
 
 
-def predictions(data: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def predictions(raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From the counts along the paths of some keys: each decision's prediction for the way the path goes, and its level; after
-    each path one more place, as in data."""
-    raw = np.frombuffer(data, np.uint8)
+    each path one more place, as in raw."""
     x, levels = np.empty(len(raw), np.float32), np.empty(len(raw), np.uint8)
     ends = np.concatenate([[0], np.cumsum(length + 1)])
     for k in range(0, len(length), 50_000):
@@ -482,7 +510,7 @@ def fit_spelling(rare: DataFrame) -> Spelling:
 
 def spelled_logs(shared, words: list[str]) -> np.ndarray:
     """As Spelling.logs; a worker keeps what it has computed for this model."""
-    model, name = shared.value[2:4]
+    model, name = shared.value.spelling, shared.value.name
     if _kept.get("logs_of") != name or _kept["bytes"] > KEPT_BYTES:
         _kept.update(logs_of=name, logs={}, bytes=0)
     known = _kept["logs"]
@@ -495,8 +523,8 @@ def spelled_logs(shared, words: list[str]) -> np.ndarray:
 # --- scores
 
 
-def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """ln of each text's probability in the tree. x, levels: predictions by key, first: where those of each key begin.
+def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+    """ln of each text's probability in the tree. x, levels: predictions, first: where those of each token begin, for both contexts.
 
     All texts go on block by block together. A block's decisions are mixed by each text's weights; after it the weights
     follow the gradient of what the block cost."""
@@ -504,7 +532,7 @@ def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first
     total, weights = np.zeros(texts), np.tile(start_weights(), (texts, 1, 1))
     begin, left = s.at[:-1].copy(), np.arange(texts)
     long, plain_at = tree.length[s.symbol], tree.start[s.symbol]
-    one_at, two_at = first[s.pair[0]], first[s.pair[1]]
+    one_at, two_at = first
     while len(left := left[begin[left] < s.at[left + 1]]):
         n = np.minimum(s.at[left + 1] - begin[left], BLOCK)
         ends = np.concatenate([[0], np.cumsum(n)])
@@ -531,27 +559,33 @@ def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first
 SCORED = "doc_id long, held_out boolean, n_tokens long, seen long, base double, ln double, size long"
 
 
-def score_units(units: DataFrame, told: DataFrame, shared, parts: int) -> DataFrame:
+def score_units(units: DataFrame, told: DataFrame, shared) -> DataFrame:
+    """told: order, part, unit, data."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree, hot, _, _, counts = shared.value
+        m = shared.value
         row = {c: left.column(c)[0].as_py() for c in left.column_names}
         unit = Unit.of(row["words"], row["codes"], row["at"], row["held"])
         h = hashed(unit.words)
-        s = Symbols.of(unit, tree, hot, h)
-        got = sorted(zip(right.column("part").to_pylist(), right.column("data").to_pylist()))
-        open_ = zstandard.ZstdDecompressor()
-        length = lengths(shared)[(s.keys & CODE_MASK).astype(np.int64)].astype(np.int64)
-        x, levels = predictions(b"".join(open_.decompress(d) for p, d in got if p < parts), length)
-        ln = text_scores(s, tree, x, levels, np.concatenate([[0], np.cumsum(length + 1)]))
-        number = np.array([hot.get(w, -1) for w in unit.words], np.int64)
+        s = Symbols.of(unit, m.tree, m.hot, h)
+        got = dict(zip(zip(right.column("order").to_pylist(), right.column("part").to_pylist()), right.column("data").to_pylist()))
+        raw, ends, first = [], [np.zeros(1, np.int64)], []
+        for order in (0, 1):
+            keys, where = s.keys(order, m.tree, m.mask)
+            length, cuts = lengths(shared)[(keys & CODE_MASK).astype(np.int64)].astype(np.int64), ranges(keys, m.parts).tolist()
+            raw += [unplaned_paths(got[order, p], length[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            ends.append(ends[-1][-1] + np.cumsum(length + 1))
+            first.append(np.append(ends[-2][-1], ends[-1])[where])
+        x, levels = predictions(np.concatenate(raw), np.diff(np.concatenate(ends)) - 1)
+        ln = text_scores(s, m.tree, x, levels, first)
+        number = np.array([m.hot.get(w, -1) for w in unit.words], np.int64)
         rare = np.flatnonzero(number < 0)
-        c = np.zeros(len(unit.words), np.int64)
-        c[number >= 0] = counts[number[number >= 0]]
+        c, spelling = np.zeros(len(unit.words), np.int64), np.zeros(len(unit.words))
+        c[number >= 0] = m.counts[number[number >= 0]]
         if len(rare):
-            _, back = np.unique(h[rare], return_inverse=True)
-            c[rare] = np.concatenate([unplaned(d, np.uint64) for p, d in got if p >= parts]).astype(np.int64)[back]
-        spelling = np.zeros(len(unit.words))
-        spelling[rare] = spelled_logs(shared, [unit.words[k] for k in rare.tolist()])
+            _, where = np.unique(h[rare], return_inverse=True)
+            c[rare] = np.concatenate([unplaned(got[k], np.uint64) for k in sorted(k for k in got if k[1] >= m.parts)]).astype(np.int64)[where]
+            spelling[rare] = spelled_logs(shared, [unit.words[k] for k in rare.tolist()])
         own = c[unit.codes]
         columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(unit.at) + 1), pa.array(sums((own > 0).astype(np.int64), unit.at)), pa.array(sums(np.log10(own + 1.0), unit.at)), pa.array(ln + sums(spelling[unit.codes], unit.at)), pa.array(row["size"], pa.int64())]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
@@ -580,11 +614,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
         # the least of the hot words cuts the table in two, whatever ties it has
         last = min(((c, w) for w, (_, c) in hot.items()), key=lambda x: (x[0], [-ord(y) for y in x[1]]), default=None)
         rare = counts.limit(0) if last is None else written(counts.filter((F.col("c") < last[0]) | (F.col("c") == last[0]) & (F.col("word") > last[1])), "rare-words")
-        tree = Tree.of(hot_counts, sized.n - int(hot_counts.sum()), size.ends)
-        shared = spark.sparkContext.broadcast((tree, numbers, fit_spelling(rare), uuid.uuid4().hex, hot_counts))  # of bounded size
-        parts = max(1, min(1 << 20, (size.tokens + size.ends) // RANGE_TOKENS))
-        told = written(replies(requests(units, shared, parts), shared, parts), "replies")
-        scored = written(score_units(units, told, shared, parts), "scored")
+        tree, tokens = Tree.of(hot_counts, sized.n - int(hot_counts.sum()), size.ends), size.tokens + size.ends
+        bits = min(64 - CODE_BITS, max(32, int(tokens).bit_length() + SPARE_BITS))
+        parts = max(1, min(1 << 20, tokens // RANGE_TOKENS))
+        shared = spark.sparkContext.broadcast(Shared(tree, numbers, hot_counts, fit_spelling(rare), np.uint64(((1 << bits) - 1) << (64 - bits)), parts, uuid.uuid4().hex))
+        discarded(*({counts, rare} if last else {counts}))
+        told = [written(replies(requests(units, shared, k), shared), "replies") for k in (0, 1)]
+        both = told[0].select(F.lit(0).alias("order"), "*").unionByName(told[1].select(F.lit(1).alias("order"), "*"))
+        turn = lambda k: F.pmod(F.xxhash64("unit"), F.lit(ROUNDS)) == k
+        scored = [written(score_units(units.filter(turn(k)), both.filter(turn(k)), shared), "scored") for k in range(ROUNDS)]
+        discarded(units, *told)
+        shared.destroy()
+    scored = reduce(DataFrame.unionByName, scored)
     n, v = sized.n + size.ends, sized.v + (size.ends > 0)
     base = F.col("base") + F.lit(float(np.log10(size.ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return scored.select(

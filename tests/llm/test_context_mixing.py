@@ -21,6 +21,16 @@ def test_code_is_a_prefix_code():
     assert all(len(ways) == 2 and abs(sum(x for _, x in ways)) < 1e-4 for ways in by_node.values())
 
 
+def in_a_byte(n):
+    """Exact up to 16, then the nearest fourth of a doubling."""
+    return n if n < 16 else min(255, round(16 + 4 * math.log2(n / 16)))
+
+
+def about(n):
+    b = in_a_byte(n)
+    return b if b < 16 else 16 * 2 ** ((b - 16) / 4)
+
+
 def test_counts_along_paths():
     r, tree = random.Random(4), cm.Tree.of(np.array([50, 30, 20, 9, 5, 3, 1, 1]), 4, 2)
     seen = Counter((r.randrange(5), r.randrange(10)) for _ in range(200))
@@ -33,8 +43,10 @@ def test_counts_along_paths():
         p = path(s)
         for d in range(len(p)):
             other = p[:d] + ("1" if p[d] == "0" else "0")
-            assert row[d] == sum(m for (k, t), m in seen.items() if k == c and path(t).startswith(other))
-        assert row[len(p)] == own
+            assert row[d] == in_a_byte(sum(m for (k, t), m in seen.items() if k == c and path(t).startswith(other)))
+        assert row[len(p)] == in_a_byte(own)
+    length = tree.length[[x[3] for x in rows]]
+    assert (cm.unplaned_paths(cm.path_planes(got, length), length) == got[np.arange(got.shape[1]) <= length[:, None]]).all()
 
 
 def split(text):
@@ -73,7 +85,9 @@ def slow_scores(rows, hot):
                 for d in range(len(p)):
                     xs, gate = [float(tree.plain[tree.start[s] + d])], []
                     for context in (("1", *t[max(0, k - 1) : k]), ("2", *t[max(0, k - 2) : k])):
-                        on, at = below[context][p[: d + 1]], below[context][p[:d]]
+                        n = below[context]
+                        beside = [about(n[p[:j]] - n[p[: j + 1]]) for j in range(len(p))] + [about(n[p])]
+                        on, at = sum(beside[d + 1 :]), sum(beside[d:])
                         xs.append(math.log((on + cm.ADDED) / (at - on + cm.ADDED)))
                         gate.append(0 if at < 1 else 1 if at < 2 else 2 if at < 4 else 3)
                     row = gate[0] * cm.LEVELS + gate[1]
