@@ -37,7 +37,7 @@ HOT_WORDS = 65_536
 CODE_BITS, SPARE_BITS = 22, 9
 CODE_MASK = np.uint64((1 << CODE_BITS) - 1)
 #: Units are scored in so many rounds, which bounds what is shuffled at a time.
-ROUNDS = 2
+ROUNDS = 4
 #: Text of a unit, and the tokens for each range of keys: they bound a task's memory and change no result.
 UNIT_BYTES, RANGE_TOKENS = 2 << 20, 500_000
 #: Tokens of a text between two refinements of its weights; the size of a step, and the most that one changes a weight.
@@ -70,11 +70,11 @@ def start_weights() -> np.ndarray:
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact up to 16, then by the fourth of a doubling."""
-    return np.where(n < 16, n, np.minimum(255, np.rint(16 + 4 * np.log2(np.maximum(n, 16) / 16)))).astype(np.uint8)
+    """Counts in a byte: exact up to 4, then by half doublings."""
+    return np.where(n < 4, n, np.minimum(120, np.rint(4 + 2 * np.log2(np.maximum(n, 4) / 4)))).astype(np.uint8)
 
 
-COUNT = np.where(np.arange(256) < 16, np.arange(256), 16 * 2 ** ((np.arange(256) - 16) / 4))
+COUNT = np.where(np.arange(128) < 4, np.arange(128), 4 * 2 ** ((np.arange(128) - 4) / 2))
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -250,25 +250,26 @@ def ranges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(n + 1).astype(np.uint64))
 
 
-def along_paths(keys: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """keys: sorted and distinct, n: how often each was seen. A row for each: how often its context went another way at each
-    decision of the path, then how often to its end; quantised."""
-    out = np.zeros((len(keys), CODE_BITS + 1), np.uint8)
-    left = np.arange(len(keys))
-    node = None
-    for d in range(int(length.max()) + 1 if len(keys) else 0):
-        # all keys below a node of depth d follow each other; left: those whose path goes on there
+def along_paths(keys: np.ndarray, n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """keys: sorted and distinct, n: how often each was seen (0 too). A row for each: how often its context went another way at each
+    decision of the path, quantised; and at how many of the first decisions it ever did."""
+    out, deep = np.zeros((len(keys), CODE_BITS), np.uint8), np.zeros(len(keys), np.uint8)
+    left, node = np.arange(len(keys)), None
+    for d in range(CODE_BITS + 1):
+        # all keys below a node of depth d follow each other; left: those whose node has other keys below it too
         part = keys[left] >> np.uint64(CODE_BITS - d)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        seen = np.repeat(np.add.reduceat(n[left], first), np.diff(np.append(first, len(left))))
+        size = np.diff(np.append(first, len(left)))
+        seen = np.repeat(np.add.reduceat(n[left], first), size)
         if d:
-            out[left, d - 1] = quantised(node - seen)
-        done = length[left] == d
-        out[left[done], d] = quantised(n[left[done]])
-        left, node = left[~done], seen[~done]
+            beside = quantised(node - seen)
+            out[left, d - 1] = beside
+            deep[left[beside > 0]] = d
+        on = np.repeat(size > 1, size) & (seen > 0) & (length[left] > d)
+        left, node = left[on], seen[on]
         if not len(left):
             break
-    return out
+    return out, deep
 
 
 REQUEST = "part int, unit long, keys binary, n binary"
@@ -325,25 +326,28 @@ def replies(asked: DataFrame, shared) -> DataFrame:
             data = [planes(total[where[a:b]].astype(np.uint64)) for a, b in zip(ends, ends[1:])]
         else:
             length = lengths(shared)[(distinct & CODE_MASK).astype(np.int64)]
-            rows = along_paths(distinct, total, length)
-            data = [path_planes(rows[where[a:b]], length[where[a:b]]) for a, b in zip(ends, ends[1:])]
+            rows, deep = along_paths(distinct, total, length)
+            seen = quantised(total)
+            data = [path_planes(rows[own], deep[own], seen[own]) for own in (where[a:b] for a, b in zip(ends, ends[1:]))]
         return pa.table({"part": pa.array([part] * len(data), pa.int32()), "unit": table.column("unit"), "data": pa.array(data, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(run, "part int, unit long, data binary")
 
 
-def path_planes(rows: np.ndarray, length: np.ndarray) -> bytes:
-    """The rows of along_paths, depth by depth, each as far as its path goes."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(rows[length >= d, d].tobytes() for d in range(CODE_BITS + 1)))
+def path_planes(rows: np.ndarray, deep: np.ndarray, seen: np.ndarray) -> bytes:
+    """The rows of along_paths, depth by depth, each as far as it holds anything, and how often each key was seen."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([deep.tobytes(), seen.tobytes(), *(rows[deep > d, d].tobytes() for d in range(int(deep.max())))]))
 
 
 def unplaned_paths(data: bytes, length: np.ndarray) -> np.ndarray:
-    """What path_planes was given, row by row without what lies beyond a path."""
-    raw, rows, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.zeros((len(length), CODE_BITS + 1), np.uint8), 0
-    for d in range(int(length.max()) + 1):
-        there = np.flatnonzero(length >= d)
+    """For each key's path the counts beside it and, at the end, of the key itself; one path after another."""
+    raw, rows, m = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.zeros((len(length), CODE_BITS + 1), np.uint8), len(length)
+    deep, at = raw[:m], 2 * m
+    for d in range(int(deep.max())):
+        there = np.flatnonzero(deep > d)
         rows[there, d] = raw[at : at + len(there)]
         at += len(there)
+    rows[np.arange(m), length] = raw[m : 2 * m]
     return rows[np.arange(CODE_BITS + 1) <= length[:, None]]
 
 

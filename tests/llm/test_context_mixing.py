@@ -22,31 +22,34 @@ def test_code_is_a_prefix_code():
 
 
 def in_a_byte(n):
-    """Exact up to 16, then the nearest fourth of a doubling."""
-    return n if n < 16 else min(255, round(16 + 4 * math.log2(n / 16)))
+    """Exact up to 4, then the nearest half of a doubling."""
+    return n if n < 4 else min(120, round(4 + 2 * math.log2(n / 4)))
 
 
 def about(n):
     b = in_a_byte(n)
-    return b if b < 16 else 16 * 2 ** ((b - 16) / 4)
+    return b if b < 4 else 4 * 2 ** ((b - 4) / 2)
 
 
 def test_counts_along_paths():
     r, tree = random.Random(4), cm.Tree.of(np.array([50, 30, 20, 9, 5, 3, 1, 1]), 4, 2)
     seen = Counter((r.randrange(5), r.randrange(10)) for _ in range(200))
-    contexts = {k: np.uint64(r.getrandbits(42) << cm.CODE_BITS) for k in range(5)}
+    seen.update({(9, 0): 3, (9, 1): 0, (9, 2): 0, (9, 3): 0, (8, 4): 0, (7, 1): 60, (7, 9): 0, **{(6, s): 0 for s in range(4)}})
+    contexts = {k: np.uint64(r.getrandbits(42) << cm.CODE_BITS) for k in range(10)}
     rows = sorted((int(contexts[c] | tree.code[s]), n, c, s) for (c, s), n in seen.items())
     keys, n = np.array([x[0] for x in rows], np.uint64), np.array([x[1] for x in rows], float)
-    got = cm.along_paths(keys, n, tree.length[[x[3] for x in rows]])
+    length = tree.length[[x[3] for x in rows]]
+    got, deep = cm.along_paths(keys, n, length)
     path = lambda s: format(int(tree.code[s]), f"0{cm.CODE_BITS}b")[: tree.length[s]]
-    for row, (_, own, c, s) in zip(got, rows):
+    for row, (_, _, c, s) in zip(got, rows):
         p = path(s)
         for d in range(len(p)):
             other = p[:d] + ("1" if p[d] == "0" else "0")
             assert row[d] == in_a_byte(sum(m for (k, t), m in seen.items() if k == c and path(t).startswith(other)))
-        assert row[len(p)] == in_a_byte(own)
-    length = tree.length[[x[3] for x in rows]]
-    assert (cm.unplaned_paths(cm.path_planes(got, length), length) == got[np.arange(got.shape[1]) <= length[:, None]]).all()
+        assert not row[len(p) :].any()
+    assert deep.tolist() == [max([0, *(np.flatnonzero(row) + 1)]) for row in got]
+    read = np.split(cm.unplaned_paths(cm.path_planes(got, deep, cm.quantised(n)), length), np.cumsum(length + 1)[:-1])
+    assert all(x.tolist() == [*row[:k], in_a_byte(own)] for x, row, k, own in zip(read, got.tolist(), length, n))
 
 
 def split(text):
@@ -121,7 +124,7 @@ def test_scores(spark, monkeypatch):
     ln = dict(zip(words, spelling.logs(words).tolist()))
     left = sorted((-1 if i is None else i, (tree + sum(ln[w] for w in rare)) / math.log(10)) for (i, _, _), (tree, rare) in zip(rows, plain))
     for (i, a), b in zip(left, sorted((-1 if x.doc_id is None else x.doc_id, x.score) for x in got)):
-        assert i == b[0] and abs(a - b[1]) < 2e-3 * abs(a) + 1e-3, (i, a, b)
+        assert i == b[0] and abs(a - b[1]) < 1e-5 * abs(a) + 1e-4, (i, a, b)
     assert cm.score_texts(docs.limit(0)).count() == 0
 
 
