@@ -22,7 +22,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +38,11 @@ CODE_MASK = np.uint64((1 << CODE_BITS) - 1)
 #: Units are scored in so many rounds, which bounds what is shuffled at a time.
 ROUNDS = 4
 #: Text of a unit, and the tokens for each range of keys: they bound a task's memory and change no result.
-UNIT_BYTES, RANGE_TOKENS = 2 << 20, 500_000
+UNIT_BYTES, RANGE_TOKENS = 2 << 20, 1_200_000
 #: Tokens of a text between two refinements of its weights; the size of a step, and the most that one changes a weight.
-BLOCK, RATE, MOST_STEP = 16, 0.01, 0.25
+BLOCK, RATE, MOST_STEP = 32, 0.01, 0.25
+#: Tokens whose decisions are laid out at a time; this changes no result.
+CHUNK = 60_000
 #: Added to both counts of a decision in a context of words, and of bytes.
 ADDED, SPELL_ADDED = 0.08, 0.2
 #: How often a decision's node was seen in a context: never, once, two or three times, more often.
@@ -75,10 +76,12 @@ def quantised(n: np.ndarray) -> np.ndarray:
 
 
 COUNT = np.where(np.arange(128) < 4, np.arange(128), 4 * 2 ** ((np.arange(128) - 4) / 2))
-
-
-def level(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted([0.5, 1.5, 3.5], n).astype(np.uint8)
+LN_COUNT = np.log(COUNT + ADDED).astype(np.float32)
+#: By the two counts of a place of the spelling table (zeros times 128 and ones): the prediction, and what the gate sees.
+_N0, _N1 = np.repeat(COUNT, 128), np.tile(COUNT, 128)
+SPELL_INPUT = np.log((_N1 + SPELL_ADDED) / (_N0 + SPELL_ADDED)).astype(np.float32)
+SPELL_WITHOUT = np.stack([np.log((_N1 + SPELL_ADDED) / (np.maximum(_N0 - 1, 0) + SPELL_ADDED)), np.log((np.maximum(_N1 - 1, 0) + SPELL_ADDED) / (_N0 + SPELL_ADDED))]).astype(np.float32)
+SPELL_LEVEL = np.searchsorted([0.5, 20, 200], _N0 + _N1, side="right").astype(np.uint8)
 
 
 def paths(frequency: np.ndarray) -> list[list[tuple[int, float, float]]]:
@@ -135,7 +138,7 @@ class Tree:
 # --- units of texts
 
 
-UNITS = "unit long, doc_id array<long>, held array<boolean>, size array<long>, at array<int>, words string, codes binary"
+UNITS = "unit long, doc_id array<long>, held array<boolean>, size array<long>, at array<int>, words array<string>, codes binary"
 
 
 def text_units(rows: DataFrame) -> DataFrame:
@@ -148,8 +151,8 @@ def text_units(rows: DataFrame) -> DataFrame:
             values, at = split_words(pc.ascii_lower(b.column("text")))
             codes, distinct = coded(values)
             size = sums(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1, at) + 1
-            row = [(TaskContext.get().partitionId() << 32) + k, b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), size.tolist(), at.tolist(), " ".join(distinct.to_pylist()), planes(codes.astype(np.uint32))]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string(), pa.binary())
+            row = [(TaskContext.get().partitionId() << 32) + k, b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), size.tolist(), at.tolist(), distinct.to_pylist(), planes(codes.astype(np.uint32))]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in UNITS.split(", ")])
             k += 1
 
@@ -170,14 +173,31 @@ def unplaned(data: bytes, kind: type) -> np.ndarray:
 class Unit:
     """A row of text_units, read."""
 
-    words: list[str]
+    words: pa.Array
     codes: np.ndarray
     at: np.ndarray
     held: np.ndarray
 
     @staticmethod
-    def of(words: str, codes: bytes, at: list, held: list) -> Unit:
-        return Unit(words.split(" ") if words else [], unplaned(codes, np.uint32).astype(np.int64), np.array(at, np.int64), np.array(held, bool))
+    def of(row: pa.RecordBatch | pa.Table) -> Unit:
+        """From one row."""
+        get = lambda name: row.column(name).combine_chunks() if isinstance(row, pa.Table) else row.column(name)
+        words, at, held = (get(c).flatten() for c in ("words", "at", "held"))
+        return Unit(words, unplaned(get("codes")[0].as_py(), np.uint32).astype(np.int64), at.to_numpy().astype(np.int64), held.to_numpy(zero_copy_only=False))
+
+    def hashes(self) -> np.ndarray:
+        """Of each word: its bytes as a polynomial's coefficients, mixed."""
+        size = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        raw = np.frombuffer("".join(self.words.to_pylist()).encode(), np.uint8)
+        first = np.cumsum(size) - size
+        power = np.cumprod(np.full(int(size.max()), MIX2, np.uint64))
+        return mixed(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(raw)) - np.repeat(first, size)], first))
+
+    def numbers(self, hot: pa.Array) -> np.ndarray:
+        """The place of each word among the hot ones, -1 for others."""
+        return pc.fill_null(pc.index_in(self.words, value_set=hot), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def word_counts(self) -> np.ndarray:
         """How often each word stands in the unit's training texts."""
@@ -187,8 +207,7 @@ class Unit:
 def read_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Unit]]:
     for b in batches:
         for k in range(b.num_rows):
-            r = {c: b.column(c)[k].as_py() for c in ("unit", "words", "codes", "at", "held")}
-            yield r["unit"], Unit.of(r["words"], r["codes"], r["at"], r["held"])
+            yield b.column("unit")[k].as_py(), Unit.of(b.slice(k, 1))
 
 
 def word_counts(units: DataFrame) -> DataFrame:
@@ -198,7 +217,7 @@ def word_counts(units: DataFrame) -> DataFrame:
         for _, unit in read_units(batches):
             n = unit.word_counts()
             seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(unit.words, pa.string()).take(pa.array(seen)), pa.array(n[seen])], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([unit.words.take(pa.array(seen)), pa.array(n[seen])], ["word", "n"])
 
     return written(units.select("unit", "words", "codes", "at", "held").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
 
@@ -206,11 +225,6 @@ def word_counts(units: DataFrame) -> DataFrame:
 # --- counts of contexts of words
 
 
-def hashed(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w.encode()) for w in words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MIX2
     return (h ^ (h >> np.uint64(29))) * MIX1
@@ -226,11 +240,11 @@ class Symbols:
     contexts: tuple[np.ndarray, np.ndarray]  # of the word before, and of the two words before
 
     @staticmethod
-    def of(unit: Unit, tree: Tree, hot: dict[str, int], hashes: np.ndarray) -> Symbols:
+    def of(unit: Unit, tree: Tree, numbers: np.ndarray, hashes: np.ndarray) -> Symbols:
         escape = len(tree.code) - 2
         word = np.insert(unit.codes, unit.at[1:], len(unit.words))
         at = unit.at + np.arange(len(unit.at))
-        symbol = np.array([*(hot.get(w, escape) for w in unit.words), escape + 1], np.int64)[word]
+        symbol = np.append(np.where(numbers < 0, escape, numbers), escape + 1)[word]
         h = np.append(hashes, FIRST)[word]
         into = np.arange(len(word)) - np.repeat(at[:-1], np.diff(at))
         one = np.concatenate([[FIRST], h[:-1]])
@@ -280,7 +294,7 @@ class Shared:
     """What every task gets; all of bounded size."""
 
     tree: Tree
-    hot: dict[str, int]
+    hot: pa.Array  # words
     counts: np.ndarray  # of the hot words
     spelling: Spelling
     mask: np.uint64  # the bits of a context's hash that its keys have
@@ -295,12 +309,12 @@ def requests(units: DataFrame, shared, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for name, unit in read_units(batches):
-            h = hashed(unit.words)
-            s = Symbols.of(unit, m.tree, m.hot, h)
+            h, numbers = unit.hashes(), unit.numbers(m.hot)
+            s = Symbols.of(unit, m.tree, numbers, h)
             keys, where = s.keys(order, m.tree, m.mask)
             asked = [(keys, np.bincount(where[s.trained], minlength=len(keys)))]
             if order == 0:
-                rare = np.array([w not in m.hot for w in unit.words], bool)
+                rare = numbers < 0
                 words, where = np.unique(h[rare], return_inverse=True)
                 asked.append((words, np.bincount(where, weights=unit.word_counts()[rare], minlength=len(words))))
             out = []
@@ -369,11 +383,13 @@ def predictions(raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.concatenate([[0], np.cumsum(length + 1)])
     for k in range(0, len(length), 50_000):
         at = ends[k : k + 50_001]
-        n = COUNT[raw[at[0] : at[-1]]]
+        own = raw[at[0] : at[-1]]
+        n = COUNT[own]
         total = np.cumsum(n)
-        below = np.repeat(total[at[1:] - at[0] - 1], np.diff(at)) - total  # on the path after this decision
-        x[at[0] : at[-1]] = np.log((below + ADDED) / (n + ADDED))
-        levels[at[0] : at[-1]] = level(below + n)
+        below = np.maximum(np.repeat(total[at[1:] - at[0] - 1], np.diff(at)) - total, 0).astype(np.float32)  # on the path after this decision
+        x[at[0] : at[-1]] = np.log(below + np.float32(ADDED)) - LN_COUNT[own]
+        below += n
+        levels[at[0] : at[-1]] = (below > 0.5).view(np.uint8) + (below > 1.5).view(np.uint8) + (below > 3.5).view(np.uint8)
     return x, levels
 
 
@@ -398,7 +414,7 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Spelling:
-    """Bytes by Huffman's code; zeros and ones of each place of the table, quantised; weights by gate."""
+    """Bytes by Huffman's code; the quantised counts of each place of the table, zeros times 128 and ones; weights by gate."""
 
     starts: np.ndarray
     nodes: np.ndarray
@@ -413,7 +429,7 @@ class Spelling:
         names: dict[tuple, int] = {}
         nodes = [names.setdefault(tuple(b for b, _, _ in p[:d]), len(names)) for p in found for d in range(len(p))]
         bits = [b for p in found for b, _, _ in p]
-        return Spelling(starts, np.array(nodes, np.uint64), np.array(bits, np.uint8), np.zeros((1 << SPELL_BITS, 2), np.uint8), np.full((SPELL_GATES, len(SPELL_ORDERS)), 0.4))
+        return Spelling(starts, np.array(nodes, np.uint64), np.array(bits, np.uint8), np.zeros(1 << SPELL_BITS, np.int16), np.full((SPELL_GATES, len(SPELL_ORDERS)), 0.4))
 
     def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each word's decisions begin, their bits, and their places in the table for each context."""
@@ -425,13 +441,12 @@ class Spelling:
         h = [(mixed(np.repeat(c, n) + node) >> np.uint64(64 - SPELL_BITS)).astype(np.int64) for c in contexts]
         return ends[at], self.bits[path], np.stack(h)
 
-    def inputs(self, places: np.ndarray, bits: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, places: np.ndarray, bits: np.ndarray, leave_out: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
         """Predictions for the bit that follows, by context, and the gates. leave_out: without the decision itself."""
-        n0, n1 = COUNT[self.table[places, 0]], COUNT[self.table[places, 1]]
-        if leave_out:
-            n0, n1 = np.maximum(n0 - (bits == 0), 0), np.maximum(n1 - (bits == 1), 0)
-        gate = np.searchsorted([0.5, 20], n0[2] + n1[2], side="right") * 2 + (n0[1] + n1[1] >= 200)
-        return np.where(bits == 1, 1, -1) * np.log((n1 + SPELL_ADDED) / (n0 + SPELL_ADDED)), gate
+        cells = [self.table[p] for p in places]
+        sign = np.where(bits == 1, 1, -1).astype(np.float32)
+        x = [sign * (SPELL_WITHOUT[bits, cell] if leave_out else SPELL_INPUT[cell]) for cell in cells]
+        return x, np.minimum(SPELL_LEVEL[cells[2]], 2) * 2 + (SPELL_LEVEL[cells[1]] > 2)
 
     def logs(self, words: list[str]) -> np.ndarray:
         """ln of each word's probability."""
@@ -439,11 +454,14 @@ class Spelling:
         for k in range(0, len(words), SOME_WORDS):
             at, bits, places = self.places(words[k : k + SOME_WORDS])
             x, gate = self.inputs(places, bits)
-            z = np.einsum("kd,dk->d", x, self.weights[gate])
-            out.append(-np.add.reduceat(np.log1p(np.exp(-np.clip(z, -20, 20))), at[:-1]))
+            out.append(-np.add.reduceat(np.log1p(np.exp(-np.clip(dot(x, gate, self.weights), -20, 20))), at[:-1], dtype=np.float64))
         return np.concatenate(out)
 
 
+def dot(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return sum(v * weights[:, k].astype(np.float32)[gate] for k, v in enumerate(x))
+
+
 def some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
     for b in slices(batches, "word", 1 << 18):
         for k in range(0, b.num_rows, SOME_WORDS):
@@ -485,7 +503,7 @@ def fit_spelling(rare: DataFrame) -> Spelling:
 
     cells = rare.mapInArrow(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = cells.mapInArrow(packed, "place int, n0 short, n1 short").toArrow()  # at most one row a place
-    model.table[found.column("place").to_numpy()] = np.column_stack([found.column("n0").to_numpy(), found.column("n1").to_numpy()])
+    model.table[found.column("place").to_numpy()] = found.column("n0").to_numpy() * 128 + found.column("n1").to_numpy()
     shared = rare.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def train(table: pa.Table) -> pa.Table:
@@ -495,7 +513,7 @@ def fit_spelling(rare: DataFrame) -> Spelling:
             at, bits, places = m.places(words)
             x, gate = m.inputs(places, bits, leave_out=True)
             weight = np.repeat(np.minimum(c, 8), np.diff(at)).astype(float)
-            error = weight / (1 + np.exp(np.clip(np.einsum("kd,dk->d", x, weights[gate]), -20, 20)))
+            error = weight / (1 + np.exp(np.clip(dot(x, gate, weights), -20, 20)))
             g = np.column_stack([np.bincount(gate, weights=error * v, minlength=SPELL_GATES) for v in x]) / (np.bincount(gate, weights=weight, minlength=SPELL_GATES)[:, None] + 1e-9)
             memory += g * g
             weights += 0.3 * g / np.sqrt(memory + 1e-8)
@@ -533,30 +551,41 @@ def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first
     All texts go on block by block together. A block's decisions are mixed by each text's weights; after it the weights
     follow the gradient of what the block cost."""
     texts, gates = len(s.at) - 1, LEVELS * LEVELS
-    total, weights = np.zeros(texts), np.tile(start_weights(), (texts, 1, 1))
-    begin, left = s.at[:-1].copy(), np.arange(texts)
-    long, plain_at = tree.length[s.symbol], tree.start[s.symbol]
-    one_at, two_at = first
-    while len(left := left[begin[left] < s.at[left + 1]]):
-        n = np.minimum(s.at[left + 1] - begin[left], BLOCK)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        token = np.repeat(begin[left] - ends[:-1], n) + np.arange(ends[-1])
-        each = long[token]
+    total, weights = np.zeros(texts), np.tile(start_weights().T, (texts, 1, 1))  # text, context, gate
+    text = owner(s.at)
+    step = (np.arange(len(text)) - s.at[text]) // BLOCK
+    order = np.argsort(step, kind="stable")
+    ends = np.cumsum(np.bincount(step)).tolist()
+    k = 0
+    while k < len(ends):
+        lo, last = (ends[k - 1] if k else 0), k + 1
+        while last < len(ends) and ends[last] - lo <= CHUNK:
+            last += 1
+        token = order[lo : ends[last - 1]]
+        each = tree.length[s.symbol[token]]
         to = np.concatenate([[0], np.cumsum(each)])
-        step = np.arange(to[-1])
-        place = lambda at: np.repeat(at[token] - to[:-1], each) + step
-        i, j = place(one_at), place(two_at)
-        a, b, c = tree.plain[place(plain_at)], x[i], x[j]
-        cut = to[ends]
-        row = np.repeat(np.arange(len(left)) * gates, np.diff(cut)) + levels[i] * LEVELS + levels[j]
-        w = weights[left].reshape(-1, 3)
-        own = w[row]
-        e = np.exp(-np.clip(a * own[:, 0] + b * own[:, 1] + c * own[:, 2], -30, 30))
-        total[left] -= np.add.reduceat(np.log1p(e), cut[:-1], dtype=np.float64)
-        error = e / (1 + e)
-        g = np.column_stack([np.bincount(row, weights=error * v, minlength=len(w)) for v in (a, b, c)])
-        weights[left] = (w + np.clip(RATE * g, -MOST_STEP, MOST_STEP)).reshape(-1, gates, 3)
-        begin[left] += n
+        inside = np.arange(to[-1]) - np.repeat(to[:-1], each)
+        i, j = (np.repeat(at[token], each) + inside for at in first)
+        a, b, c = tree.plain[np.repeat(tree.start[s.symbol[token]], each) + inside], x[i], x[j]
+        gate = levels[i] * np.uint8(LEVELS) + levels[j]
+        for e in ends[k:last]:
+            own = text[token[lo - ends[k - 1] if k else lo : e - (ends[k - 1] if k else 0)]]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) + (lo - (ends[k - 1] if k else 0))
+            left, cut = text[token[cut]], np.append(to[cut], to[e - (ends[k - 1] if k else 0)])
+            part = slice(int(cut[0]), int(cut[-1]))
+            row = np.repeat(np.arange(len(left)) * gates, np.diff(cut)) + gate[part]
+            w = weights[left]
+            v = (a[part], b[part], c[part])
+            z = sum(v[m] * w[:, m].ravel()[row] for m in range(3))
+            cost = np.exp(-np.clip(z, -30, 30))
+            total[left] -= np.add.reduceat(np.log1p(cost), cut[:-1] - cut[0], dtype=np.float64)
+            error = cost / (1 + cost)
+            for m in range(3):
+                g = np.bincount(row, weights=error * v[m], minlength=len(left) * gates).reshape(-1, gates)
+                w[:, m] += np.clip(RATE * g, -MOST_STEP, MOST_STEP)
+            weights[left] = w
+            lo = e
+        k = last
     return total
 
 
@@ -568,10 +597,9 @@ def score_units(units: DataFrame, told: DataFrame, shared) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
-        row = {c: left.column(c)[0].as_py() for c in left.column_names}
-        unit = Unit.of(row["words"], row["codes"], row["at"], row["held"])
-        h = hashed(unit.words)
-        s = Symbols.of(unit, m.tree, m.hot, h)
+        unit = Unit.of(left)
+        h, number = unit.hashes(), unit.numbers(m.hot)
+        s = Symbols.of(unit, m.tree, number, h)
         got = dict(zip(zip(right.column("order").to_pylist(), right.column("part").to_pylist()), right.column("data").to_pylist()))
         raw, ends, first = [], [np.zeros(1, np.int64)], []
         for order in (0, 1):
@@ -582,16 +610,15 @@ def score_units(units: DataFrame, told: DataFrame, shared) -> DataFrame:
             first.append(np.append(ends[-2][-1], ends[-1])[where])
         x, levels = predictions(np.concatenate(raw), np.diff(np.concatenate(ends)) - 1)
         ln = text_scores(s, m.tree, x, levels, first)
-        number = np.array([m.hot.get(w, -1) for w in unit.words], np.int64)
         rare = np.flatnonzero(number < 0)
         c, spelling = np.zeros(len(unit.words), np.int64), np.zeros(len(unit.words))
         c[number >= 0] = m.counts[number[number >= 0]]
         if len(rare):
             _, where = np.unique(h[rare], return_inverse=True)
             c[rare] = np.concatenate([unplaned(got[k], np.uint64) for k in sorted(k for k in got if k[1] >= m.parts)]).astype(np.int64)[where]
-            spelling[rare] = spelled_logs(shared, [unit.words[k] for k in rare.tolist()])
+            spelling[rare] = spelled_logs(shared, unit.words.take(pa.array(rare)).to_pylist())
         own = c[unit.codes]
-        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(unit.at) + 1), pa.array(sums((own > 0).astype(np.int64), unit.at)), pa.array(sums(np.log10(own + 1.0), unit.at)), pa.array(ln + sums(spelling[unit.codes], unit.at)), pa.array(row["size"], pa.int64())]
+        columns = [left.column("doc_id").combine_chunks().flatten(), pa.array(unit.held), pa.array(np.diff(unit.at) + 1), pa.array(sums((own > 0).astype(np.int64), unit.at)), pa.array(sums(np.log10(own + 1.0), unit.at)), pa.array(ln + sums(spelling[unit.codes], unit.at)), left.column("size").combine_chunks().flatten()]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])
 
     return units.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(run, SCORED)
@@ -612,17 +639,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
         counts = word_counts(units)
         size = units.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.element_at("at", -1).cast("long")), F.lit(0)).alias("tokens")).first()
         sized = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        hot = {r.word: (k, r.c) for k, r in enumerate(counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect())}
-        hot_counts = np.array([c for _, c in hot.values()], np.int64)
-        numbers = {w: k for w, (k, _) in hot.items()}
-        # the least of the hot words cuts the table in two, whatever ties it has
-        last = min(((c, w) for w, (_, c) in hot.items()), key=lambda x: (x[0], [-ord(y) for y in x[1]]), default=None)
-        rare = counts.limit(0) if last is None else written(counts.filter((F.col("c") < last[0]) | (F.col("c") == last[0]) & (F.col("word") > last[1])), "rare-words")
+        hot = counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
+        hot_counts = np.array([r.c for r in hot], np.int64)
+        # the last of the hot words cuts the table in two, whatever ties it has
+        rare = written(counts.filter((F.col("c") < hot[-1].c) | (F.col("c") == hot[-1].c) & (F.col("word") > hot[-1].word) if hot else F.lit(False)), "rare-words")
         tree, tokens = Tree.of(hot_counts, sized.n - int(hot_counts.sum()), size.ends), size.tokens + size.ends
         bits = min(64 - CODE_BITS, max(32, int(tokens).bit_length() + SPARE_BITS))
         parts = max(1, min(1 << 20, tokens // RANGE_TOKENS))
-        shared = spark.sparkContext.broadcast(Shared(tree, numbers, hot_counts, fit_spelling(rare), np.uint64(((1 << bits) - 1) << (64 - bits)), parts, uuid.uuid4().hex))
-        discarded(*({counts, rare} if last else {counts}))
+        shared = spark.sparkContext.broadcast(Shared(tree, pa.array([r.word for r in hot], pa.string()), hot_counts, fit_spelling(rare), np.uint64(((1 << bits) - 1) << (64 - bits)), parts, uuid.uuid4().hex))
+        discarded(counts, rare)
         told = [written(replies(requests(units, shared, k), shared), "replies") for k in (0, 1)]
         both = told[0].select(F.lit(0).alias("order"), "*").unionByName(told[1].select(F.lit(1).alias("order"), "*"))
         turn = lambda k: F.pmod(F.xxhash64("unit"), F.lit(ROUNDS)) == k
