@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, shuffles_dropped, slices, whole_text, written
+from lodestone.llm.common import discarded, documents, new_path, shuffles_dropped, slices, whole_text, written
 
 PAD, RATE = 64, 8000
 #: A cut falls where these bits of the rolling gear hash are zero (1 in 4096 places), not within LEAST bytes of the last, and
@@ -24,6 +24,8 @@ GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little
 HEADER = 44
 #: Zstandard level of stored and shuffled bytes.
 LEVEL = 6
+#: Payloads are shuffled and stored in so many rounds, by the digest of the text: what is shuffled at a time is that part of them.
+ROUNDS = 2
 
 
 def padded(raw: bytes) -> bytes:
@@ -128,10 +130,14 @@ def store_media(docs: DataFrame, listed: DataFrame) -> DataFrame:
     each = media.select("media_sha256", F.explode(F.array_distinct(F.slice("digests", 2, 1 << 30))).alias("digest"))
     shared = written(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("media_sha256").alias("keeper")).filter("n > 1").select("digest", "keeper"), "shared")
     held = each.join(shared, "digest").select("media_sha256", F.struct("digest", (F.col("keeper") == F.col("media_sha256")).alias("keeps")).alias("role"))
-    roles = written(held.groupBy("media_sha256").agg(F.collect_list("role").alias("roles")), "roles")
-    roles = media.select("doc_id", "media_sha256").join(roles, "media_sha256", "left")
+    held_roles = written(held.groupBy("media_sha256").agg(F.collect_list("role").alias("roles")), "roles")
+    roles = media.select("doc_id", "media_sha256").join(held_roles, "media_sha256", "left")
     same = F.col("p.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("p.media_sha256") == F.col("r.media_sha256"))
-    source = packed(docs).alias("p").join(roles.alias("r"), same).select("p.media_sha256", "z", "roles")
+    turn = lambda k: F.pmod(F.xxhash64(whole_text()), F.lit(ROUNDS)) == k
+
+    def source(k: int) -> DataFrame:
+        # repeated rows of an id and text lie together after the join: one of them is kept
+        return packed(docs.filter(turn(k))).alias("p").join(roles.alias("r"), same).select("p.doc_id", "p.media_sha256", "z", "roles").dropDuplicates(["doc_id", "media_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, open_ = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
@@ -150,8 +156,13 @@ def store_media(docs: DataFrame, listed: DataFrame) -> DataFrame:
                 rows.append(("own", sha, None, squeeze.compress(b"".join(own)), digests, [len(c) for c in parts], not keeps))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    # repeated rows of one id and text give the same media twice: only then there is more than one row to choose from
-    return written(source.mapInArrow(run, STORE), "store", ("kind",))
+    path = new_path(docs.sparkSession, "store")
+    for k in range(ROUNDS):
+        source(k).select("media_sha256", "z", "roles").mapInArrow(run, STORE).write.mode("append").option("compression", "zstd").parquet(path, partitionBy=["kind"])
+    discarded(media, shared, held_roles)
+    store = docs.sparkSession.read.schema(STORE).parquet(path)
+    store.written_path = path
+    return store
 
 
 FEATURES = "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
@@ -218,7 +229,9 @@ def media_column(docs: DataFrame) -> DataFrame:
     one media: they are stored and rebuilt once."""
     with shuffles_dropped(docs.sparkSession):  # each step's result is a written table
         listed = written(manifests(docs), "manifests")
-        got = written(rebuilt(store_media(docs, listed)), "rebuilt")
+        store = store_media(docs, listed)
+        got = written(rebuilt(store), "rebuilt")
+        discarded(store)
     return listed.select("doc_id", "n_bytes", "media_sha256").join(got, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
