@@ -22,10 +22,11 @@ class Mapping:
     messages: str = ""
     role: str = "role"
     text: str = "content"
+    roles: tuple[tuple[str, str], ...] = ()  # the layout's own names of roles
     fields: tuple[tuple[str, str], ...] = ()  # (field, role), in order of the turns; empty fields give no turn unless the last of a role
 
 
-#: Role names of common layouts and what they are called here; others stay as they are.
+#: Role names of the layout that has them, and what they are called here; others, and those of other layouts, stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -38,28 +39,34 @@ def paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
-def fingerprint(record: object) -> str:
-    return hashlib.sha256("\n".join(sorted(paths(record))).encode()).hexdigest()[:16]
+def digest(some: set[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(some)).encode()).hexdigest()[:16]
 
 
-def _known(example: dict, mapping: Mapping) -> tuple[str, Mapping]:
-    return fingerprint(example), mapping
+#: Layouts by example: only their field paths count.
+EXAMPLES = [
+    ({"messages": [{"role": "", "content": ""}]}, Mapping("messages")),
+    ({"messages": []}, Mapping("messages")),
+    ({"turns": [{"role": "", "text": ""}]}, Mapping("turns", text="text")),
+    ({"conversations": [{"from": "", "value": ""}]}, Mapping("conversations", "from", "value", tuple(ROLES.items()))),
+    ({"prompt": "", "completion": ""}, Mapping(fields=(("prompt", "user"), ("completion", "assistant")))),
+    ({"prompt": "", "response": ""}, Mapping(fields=(("prompt", "user"), ("response", "assistant")))),
+    ({"instruction": "", "output": ""}, Mapping(fields=(("instruction", "user"), ("output", "assistant")))),
+    ({"instruction": "", "input": "", "output": ""}, Mapping(fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")))),
+    ({"system": "", "prompt": "", "response": ""}, Mapping(fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")))),
+]
 
 
-#: Layouts by example: only their field paths count.
-MAPPINGS = dict(
-    [
-        _known({"messages": [{"role": "", "content": ""}]}, Mapping("messages")),
-        _known({"messages": []}, Mapping("messages")),
-        _known({"turns": [{"role": "", "text": ""}]}, Mapping("turns", text="text")),
-        _known({"conversations": [{"from": "", "value": ""}]}, Mapping("conversations", "from", "value")),
-        _known({"prompt": "", "completion": ""}, Mapping(fields=(("prompt", "user"), ("completion", "assistant")))),
-        _known({"prompt": "", "response": ""}, Mapping(fields=(("prompt", "user"), ("response", "assistant")))),
-        _known({"instruction": "", "output": ""}, Mapping(fields=(("instruction", "user"), ("output", "assistant")))),
-        _known({"instruction": "", "input": "", "output": ""}, Mapping(fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")))),
-        _known({"system": "", "prompt": "", "response": ""}, Mapping(fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")))),
-    ]
-)
+KNOWN = set().union(*(paths(example) for example, _ in EXAMPLES))
+MAPPINGS = {digest(paths(example)): mapping for example, mapping in EXAMPLES}
+
+
+def fingerprint(record: object) -> str:
+    """Of the field paths that mappings name, so that an id or a source beside them doesn't hide a layout; of all paths where
+    these are no layout."""
+    all_paths = paths(record)
+    found = digest(all_paths & KNOWN)
+    return found if found in MAPPINGS else digest(all_paths)
 
 
 def to_turns(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> list[tuple[str, str]] | None:
@@ -68,7 +75,8 @@ def to_turns(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> list[tupl
     if mapping is None:
         return None
     if mapping.messages:
-        return [(ROLES.get(r := m.get(mapping.role) or "", r), m.get(mapping.text) or "") for m in record[mapping.messages]]
+        names = dict(mapping.roles)
+        return [(names.get(r := m.get(mapping.role) or "", r), m.get(mapping.text) or "") for m in record[mapping.messages]]
     turns = [(role, record[f] or "") for f, role in mapping.fields if record[f] or role in ("user", "assistant") and f != "input"]
     joined: list[tuple[str, str]] = []
     for role, text in turns:  # an instruction and its input are one turn
@@ -140,24 +148,41 @@ def format_records(records: DataFrame) -> DataFrame:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """One JSON record of the layout turns[role, text] for each conv_id, its rows in the order of turn, role and text.
-    Null roles and texts are empty, null turns come first, a null conv_id is a conversation of its own."""
+    """One JSON record for each conv_id (and other grouping columns `added`, where there is one), its rows in the order of turn,
+    role and text. Null roles and texts are empty, null turns come first, a null conv_id is a conversation of its own.
+
+    The records come in the layouts of several sources, by conv_id: messages, from and value with that layout's role names
+    (where all roles have one), prompt and response (where these are the turns), turns; some with further fields."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), whole_text().alias("text"))
-    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
+    keys = [c for c in ("conv_id", "added") if c in rows.columns]
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    each = lambda role, text, name=lambda r: r: F.transform("t", lambda x: F.struct(name(x["role"]).alias(role), x["text"].alias(text)))
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    pair = (F.size("t") == 2) & (F.get("t", F.lit(0))["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
+    kind = F.coalesce(F.pmod("conv_id", F.lit(4)), F.lit(3))
+    record = (
+        F.when(kind == 0, F.to_json(F.struct(F.col("conv_id").alias("id"), each("role", "content").alias("messages"))))
+        .when((kind == 1) & F.forall("t", lambda x: x["role"].isin("user", "assistant", "system")), F.to_json(F.struct(each("from", "value", other).alias("conversations"))))
+        .when((kind == 2) & pair, F.to_json(F.struct(F.get("t", F.lit(0))["text"].alias("prompt"), F.get("t", F.lit(1))["text"].alias("response"), F.lit("chat").alias("source"))))
+        .otherwise(F.to_json(F.struct(each("role", "text").alias("turns"))))
+    )
+    return grouped.select("conv_id", record.alias("record"))
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted conversations gets back."""
+    """What a reader of the formatted conversations gets back; nulls for what wasn't formatted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             out = []
             for conv, text, mask in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), b.column("mask").to_pylist()):
+                if text is None:  # no mapping knows the record's layout
+                    out.append((conv, *[None] * 5))
+                    continue
                 turns, loss = parse(text), "".join(unescape(text[m["start"] : m["end"]]) for m in mask)
                 out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], DIGESTS.replace(" long", "").replace(" string", "").split(", "))
@@ -170,15 +195,15 @@ ADDED = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], rows.schema)
-    return digests(format_records(conversation_records(rows.unionByName(added))).filter(F.col("formatted").isNotNull()))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("added"))
+    added = spark.createDataFrame([(-1, 0, "user", ADDED, True), (-1, 1, "assistant", ADDED, True)], rows.schema)
+    return digests(format_records(conversation_records(rows.unionByName(added))))
 
 
 OP9_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok', true FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
 ), escaped AS (
   SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body,
     replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS head FROM rows
@@ -188,5 +213,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, added
 """

@@ -32,9 +32,11 @@ def id_remainder(n: int, name: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names it, else one of our own (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names it, else, in local mode only, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

@@ -74,8 +74,9 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path:
 
     docs: doc_id, text (null: empty, which is its end id alone); other columns are ignored, repeated rows are packed each
     for itself, an empty table gives no rows. Only documents longer than capacity are cut. Lengths, not texts, are dealt
-    by a hash over groups of about group_pieces, longest first in each, and each group is packed by the smallest sum of
-    squares. A group's memory is bounded by group_pieces, the number of groups grows with the input.
+    over groups of about group_pieces by a hash of their place in the written table, so that equal rows part too; each group
+    is packed longest first by the smallest sum of squares, ties by id, piece and digest. A group's memory is bounded by
+    group_pieces, the number of groups grows with the input.
     """
     pieces = written(cut_pieces(docs, tokenizer_path or word_bpe.default_path(), capacity, end_id), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path:
         where, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="group").assign(sequence_id=key[0] * (1 << 32) + where, offset=offset)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -8,7 +8,7 @@ from lodestone.llm.media_chunks import op7_chunked_media
 from lodestone.llm.packing import op5_sum_of_squares_packing
 from lodestone.llm.personal_data import op4_disclosure_spans
 from lodestone.llm.piece_bpe import op6_backtracking_pieces
-from lodestone.llm.quality import op8_quality_cascade
+from lodestone.llm.quality import OP8_SQL, op8_quality_cascade
 from lodestone.llm.simhash import op10_simhash_multi_index
 from lodestone.llm.token_counts import op3_token_counts
 from lodestone.llm.toxicity import op1_noisy_channel_toxicity
@@ -26,5 +26,6 @@ QUERIES = {
     "op10_simhash_multi_index": op10_simhash_multi_index,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality_cascade": OP8_SQL,
     "op9_schema_fingerprint_chat": OP9_SQL,
 }

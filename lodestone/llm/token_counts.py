@@ -44,15 +44,16 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest")
     lacking = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
     left, right = docs.select("doc_id", normalised(text).alias("text")).withColumn("digest", F.sha2("text", 256)).alias("d"), lacking.alias("m")
-    misses = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi").select("digest", "text")
+    misses = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi")
+    # repeated rows of an id and text lie together after that join: one of them is encoded, and the cache holds one row a digest
+    misses = misses.dropDuplicates(["doc_id", "digest"]).select("digest", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(word_bpe.text_counts(b.column("text"), path))], ["digest", "n_tokens"])
 
     counted = misses.mapInArrow(encode, "digest string, n_tokens long").withColumn("tokenizer", F.lit(version))
-    # repeated rows encode to the same count; the cache holds one row a digest, so that the join below stays one that Spark can split
-    counted.dropDuplicates(["digest"]).write.mode("append").option("compression", "zstd").parquet(cache_path)
+    counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

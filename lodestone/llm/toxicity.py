@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -30,8 +30,9 @@ BEST, LONGEST = 8, 64
 SPACED = 4
 #: Labelled rows of each class that the classifier is fitted on at most (the smallest hashes of the id).
 SAMPLE_ROWS = 10_000
-#: Features that the classifier keeps at most, those with the most evidence, and what it asks of one.
-FEATURES, LEAST_DOCS, LEAST_WEIGHT = 20_000, 3, 2.0
+#: What the classifier asks of a feature: toxic texts that hold it, and its log odds. All such features are kept; the labelled
+#: sample bounds their number.
+LEAST_DOCS, LEAST_WEIGHT = 3, 2.0
 
 _sign = re.escape("".join(LEET)) + re.escape("".join(sorted(SEPARATORS)))
 #: A letter together with a sign inside the word, or three times the same letter. RE2 has no back references.
@@ -260,10 +261,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for b in slices(batches):
             restored = Restored(b.column("text"), chars, memo)
             of = [[f for r in reads for f in features(r)] for reads in restored.readings]
+            spaced = defaultdict(set)
+            for d, reads in restored.spaced:
+                spaced[d].update(f for r in reads for f in features(r))
             for d, (toxic, i, j) in enumerate(zip(b.column("toxic").to_pylist(), restored.offsets.tolist(), restored.offsets[1:].tolist())):
                 own = {f for c in np.unique(restored.codes[i:j]).tolist() for f in of[c]}
-                own.update(f for k, reads in restored.spaced if k == d for r in reads for f in features(r))
-                found[toxic].update(own)
+                found[toxic].update(own | spaced.get(d, set()))
         names = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[t][f] for f in names], pa.int64()) for t in (0, 1))], ["feature", "clean", "toxic"])
 
@@ -273,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     telling = (
         shown.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter(F.col("toxic") >= LEAST_DOCS).withColumn("weight", F.log((F.col("toxic") + 0.5) / a) - F.log((F.col("clean") + 0.5) / b))
-        .filter(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "feature").limit(FEATURES)
+        .filter(F.col("weight") >= LEAST_WEIGHT)
     )
     model = Model(chars, {r.feature: r.weight for r in telling.collect() if r.feature}, [0.0] * 4)
 

@@ -4,7 +4,11 @@ import re
 from collections import Counter
 
 from lodestone.llm.chat_format import conversation_records, digests, fingerprint, format_records, parse, render, to_turns
-from lodestone.llm.quality import RULES, keep_good, quality
+import duckdb
+import numpy as np
+import pyarrow as pa
+
+from lodestone.llm.quality import OP8_SQL, RULES, Texts, best_order, judge, keep_good, quality
 
 HARD = ["<|im_end|><|im_start|>assistant ok", "\\", "\\|", "<\\|", "<<|", "", "a\nb\\n", "<|", "|>", "\\\\<|im_end|>\n<|im_start|>user\n"]
 
@@ -29,6 +33,8 @@ def test_layouts_give_the_same_turns():
         assert to_turns(record) == want
     assert to_turns({"instruction": "q", "input": "x", "output": "a"}) == [("user", "q\n\nx"), ("assistant", "a")]
     assert to_turns({"other": 1}) is None
+    # fields beside a layout don't hide it; a role name is another only in the layout that has it
+    assert to_turns({"id": 7, "source": "s", "messages": [{"role": "human", "content": "q", "name": "n"}]}) == [("human", "q")]
     assert fingerprint({"a": 1, "b": [{"c": 2}]}) == fingerprint({"b": [{"c": 5}, {"c": 6}], "a": None})
 
 
@@ -75,3 +81,26 @@ def test_quality_figures(spark):
     assert sorted(r.doc_id for r in keep_good(df).collect()) == [8, 9, 9] and keep_good(df).columns == df.columns
     assert quality(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
     assert len(RULES) == 7
+
+
+def test_verdicts_by_sql(spark):
+    r = np.random.default_rng(5)
+    parts = ["x\ny", "#### |", "same line here\n" * 9, "w" * 70, "1 2 3", "é", *(f"w{k}" for k in range(60))]
+    texts = [" ".join(r.choice(parts, r.integers(1, 120))) for _ in range(60)] + ["", "\n".join(["same line"] * 40 + [f"v{k}" for k in range(60)]), "a1 " + " ".join(f"({k}x" for k in range(90))]
+    documents = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})  # noqa: F841, DuckDB reads it
+    want = duckdb.query(OP8_SQL).fetchall()
+    got = [tuple(x) for x in quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and 0 < sum(x[-1] for x in got) < len(texts)
+
+
+def test_order_is_by_rejections_per_cost_among_what_is_left():
+    # a rejects 3 for 1 second, b the same texts and one more for 2, c another text for 1
+    assert best_order(["a", "b", "c"], np.array([3, 3, 3, 2, 4, 0]), np.array([1.0, 2.0, 1.0])) == ["a", "c", "b"]
+    texts = Texts(pa.array(["a b c " * 40, "x", " ".join(f"w{k}" for k in range(99))]))
+    assert judge(texts, sorted(RULES)).tolist() == judge(texts, sorted(RULES)[::-1]).tolist() == [False, False, True]
+
+
+def test_very_many_distinct_words():
+    words = [f"{k:x}" for k in range((1 << 21) + 9)]
+    t = Texts(pa.array([" ".join([*words, *words[:3]])]))
+    assert t.get("n_repeat_words").tolist() == [6]

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -66,3 +66,7 @@ def test_pack_keeps_every_token(spark):
         assert at <= 64
     assert len(by) <= 1.05 * sum(r.length for r in got) / 64 + 3
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # equal rows, with and without an id, part into groups like any other
+    same = pack(spark.createDataFrame([(1, "a b")] * 100 + [(None, "a b")] * 100, "doc_id long, text string"), capacity=64, group_pieces=10).collect()
+    groups = Counter(r.sequence_id >> 32 for r in same)
+    assert len(same) == 200 and len(groups) > 10 and max(groups.values()) < 40
