@@ -3,7 +3,9 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from lodestone.llm.personal_data import CONTEXT, GENERALISE, LEAST_TEXTS, find_personal_data, sanitise
+from pyspark.sql import functions as F
+
+from lodestone.llm.personal_data import CONTEXT, find_personal_data, sanitise
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -30,32 +32,30 @@ def base(text):
 
 def slow(texts):
     """Base spans and terms of all texts, by plain loops."""
-    n_e, n_t, n_te, seen = Counter(), Counter(), Counter(), defaultdict(set)
-    places = []
+    n_t, n_te = Counter(), Counter()
+    beside = defaultdict(set)
     for text in texts:
         n_t.update(re.findall(r"(?<![^\W\d_])[^\W\d_]{4,}", text.lower()))
+        own = set()
         for kind, s, e, v in base(text):
-            entity = f"{kind}:{v.lower()}"
-            n_e[entity] += 1
             for m in re.finditer(r"[^\W\d_]+", text):
                 # words cut by the span itself count as what is left of them beside it
-                for a, b in ((max(m.start(), 0), min(m.end(), s)), (max(m.start(), e), m.end())):
+                for a, b in ((m.start(), min(m.end(), s)), (max(m.start(), e), m.end())):
                     if b - a >= 4 and (b <= s and a >= s - CONTEXT or a >= e and b <= e + CONTEXT):
-                        t = text[a:b].lower()
-                        n_te[entity, t] += 1
-                        seen[entity, t].add(text)
-                        places.append((text, entity, t, a, b))
-    total = sum(n_t.values())
-    told = {}
-    for (entity, t), n in n_te.items():
-        if len(seen[entity, t]) >= LEAST_TEXTS and t in n_t:
-            p, q = min(n_e[entity] / total, 1), min(n / n_t[t], 1)
-            told[entity, t] = math.log2(q / p) / -math.log2(p) if p < 1 else 0
+                        own.add((f"{kind}:{v.lower()}", text[a:b].lower(), a, b))
+        n_te.update((e, t) for e, t, _, _ in own)
+        beside[text] |= own
+    n_e, total = Counter(f"{kind}:{v.lower()}" for text in texts for kind, _, _, v in base(text)), sum(n_t.values())
+    # one occurrence more than was seen, not with the entity; at most a bit is left, and a fifth of what the entity has
+    left = lambda e, t: -math.log2(min(1, n_te[e, t] / (n_t[t] + 1)))
+    told = {(e, t) for e, t in n_te if n_t[t] and left(e, t) <= min(1, -0.2 * math.log2(min(1, n_e[e] / total)) + 1e-12)}
+    names = {t for _, t in told}
     out = {}
     for text in texts:
         spans = base(text)
-        terms = sorted({(a, b) for x, e, t, a, b in places if x == text and told.get((e, t), 0) >= GENERALISE and not any(s < b and a < f for _, s, f, _ in spans)})
-        out[text] = spans, terms
+        places = {(a, b) for e, t, a, b in beside[text] if (e, t) in told}
+        places |= {m.span() for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in names}
+        out[text] = spans, sorted((a, b) for a, b in places if not any(s < b and a < f for _, s, f, _ in spans))
     return out
 
 
@@ -64,6 +64,7 @@ TEXTS = [
     "Write to Jane.Doe@example.com or to x@y@z.com, a@b.c_d@e.f now",
     "Galbraith, the beekeeper, answers at bee.keeper@example.org today",
     "Ask the beekeeper Galbraith common filler (bee.keeper@example.org) for honey",
+    "GALBRAITH sells honey in the village",
     "ips 1.2.3.4.5.6.7.8 and 256.1.1.1 and 0001.02.3.255, 10.0.0.1x",
     "cards 4111 1111 1111 1111, 4111-1111-1111-1112 5500005555555559 123",
     "call +1 (415) 555-2671 or +12 3 or +49.30.123456-78 ext, +1234567890123456",
@@ -109,3 +110,25 @@ def test_sanitised_texts(spark):
     assert got[0] == got[1] and "bee.keeper" not in got[0][1] and "[EMAIL]" in got[0][1]
     assert got[3] == (3, "plain") and got[4][1].startswith("card +[CARD]")
     assert sanitise(docs.limit(0)).count() == 0
+
+
+def test_terms_go_wherever_they_stand_and_verdicts_dont_drift(spark):
+    texts = TEXTS[1:3] + ["Galbraith sells honey in the village", "honey from another village, today", *FILL * 5]
+    one = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise(one).collect()}
+    assert not any("galbraith" in t.lower() for t in clean.values()) and "village" in clean[3]
+    # twice the corpus, same spans
+    find = lambda df: {r.doc_id: r.spans for r in find_personal_data(df).collect()}
+    assert find(one) == find(one.unionByName(one))
+    # columns named like those at work, in any case
+    odd = one.withColumn("Digest", F.lit("mine")).withColumn("spans", F.lit(1)).withColumn("_terms", F.lit(None).cast("int"))
+    assert sanitise(odd).columns == odd.columns and {r.Digest for r in sanitise(odd).collect()} == {"mine"}
+
+
+def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
+    from lodestone.llm import personal_data
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = sorted(map(tuple, find_personal_data(docs).collect()))
+    monkeypatch.setattr(personal_data, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, find_personal_data(docs).collect())) == want
