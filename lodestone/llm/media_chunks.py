@@ -132,12 +132,14 @@ def store_media(docs: DataFrame, listed: DataFrame) -> DataFrame:
     held = each.join(shared, "digest").select("media_sha256", F.struct("digest", (F.col("keeper") == F.col("media_sha256")).alias("keeps")).alias("role"))
     held_roles = written(held.groupBy("media_sha256").agg(F.collect_list("role").alias("roles")), "roles")
     roles = media.select("doc_id", "media_sha256").join(held_roles, "media_sha256", "left")
-    same = F.col("p.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("p.media_sha256") == F.col("r.media_sha256"))
+    # null ids meet under a number, so that the join's keys are columns and what follows needs no other shuffle
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    roles = roles.select(key, "media_sha256", "roles")
     turn = lambda k: F.pmod(F.xxhash64(whole_text()), F.lit(ROUNDS)) == k
 
     def source(k: int) -> DataFrame:
         # repeated rows of an id and text lie together after the join: one of them is kept
-        return packed(docs.filter(turn(k))).alias("p").join(roles.alias("r"), same).select("p.doc_id", "p.media_sha256", "z", "roles").dropDuplicates(["doc_id", "media_sha256"])
+        return packed(docs.filter(turn(k))).select(key, "media_sha256", "z").join(roles, ["key", "media_sha256"]).dropDuplicates(["key", "media_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, open_ = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
