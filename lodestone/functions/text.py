@@ -93,8 +93,7 @@ STOP_WORDS = (
 
 def content_words(text: Column) -> Column:
     """Words without function words and single letters; digits stay."""
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
-    return F.filter(words(text), lambda w: ~F.array_contains(stop, w) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
+    return F.filter(words(text), lambda w: ~w.isin(*sorted(set(STOP_WORDS))) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
 
 
 def stem(word: Column) -> Column:

@@ -13,7 +13,7 @@ CLASS_WEIGHT = ("primary", "spec", "record", "news", "commentary", "other")
 
 def usage_tokens(text: Column) -> Column:
     """Words of four letters or more without function words, repeats included."""
-    return F.filter(t.words(text), lambda w: (F.length(w) >= 4) & ~F.array_contains(F.array(*map(F.lit, sorted(set(t.STOP_WORDS)))), w))
+    return F.filter(t.words(text), lambda w: (F.length(w) >= 4) & ~w.isin(*sorted(set(t.STOP_WORDS))))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -41,11 +41,11 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(t.content_words(F.col("question")))).alias("term"))
 
 
-def bm25(terms: DataFrame, docs: DataFrame, fields: dict[str, float], max_df_share: float = 0.5, keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
+def bm25(terms: DataFrame, docs: DataFrame, fields: dict[str, float], max_df_share: float = 1.0, keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """keys, doc_id, score: fielded BM25 of every document for every query that shares a term with it.
 
-    terms: keys, term and, if there, weight (one otherwise). Terms in more than max_df_share of the documents count as stop
-    words. Documents' terms are cut down to the queries' vocabulary before anything is grouped, so only rows that can score
+    terms: keys, term and, if there, weight (one otherwise). With a max_df_share below one, terms in more of the documents
+    count as stop words. Documents' terms are cut down to the queries' vocabulary before anything is grouped, so only rows that can score
     are shuffled; Spark broadcasts that vocabulary only where its size allows.
     """
     weight = F.col("weight") if "weight" in terms.columns else F.lit(1.0)
@@ -61,7 +61,8 @@ def bm25(terms: DataFrame, docs: DataFrame, fields: dict[str, float], max_df_sha
 
 
 def floored(scored: DataFrame, least: float, relative: float, keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
-    """Rows with at least a fixed score and a share of their query's best."""
+    """Rows with at least a fixed score and a share of their query's best. Best after `top`: the same rows, and a query's window
+    holds k of them."""
     return scored.withColumn("top", F.max("score").over(Window.partitionBy(*keys))).filter(F.col("score") >= F.greatest(F.lit(least), F.col("top") * relative)).drop("top")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,11 @@ SHARED = "spark.checkpoint.dir"
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one where none is named."""
-    import tempfile
-
-    return (spark.conf.get(SHARED, None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """The folder that the cluster shares; in local mode one of our own where none is named."""
+    found = spark.conf.get(SHARED, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SHARED} must name a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +96,7 @@ ORACLE_SQL = {
     "request_bursts": BURSTS,
     "live_request_bursts": BURSTS,
     "quote_payments": "SELECT q.event_id AS quote_id, q.user_id, p.event_id AS payment_id FROM (SELECT * FROM events WHERE event_type = 'signup') q LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON q.user_id = p.user_id AND p.ts BETWEEN q.ts AND q.ts + INTERVAL 600 MINUTE",
-    "reused_transactions": "SELECT event_id AS payment_id, json_extract_string(props, '$.k') AS txid FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY ts, event_id) > 1",
+    "reused_transactions": "SELECT event_id AS payment_id, json_extract_string(props, '$.k') AS txid FROM events WHERE event_type = 'purchase' AND json_extract_string(props, '$.k') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY ts, event_id) > 1",
     "latest_states": "SELECT user_id AS key, arg_max(CASE event_type WHEN 'signup' THEN 'quoted' WHEN 'purchase' THEN 'paid' WHEN 'view' THEN 'delivered' WHEN 'error' THEN 'failed' ELSE 'refunded' END, {'ts': ts, 'i': event_id}) AS status, count(*) AS changes FROM events GROUP BY ALL",
     "answers_within_ttl": """WITH RECURSIVE k AS (SELECT user_id, arg_min(event_id, {'t': ts, 'i': event_id}) AS change_id, min(ts) AS ts FROM events GROUP BY ALL
 UNION ALL SELECT user_id, event_id, ts FROM (SELECT e.user_id, e.event_id, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS r FROM k JOIN events e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 6 HOUR) WHERE r = 1) SELECT change_id FROM k""",

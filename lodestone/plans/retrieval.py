@@ -19,12 +19,12 @@ AS_OF = "1998-08-02"
 def top_passages(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents for each question, with at least a quarter of the best one's score."""
     scored = ops.bm25(ops.query_terms(questions(spark, d)), corpus(spark, d), TEXT)
-    return ops.top(ops.floored(scored, 0.0, 0.25), 3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return ops.floored(ops.top(scored, 3), 0.0, 0.25).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def fielded_passages(spark: SparkSession, d: str) -> DataFrame:
     scored = ops.bm25(ops.query_terms(questions(spark, d)), corpus(spark, d), FIELDS)
-    return ops.top(ops.floored(scored, 2.0, 0.3), 4).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return ops.floored(ops.top(scored, 4), 2.0, 0.3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ fresh AS (SELECT * FROM raw WHERE trim(query) <> '' QUALIFY row_number() OVER (P
 variants AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY p) AS pos, query FROM fresh QUALIFY pos <= 3)"""
 VARIANT_TERMS = f"asked AS (SELECT question_id, pos, unnest(list_distinct({content_sql('query')})) AS term, 1.0 AS weight FROM variants)"
 SCORED = """scored AS (SELECT question_id, pos, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
-  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), stats WHERE df <= n * 0.5 GROUP BY ALL)"""
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), stats GROUP BY ALL)"""
 VOCABULARY = f"vocabulary AS (SELECT DISTINCT unnest({content_sql('text')}) AS word FROM documents)"
 
 

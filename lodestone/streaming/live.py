@@ -40,8 +40,8 @@ def matched_payments(quotes: DataFrame, payments: DataFrame, minutes: int = 10)
 
 
 def reused(payments: DataFrame) -> DataFrame:
-    """Payments whose transaction an earlier payment used."""
-    return payments.withColumn("r", F.row_number().over(Window.partitionBy("txid").orderBy("paid_at", "payment_id"))).filter("r > 1").select("payment_id", "txid")
+    """Payments whose transaction an earlier payment used; payments without one used none."""
+    return payments.filter("txid is not null").withColumn("r", F.row_number().over(Window.partitionBy("txid").orderBy("paid_at", "payment_id"))).filter("r > 1").select("payment_id", "txid")
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
