@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, retrieval
 from lodestone.plans.evidence import C12, _candidates
+from lodestone.plans.live import shared_folder
 from lodestone.sources import archives as ops
 from lodestone.sources.tables import questions, table
 
@@ -19,8 +19,7 @@ HEADS = [(r"(?i)\bthe\s+of\b", "the of"), (r"(?i)\bwas\s+", "was")]
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a catalogue, written as text files and read as sections."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
     p = F.col("p_partkey")
     section = F.element_at(F.array(F.lit("apps"), F.lit("blocks"), F.lit("orgs"), F.lit("other")), (p % 4 + 1).cast("int"))
     entry = F.concat(F.col("p_name"), F.lit("\nURL: https://example.org/"), section, F.lit("/part-"), p.cast("string"), F.lit("\nCategory: "), F.col("p_brand"), F.lit("\nTags: "), F.col("p_type"), F.lit(", x\nLast updated: 2024-01-"), F.lpad((p % 28 + 1).cast("string"), 2, "0"), F.lit("\nDescription: "), F.concat(F.lit("size "), F.col("p_size").cast("string")), F.lit("\n"))

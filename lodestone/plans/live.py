@@ -14,7 +14,7 @@ LIMIT = 1
 SHARED = "spark.checkpoint.dir"
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares; in local mode one of our own where none is named."""
     found = spark.conf.get(SHARED, None)
     if not found and not spark.sparkContext.master.startswith("local"):
@@ -40,7 +40,7 @@ def feedback_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def live_feedback_tallies(spark: SparkSession, d: str) -> DataFrame:
     """The same as a stream."""
-    return ops.drained(ops.tallies(_ratings(ops.event_stream(spark, f"{d}/events.parquet")), "1 day"), "update", ["window_start", "mode"], _folder(spark))
+    return ops.drained(ops.tallies(_ratings(ops.event_stream(spark, f"{d}/events.parquet")), "1 day"), "update", ["window_start", "mode"], shared_folder(spark))
 
 
 def request_bursts(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def request_bursts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_request_bursts(spark: SparkSession, d: str) -> DataFrame:
-    return ops.drained(ops.bursts(ops.event_stream(spark, f"{d}/events.parquet"), LIMIT, "10 minutes"), "update", ["user_id", "window_start"], _folder(spark))
+    return ops.drained(ops.bursts(ops.event_stream(spark, f"{d}/events.parquet"), LIMIT, "10 minutes"), "update", ["user_id", "window_start"], shared_folder(spark))
 
 
 def quote_payments(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def latest_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_purchase_states(spark: SparkSession, d: str) -> DataFrame:
-    return ops.drained(ops.purchase_states(_changes(ops.event_stream(spark, f"{d}/events.parquet"))), "update", ["key"], _folder(spark))
+    return ops.drained(ops.purchase_states(_changes(ops.event_stream(spark, f"{d}/events.parquet"))), "update", ["key"], shared_folder(spark))
 
 
 def answers_within_ttl(spark: SparkSession, d: str) -> DataFrame:
