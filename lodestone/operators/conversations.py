@@ -64,17 +64,18 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), *FOLDED)
 
 
-def search_threads(messages: DataFrame, queries: DataFrame) -> DataFrame:
+def search_threads(messages: DataFrame, queries: DataFrame, most: int = 2_000) -> DataFrame:
     """query_id, conv_id, turn, snippet: threads that hold all terms of a query (query_id, query), accents and case folded;
     the first turn that holds any, with 52 characters on both sides of its first match. Terms are parts of words, so every
-    message is held against every query: the queries are the short, given list."""
+    message is held against every query. Up to `most` queries are sent to all tasks, more of them meet the messages in blocks."""
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(folded(F.col("query")), r"\s+"), lambda x: x != ""))).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    wanted = F.broadcast(wanted) if queries.limit(most + 1).count() <= most else wanted
     text = folded(F.col("text"))
-    hit = messages.withColumn("fold", text).crossJoin(F.broadcast(wanted)).withColumn("found", F.filter("terms", lambda x: F.contains("fold", x))).filter("size(found) > 0")
+    hit = messages.withColumn("fold", text).crossJoin(wanted).withColumn("found", F.filter("terms", lambda x: F.contains("fold", x))).filter("size(found) > 0")
     at = F.array_min(F.transform("found", lambda x: F.position(x, F.col("fold"))))
     rows = hit.withColumn("at", at).withColumn("snippet", F.substr("text", F.greatest(F.col("at") - 52, F.lit(1)), F.lit(104)))
-    by = rows.groupBy("query_id", "conv_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.first("terms").alias("terms"), F.min(F.struct("turn", "snippet")).alias("m"))
+    by = rows.groupBy("query_id", "conv_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("n"), F.first("terms").alias("terms"), F.min(F.struct("turn", "snippet")).alias("m"))
     return by.filter(F.col("n") == F.size("terms")).select("query_id", "conv_id", "m.turn", "m.snippet")
 
 

@@ -145,11 +145,31 @@ def recency_weight(months: Column, half_life: float = 12.0) -> Column:
     return F.when(months <= 0, 1.0).otherwise(F.pow(F.lit(2.0), -months / F.lit(half_life)))
 
 
-def seeded_sample(items: DataFrame, sessions: DataFrame, n: int, seed: int) -> DataFrame:
-    """session, item: n items for each session, the smallest hashes of seed, session and item. Each session sees each item,
-    as the result asks for; sessions are the short side."""
-    h = F.xxhash64(F.lit(seed), "session", "item")
-    return sessions.crossJoin(items).withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy(h, "item"))).filter(F.col("r") <= n).select("session", "item")
+def seeded_sample(items: DataFrame, sessions: DataFrame, n: int, seed: int, last: DataFrame | None = None) -> DataFrame:
+    """session, item: n distinct items for each session, or all where there are fewer; not the same set as in last (session,
+    item) while the items allow another.
+
+    Items stand in a circle in the order of their hashes; a session takes n of them from a place of its own, and the n after
+    them where last holds just those. Sessions meet items by place, so nothing is paired with everything. Null sessions and
+    items are left out, repeated ones count once.
+    """
+    number = lambda c: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), c.cast("string"))), 1, 12), 16, 10).cast("long")
+    hashed = items.select("item").filter("item is not null").distinct().withColumn("h", number(F.col("item"))).withColumn("bucket", F.shiftright("h", 36))
+    # at most 4,096 buckets: the window over them is bounded
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hashed.groupBy("bucket").agg(F.count("*").alias("k")).select("bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("h", "item")) - 1
+    circle = hashed.join(starts, "bucket").select(place.alias("place"), "item")
+    size = hashed.agg(F.count("*").alias("size"))  # one row
+    places = sessions.select("session").filter("session is not null").distinct().crossJoin(size).filter("size > 0")
+    taken = lambda p: p.select("session", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), "size") - 1)).alias("i"), "size", "from").select("session", F.pmod(F.col("from") + F.col("i"), "size").alias("place")).join(circle, "place").select("session", "item")
+    places = places.withColumn("from", F.pmod(number(F.col("session")), "size"))
+    if last is not None:
+        shown = last.select("session", "item").distinct()
+        both = taken(places).withColumn("new", F.lit(1)).join(shown.withColumn("old", F.lit(1)), ["session", "item"], "full")
+        same = both.groupBy("session").agg(F.every(F.col("new").isNotNull() & F.col("old").isNotNull()).alias("same"))
+        places = places.join(same, "session", "left").withColumn("from", F.col("from") + F.when(F.col("same"), n).otherwise(0))
+    return taken(places)
 
 
 def question_shape(question: Column, rules: list[tuple[str, str]]) -> Column:

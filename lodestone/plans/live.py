@@ -51,11 +51,19 @@ def live_request_bursts(spark: SparkSession, d: str) -> DataFrame:
     return ops.drained(ops.bursts(ops.event_stream(spark, f"{d}/events.parquet"), LIMIT, "10 minutes"), "update", ["user_id", "window_start"], shared_folder(spark))
 
 
-def quote_payments(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+def _quotes_and_payments(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     quotes = e.filter("event_type = 'signup'").select(F.col("event_id").alias("quote_id"), "user_id", F.col("ts").alias("quoted_at"))
-    payments = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("payment_id"), "user_id", F.col("ts").alias("paid_at"))
-    return ops.matched_payments(quotes, payments, 600)
+    return quotes, e.filter("event_type = 'purchase'").select(F.col("event_id").alias("payment_id"), "user_id", F.col("ts").alias("paid_at"))
+
+
+def quote_payments(spark: SparkSession, d: str) -> DataFrame:
+    return ops.matched_payments(*_quotes_and_payments(_events(spark, d)), 600)
+
+
+def live_quote_payments(spark: SparkSession, d: str) -> DataFrame:
+    """A join of two streams: the quotes that were paid in time."""
+    quotes, payments = _quotes_and_payments(ops.event_stream(spark, f"{d}/events.parquet"))
+    return ops.drained(ops.matched_payments(quotes, payments, 600, "inner"), "append", ["quote_id", "payment_id"], shared_folder(spark))
 
 
 def reused_transactions(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +92,7 @@ def text_prices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", ops.price(F.length("text"), 50.0).alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (feedback_tallies, feedback_totals, live_feedback_tallies, request_bursts, live_request_bursts, quote_payments, reused_transactions, latest_states, live_purchase_states, answers_within_ttl, text_prices)}
+QUERIES = {f.__name__: f for f in (feedback_tallies, feedback_totals, live_feedback_tallies, request_bursts, live_request_bursts, quote_payments, live_quote_payments, reused_transactions, latest_states, live_purchase_states, answers_within_ttl, text_prices)}
 
 RATINGS = "r AS (SELECT ts, event_type = 'view' AS up, CASE WHEN user_id % 4 > 0 THEN 'm' || (user_id % 4) END AS mode FROM events WHERE event_type IN ('view', 'click'))"
 TALLIES = f"WITH {RATINGS} SELECT (date_trunc('day', ts))::TIMESTAMPTZ AS window_start, mode, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down FROM r GROUP BY ALL"
@@ -96,6 +104,7 @@ ORACLE_SQL = {
     "request_bursts": BURSTS,
     "live_request_bursts": BURSTS,
     "quote_payments": "SELECT q.event_id AS quote_id, q.user_id, p.event_id AS payment_id FROM (SELECT * FROM events WHERE event_type = 'signup') q LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON q.user_id = p.user_id AND p.ts BETWEEN q.ts AND q.ts + INTERVAL 600 MINUTE",
+    "live_quote_payments": "SELECT q.event_id AS quote_id, q.user_id, p.event_id AS payment_id FROM (SELECT * FROM events WHERE event_type = 'signup') q JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON q.user_id = p.user_id AND p.ts BETWEEN q.ts AND q.ts + INTERVAL 600 MINUTE",
     "reused_transactions": "SELECT event_id AS payment_id, json_extract_string(props, '$.k') AS txid FROM events WHERE event_type = 'purchase' AND json_extract_string(props, '$.k') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY ts, event_id) > 1",
     "latest_states": "SELECT user_id AS key, arg_max(CASE event_type WHEN 'signup' THEN 'quoted' WHEN 'purchase' THEN 'paid' WHEN 'view' THEN 'delivered' WHEN 'error' THEN 'failed' ELSE 'refunded' END, {'ts': ts, 'i': event_id}) AS status, count(*) AS changes FROM events GROUP BY ALL",
     "answers_within_ttl": """WITH RECURSIVE k AS (SELECT user_id, arg_min(event_id, {'t': ts, 'i': event_id}) AS change_id, min(ts) AS ts FROM events GROUP BY ALL

@@ -100,8 +100,10 @@ def question_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeded_samples(spark: SparkSession, d: str) -> DataFrame:
-    sessions = table(spark, d, "nation").select(F.col("n_nationkey").alias("session"))
-    return ops.seeded_sample(questions(spark, d).select(F.col("question_id").alias("item")), sessions, 4, 7)
+    """Users are sessions; each third one has just seen the sample that the seed gives."""
+    sessions = table(spark, d, "events").select(F.col("user_id").alias("session"))
+    pool = questions(spark, d).select(F.col("question_id").alias("item"))
+    return ops.seeded_sample(pool, sessions, 4, 7, last=ops.seeded_sample(pool, sessions.filter("session % 3 = 0"), 4, 7))
 
 
 def unseen_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +155,11 @@ SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score D
 #: (place, rest) for the word itself (place 0) and for each letter left out. DuckDB's edit distance counts bytes, so places decide.
 DELETED = lambda x: f"list_transform(range(0, length({x}) + 1), lambda i: {{'i': i, 'key': CASE WHEN i = 0 THEN {x} ELSE substr({x}, 1, i - 1) || substr({x}, i + 1) END}})"
 MONTHS = f"greatest((year(DATE '{AS_OF}') - year(o_orderdate)) * 12 + month(DATE '{AS_OF}') - month(o_orderdate) - (day(DATE '{AS_OF}') < day(o_orderdate))::INT, 0)"
+HASH = lambda x: f"('0x' || substr(md5('7|' || {x}::VARCHAR), 1, 12))::BIGINT"
 ORACLE_SQL = {
+    "seeded_samples": f"""WITH c AS (SELECT item, row_number() OVER (ORDER BY {HASH('item')}, item) - 1 AS place FROM (SELECT DISTINCT item_id AS item FROM benchmark WHERE item_id IS NOT NULL)), z AS (SELECT count(*) AS size FROM c),
+s AS (SELECT DISTINCT user_id AS session FROM events WHERE user_id IS NOT NULL)
+SELECT session, item FROM (SELECT session, ({HASH('session')} % size + i + CASE WHEN session % 3 = 0 THEN 4 ELSE 0 END) % size AS place FROM s, z, range(0, 4) r(i) WHERE i < size) JOIN c USING (place)""",
     "top_passages": f"WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, {top_sql(3, 0.0, 0.25)}",
     "fielded_passages": f"WITH {QUESTIONS}, {docs_sql(FIELDS)}, {SCORED}, {top_sql(4, 2.0, 0.3)}",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({content_sql('text')})) AS term FROM documents) GROUP BY ALL",

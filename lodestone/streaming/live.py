@@ -32,11 +32,12 @@ def bursts(requests: DataFrame, limit: int, width: str = "1 minute") -> DataFram
     return by.agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("user_id", F.col("window.start").alias("window_start"), "n")
 
 
-def matched_payments(quotes: DataFrame, payments: DataFrame, minutes: int = 10) -> DataFrame:
-    """Each quote (quote_id, user_id, quoted_at) with the payments of its user within ten minutes, or without one."""
+def matched_payments(quotes: DataFrame, payments: DataFrame, minutes: int = 10, how: str = "leftOuter") -> DataFrame:
+    """Each quote (quote_id, user_id, quoted_at) with the payments of its user within ten minutes, or without one. Two streams
+    keep a quote until the watermark has passed its time; a stream gives quotes without a payment only after that."""
     q, p = quotes.withWatermark("quoted_at", LATE), payments.withWatermark("paid_at", LATE).withColumnRenamed("user_id", "payer")
     inside = (F.col("user_id") == F.col("payer")) & (F.col("paid_at") >= F.col("quoted_at")) & (F.col("paid_at") <= F.col("quoted_at") + F.make_dt_interval(mins=F.lit(minutes)))
-    return q.join(p, inside, "leftOuter").select("quote_id", "user_id", "payment_id")
+    return q.join(p, inside, how).select("quote_id", "user_id", "payment_id")
 
 
 def reused(payments: DataFrame) -> DataFrame:
