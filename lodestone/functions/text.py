@@ -82,12 +82,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-#: Function words of the four languages of the driver's documents. Fixed values.
-STOP_WORDS = (
-    "a an and are as at be but by for from had has have he her his i if in into is it its me my not of on or so that the their them they this to was we were what when which who will with you your "
-    "der die das und ist von mit den im zu ein eine nicht auf für sich dem des auch als "
-    "le la les de du des et un une est que qui en dans par pour sur au avec "
-    "el los las y o del al con por para se su una como más"
+#: Closed word classes of the four languages of the driver's documents, form by form: articles; personal pronouns and
+#: possessives; forms of be and have; prepositions; conjunctions and negation.
+STOP_WORDS = " ".join(
+    (
+        # English
+        "the a an this that these those",
+        "i me my you your he him his she her it its we us our they them their who which what",
+        "am is are was were be been has have had will would can",
+        "of to in on at by for from with into",
+        "and or but if as than so not",
+        # German
+        "der die das den dem des ein eine einen einem einer dieser",
+        "ich du er sie es wir ihr mich sich sein ihre",
+        "bin ist sind war waren hat haben wird werden",
+        "von zu zum zur im am mit auf für aus bei nach um",
+        "und oder aber wenn dass als auch wie nicht",
+        # French
+        "le la les un une du ce cette ces",
+        "je tu il elle nous vous ils elles se son sa ses leur qui que",
+        "est sont été a ont avait sera",
+        "de des à au aux en dans par pour sur avec",
+        "et ou mais si comme ne pas",
+        # Spanish
+        "el los las lo unos una uno del este esta",
+        "yo tú él ella nosotros ellos me su sus mi quien",
+        "es son fue era ha han será",
+        "con por para sin al desde hasta",
+        "y o pero como más no ni",
+    )
 ).split()
 
 

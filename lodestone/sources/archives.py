@@ -50,26 +50,48 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 def html_mail(pages: DataFrame, author_class: str) -> DataFrame:
     """id, title, date, text: one row for each message division of the author's class in each page (file, value)."""
-    parts = F.filter(F.transform(F.split("value", r'(?i)(?=<div\s+class="message)'), lambda x: x), lambda x: x.rlike(rf'(?i)^<div\s+class="message {author_class}"'))
-    header = lambda name: F.nullif(t.decoded(F.trim(F.regexp_extract("part", rf"(?i)<strong>{name}</strong>:\s*([^<]+)", 1))), F.lit(""))
+    parts = F.filter(F.split("value", r'(?i)(?=<div\s+class="message)'), lambda x: x.rlike(rf'(?i)^<div\s+class="message {author_class}"'))
     rows = pages.select("file", F.explode(parts).alias("part"))
+    # each bold label with what stands between it and the next tag
+    label = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "<", 1))).alias("name"), F.element_at(F.split(x, "(?i)</strong>", 2), -1).alias("rest"))
+    rows = rows.withColumn("labels", F.transform(F.split("part", "(?i)<strong>"), label))
+    header = lambda name: F.nullif(t.decoded(F.trim(F.ltrim(F.substring_index(F.get(F.filter("labels", lambda x: (x["name"] == name) & F.startswith(x["rest"], F.lit(":"))), 0)["rest"], "<", 1), F.lit(":")))), F.lit(""))
     body = t.decoded(F.regexp_extract("part", r"(?is)<pre>(.*?)</pre>", 1))
-    return rows.select(F.regexp_extract("part", r'(?i)id="([^"]+)"', 1).alias("id"), F.coalesce(header("Subject"), F.lit("Untitled")).alias("title"), header("Date").alias("date"), F.trim(body).alias("text")).filter("text <> ''")
+    return rows.select(F.regexp_extract("part", r'(?i)id="([^"]+)"', 1).alias("id"), F.coalesce(header("subject"), F.lit("Untitled")).alias("title"), header("date").alias("date"), F.trim(body).alias("text")).filter("text <> ''")
 
 
-def markdown_mail(files: DataFrame) -> DataFrame:
+#: Fields of mail headers as RFC 5322 and its kin name them, and three that archives add.
+MAIL_FIELDS = "(?:resent-)?(?:from|sender|reply-to|to|cc|bcc|message-id|date)|in-reply-to|references|subject|comments|keywords|return-path|received|mime-version|(?:content|x|delivered)-[a-z-]+|sent|status|attachments"
+#: What the lines below the rule before an archive's footer begin with.
+FOOTER_MARKS = ("source file", "external link")
+
+
+def markdown_mail(files: DataFrame, fields: str = MAIL_FIELDS, marks: tuple[str, ...] = FOOTER_MARKS) -> DataFrame:
     """file, sender, subject, date, body: headers up to the first other line (of repeated ones the first), the date from
-    Date, else Sent, else the envelope line; the archive's footer is cut."""
-    text = t.decoded(F.regexp_replace(F.regexp_replace(F.replace("value", F.lit("\r"), F.lit("")), r"\\>", ">"), r"(?i)<br\s*/?>", "\n"))
-    known = "from|date|sent|subject|to|cc|bcc|reply-to|message-id|return-path|received|mime-version|content-type|status|attachments"
-    rows = files.select("file", text.alias("value"))
-    head = F.regexp_extract("value", rf"(?is)^((?:#[^\n]*\n)?(?:(?:[ \t]*\n)|(?:From\s+\S+@\S+[^\n]*\n)|(?:(?:{known}):[^\n]*\n)|(?:[ \t]+\S[^\n]*\n))*)", 1)
-    rows = rows.withColumn("head", head).withColumn("body", F.substr("value", F.length("head") + 1, F.length("value")))
-    key = lambda k: F.nullif(F.trim(F.regexp_extract("head", rf"(?im)^{k}:[ \t]*([^\n]*)$", 1)), F.lit(""))
-    envelope = lambda i: F.nullif(F.trim(F.regexp_extract("head", r"(?m)^From\s+(\S+@\S+)(?:[ \t]+([^\n]*))?$", i)), F.lit(""))
-    title = F.nullif(F.trim(F.regexp_extract("head", r"^#+[ \t]*([^\n]*)", 1)), F.lit(""))
-    body = F.trim(F.regexp_replace("body", r"(?is)\n---\s*\n.*?(?:Source files?:|External link).*$", ""))
-    return rows.select("file", F.coalesce(key("from"), envelope(1)).alias("sender"), F.coalesce(key("subject"), title, F.lit("Untitled")).alias("subject"), F.coalesce(key("date"), key("sent"), envelope(2)).alias("date"), body.alias("body"))
+    Date, else Sent, else the envelope line. The footer, from the first rule (---) with one of the marks somewhere below it, is
+    cut. Lines are told apart one by one: empty, field, envelope, going on from the line before, title, or text."""
+    text = t.decoded(F.replace(F.replace(F.replace("value", F.lit("\r"), F.lit("")), F.lit("\\>"), F.lit(">")), F.lit("<br>"), F.lit("\n")))
+    rows = files.select("file", F.split(text, "\n").alias("lines"))
+
+    def told(x: Column, i: Column) -> Column:
+        name = F.lower(F.substring_index(x, ":", 1))
+        kind = F.when(F.trim(x) == "", "empty").when((i == 0) & F.startswith(x, F.lit("#")), "title").when(F.contains(x, F.lit(":")) & name.rlike(f"^(?:{fields})$"), name)
+        kind = kind.when(F.startswith(x, F.lit("From ")) & F.contains(F.get(F.split(x, " +"), 1), F.lit("@")), "envelope").when(x.rlike("^[ \t]") & (i > 0), "more").otherwise("text")
+        return F.struct(kind.alias("kind"), x.alias("line"))
+
+    rows = rows.withColumn("told", F.transform("lines", told))
+    first = F.array_position(F.transform("told", lambda x: x["kind"]), F.lit("text")).cast("int")
+    rows = rows.withColumn("n", F.when(first == 0, F.size("lines")).otherwise(first - 1))
+    rows = rows.withColumn("head", F.slice("told", 1, F.col("n"))).withColumn("rest", F.slice("lines", F.col("n") + 1, F.size("lines")))
+    one = lambda kind: F.get(F.filter("head", lambda x: x["kind"] == kind), 0)["line"]
+    key = lambda k: F.nullif(F.trim(F.substr(one(k), F.lit(len(k) + 2))), F.lit(""))
+    envelope = F.split(one("envelope"), r"[ \t]+", 3)
+    title = F.nullif(F.trim(F.ltrim(one("title"), F.lit("#"))), F.lit(""))
+    rules = F.transform("rest", lambda x, i: F.when(F.rtrim(x) == "---", i))
+    below = F.array_max(F.transform("rest", lambda x, i: F.when(F.lower(x).rlike("|".join(marks)), i)))
+    rule = F.array_min(rules)
+    body = F.trim(F.array_join(F.when(rule < below, F.slice("rest", 1, rule)).otherwise(F.col("rest")), "\n"), F.lit(" \n\t"))
+    return rows.select("file", F.coalesce(key("from"), F.get(envelope, 1)).alias("sender"), F.coalesce(key("subject"), title, F.lit("Untitled")).alias("subject"), F.coalesce(key("date"), key("sent"), F.nullif(F.trim(F.get(envelope, 2)), F.lit(""))).alias("date"), body.alias("body"))
 
 
 def catalogue_sections(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,9 @@ def test_mail(spark, tmp_path):
     (tmp_path / "b.md").write_text("# Heading\n\nFrom a@b.org Thu Jan 1\nSubject: One\nSubject: Two\nSent: 2 Jan 2009\n\nBody line\nmore\n---\nSource files: x\n")
     r = archives.markdown_mail(archives.whole_files(spark, str(tmp_path / "b.md"))).first()
     assert (r.sender, r.subject, r.date, r.body) == ("a@b.org", "One", "2 Jan 2009", "Body line\nmore")
+    files = spark.createDataFrame([("a", ""), ("b", None), ("c", "FROM: x@y\n folded\nno field: z\n---\nkept"), ("d", "text\n---\nmore\n---\nExternal link: u\nend")], "file string, value string")
+    got = {m.file: (m.sender, m.subject, m.date, m.body) for m in archives.markdown_mail(files).collect()}
+    assert got == {"a": (None, "Untitled", None, ""), "b": (None, "Untitled", None, None), "c": ("x@y", "Untitled", None, "no field: z\n---\nkept"), "d": (None, "Untitled", None, "text")}
 
 
 def test_catalogue(spark, tmp_path):
