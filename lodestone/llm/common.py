@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,8 +79,25 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Each batch in parts of about max_bytes of text (one row at least), so that a task's memory doesn't follow the batch size."""
+#: What a Python worker keeps between tasks, by name.
+kept: dict[str, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def let_go(keeps: str | None = None) -> None:
+    """Gives memory back that the worker has free, with all that it kept under other names: workers live on between tasks,
+    and what one operator no longer needs would be missing to the next."""
+    for name in [k for k in kept if k != keeps]:
+        del kept[name]
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Each batch in parts of about max_bytes of text (one row at least), so that a task's memory doesn't follow the batch size.
+    keeps: the name of what the task has in kept."""
+    let_go(keeps)
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size, dtype=np.int64) // max_bytes
@@ -87,6 +105,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    let_go(keeps)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -58,7 +58,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4")
-        for b in slices(batches):
+        for b in slices(batches, keeps=tokenizer_path):
             ids, at = word_bpe.text_ids(b.column("text"), tokenizer_path)
             rows = []
             for doc, i, j in zip(b.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist()):

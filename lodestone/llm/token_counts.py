@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     misses = misses.dropDuplicates(["doc_id", "digest"]).select("digest", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, keeps=path):
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(word_bpe.text_counts(b.column("text"), path))], ["digest", "n_tokens"])
 
     counted = misses.mapInArrow(encode, "digest string, n_tokens long").withColumn("tokenizer", F.lit(version))

@@ -15,13 +15,12 @@ import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import coded, split_words
+from lodestone.llm.common import coded, kept, split_words
 
 NAME = "word_bpe_49k.json"
 #: Words kept for reuse in one Python worker; beyond that the store starts anew. It bounds memory and changes no result.
 KEPT_WORDS = 700_000
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_open: dict[str, WordTokens] = {}
 
 
 def default_path() -> str:
@@ -66,10 +65,10 @@ class WordTokens:
 
 
 def tokens(path: str) -> WordTokens:
-    """One per Python worker, kept between tasks."""
-    if path not in _open:
-        _open[path] = WordTokens(path)
-    return _open[path]
+    """One per Python worker, kept between tasks that name the path."""
+    if path not in kept:
+        kept[path] = WordTokens(path)
+    return kept[path]
 
 
 def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
