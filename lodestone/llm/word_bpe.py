@@ -19,7 +19,9 @@ from lodestone.llm.common import coded, kept, split_words
 
 NAME = "word_bpe_49k.json"
 #: Words kept for reuse in one Python worker; beyond that the store starts anew. It bounds memory and changes no result.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 350_000
+#: Words whose ids are fetched at a time.
+SOME_WORDS = 65_536
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
@@ -81,7 +83,11 @@ def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     pool = np.frombuffer(b"".join(per_word), dtype="<u4")
     count = size[codes]
     ends = np.concatenate([[0], np.cumsum(count)])
-    ids = pool[np.repeat(first[codes] - ends[:-1], count) + np.arange(ends[-1])]
+    ids = np.empty(ends[-1], "<u4")
+    for k in range(0, len(codes), SOME_WORDS):
+        own = slice(k, k + SOME_WORDS)
+        i, j = ends[k], ends[min(k + SOME_WORDS, len(codes))]
+        ids[i:j] = pool[np.repeat(first[codes[own]] - ends[:-1][own], count[own]) + np.arange(i, j)]
     return ids, ends[offsets]
 
 
