@@ -13,7 +13,8 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
     """doc_id, term, tf (weighted by the boosts of the fields the term stands in), length (weighted as well).
 
-    Terms are counted within their row, so nothing is shuffled here."""
+    One row for each occurrence; bm25 groups them. Where more than one query is asked of the same documents, term_index holds
+    them counted."""
     rows = docs.select("doc_id", *(t.content_words(F.col(f)).alias(f"w{i}") for i, f in enumerate(fields)))
     length = sum((F.size(f"w{i}") * F.lit(float(b)) for i, b in enumerate(fields.values())), F.lit(0.0))
     each = F.flatten(F.array(*(_boosted(f"w{i}", b) for i, b in enumerate(fields.values()))))

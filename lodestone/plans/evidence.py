@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import evaluation, evidence as ops, retrieval
-from lodestone.plans.retrieval import QUESTIONS, SCORED, TEXT, content_sql, docs_sql, stem_sql, words_sql
+from lodestone.operators import evaluation, evidence as ops, retrieval, term_index
+from lodestone.plans.retrieval import QUESTIONS, SCORED, TEXT, content_sql, docs_sql, index, stem_sql, words_sql
 from lodestone.sources.tables import corpus, questions, table
 
 BUDGET = {"primary": 2, "spec": 3, "essay": 1}
@@ -17,7 +17,7 @@ LINT = {r"(?i)\bworthless\b": "worthless", r"(?i)\bgnu general public\b": "licen
 def _candidates(spark: SparkSession, d: str, k: int = 12) -> DataFrame:
     """The best k passages with what packing asks of them: the language makes the tier, the source the theme."""
     docs = corpus(spark, d)
-    ranked = retrieval.top(retrieval.bm25(retrieval.query_terms(questions(spark, d)), docs, TEXT), k)
+    ranked = retrieval.top(term_index.search(index(spark, d), retrieval.query_terms(questions(spark, d)), TEXT), k)
     tier = F.when(F.col("lang") == "en", "essay").when(F.col("lang") == "de", "spec").otherwise("primary")
     # texts are joined after the top-k: candidates are small until then
     return ranked.join(docs, "doc_id").select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"), "title", F.substring("text", 1, 400).alias("excerpt"), tier.alias("tier"), F.col("kind").alias("theme"), F.concat_ws("/", "kind", "lang").alias("series"), F.concat(F.lit("https://example.org/"), "kind").alias("url"), F.length("text").alias("chars"))
@@ -58,9 +58,9 @@ def evidence_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_second_hop(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d)
+    c = _candidates(spark, d).join(corpus(spark, d).select("doc_id", "text"), "doc_id")
     own = questions(spark, d).select("question_id", F.explode(F.regexp_extract_all("question", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("query"))
-    return ops.second_hop(c.select("question_id", "rank", F.col("excerpt").alias("text")), own, "[A-Z][a-z]{6,}")
+    return ops.second_hop(c.select("question_id", "rank", "text"), own, "[A-Z][a-z]{6,}")
 
 
 def evidence_deduplicated(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +168,7 @@ SELECT m.question_id, m.doc_id, coalesce(t, false) AS in_title, coalesce(t, fals
 f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank, side) = 1) SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY rank, side) AS place, side FROM f""",
     "evidence_claims": """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT o_orderkey AS claim_id, string_agg(CASE WHEN p_partkey % 3 = 1 THEN p_name ELSE p_partkey::VARCHAR END, ',' ORDER BY p_partkey) AS refs
 FROM orders JOIN l ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus IN ('F', 'O') AND p_partkey % 3 > 0 GROUP BY ALL""",
-    "evidence_second_hop": f"""{C12}, x AS (SELECT question_id, rank, unnest(regexp_extract_all(excerpt, '[A-Z][a-z]{{6,}}')) AS query, generate_subscripts(regexp_extract_all(excerpt, '[A-Z][a-z]{{6,}}'), 1) AS pos FROM c),
+    "evidence_second_hop": f"""{C12}, x AS (SELECT question_id, rank, unnest(regexp_extract_all(text, '[A-Z][a-z]{{6,}}')) AS query, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{{6,}}'), 1) AS pos FROM c JOIN documents USING (doc_id)),
 own AS (SELECT item_id AS question_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{6,}}')) AS query FROM benchmark), f AS (SELECT question_id, query, min({{'r': rank, 'p': pos}}) AS at_ FROM x GROUP BY ALL)
 SELECT question_id, query, row_number() OVER (PARTITION BY question_id ORDER BY at_, query) AS place FROM f ANTI JOIN own USING (question_id, query) QUALIFY place <= 3""",
     "eval_flags": f"{RUNS} SELECT question_id, array_to_string(flags, ',') AS flags, evidence_chars FROM r3",

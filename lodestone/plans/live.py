@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import table
+from lodestone.streaming import late, ordered
 from lodestone.streaming import live as ops
 
 LIMIT = 1
@@ -80,8 +81,52 @@ def latest_states(spark: SparkSession, d: str) -> DataFrame:
     return ops.latest_state(_changes(_events(spark, d)))
 
 
+def _ordered_changes(e: DataFrame) -> DataFrame:
+    return _changes(e).withColumnRenamed("change_id", "id")
+
+
+def purchase_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each key's state by time and id, up to ten minutes before the newest change."""
+    events = _events(spark, d)
+    return ordered.walked_batch(_ordered_changes(events), ordered.Purchase, ordered.watermark(events))
+
+
 def live_purchase_states(spark: SparkSession, d: str) -> DataFrame:
-    return ops.drained(ops.purchase_states(_changes(ops.event_stream(spark, f"{d}/events.parquet"))), "update", ["key"], shared_folder(spark))
+    """The same as a stream, whose watermark ends there."""
+    own = ordered.stateful_session(spark)
+    rows = ordered.walked_stream(_ordered_changes(ops.event_stream(own, f"{d}/events.parquet")), ordered.Purchase)
+    return ops.drained(rows, "append", ["key"], shared_folder(spark), "steps")
+
+
+def _payment_events(e: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "quote").otherwise("payment")
+    rows = e.filter(F.col("event_type").isin("signup", "purchase"))
+    return rows.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), (F.col("value") / F.when(F.col("event_type") == "signup", 4.0).otherwise(1.0)).alias("amount"), F.get_json_object("props", "$.k").alias("txid"))
+
+
+def settled_payments(spark: SparkSession, d: str) -> DataFrame:
+    """Each payment with its reason and each quote that nobody paid."""
+    rows = _payment_events(_events(spark, d))
+    return ordered.walked_batch(rows, ordered.Payments, ordered.watermark(rows))
+
+
+def live_settled_payments(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream: timers end the quotes that nobody pays."""
+    own = ordered.stateful_session(spark)
+    rows = ordered.walked_stream(_payment_events(ops.event_stream(own, f"{d}/events.parquet")), ordered.Payments)
+    return ops.drained(rows, "append", ["key", "quote_id", "payment_id"], shared_folder(spark))
+
+
+#: How late an event comes, in days, by its id: one of eleven a day late, one of 23 three days.
+LAG = 11, 23
+
+
+def live_late_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events replayed in order of arrival, three days a file, some of them late: what came in time, by day, and what didn't."""
+    e = _events(spark, d)
+    lag = F.when(F.col("event_id") % LAG[1] == 0, 3).when(F.col("event_id") % LAG[0] == 0, 1).otherwise(0)
+    arrival = F.floor((F.unix_date(F.to_date("ts")) + lag) / 3).cast("int")
+    return late.late_counts(late.split_late(late.replayed(e, arrival, shared_folder(spark)), 86_400_000, shared_folder(spark)))
 
 
 def answers_within_ttl(spark: SparkSession, d: str) -> DataFrame:
@@ -92,12 +137,42 @@ def text_prices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", ops.price(F.length("text"), 50.0).alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (feedback_tallies, feedback_totals, live_feedback_tallies, request_bursts, live_request_bursts, quote_payments, live_quote_payments, reused_transactions, latest_states, live_purchase_states, answers_within_ttl, text_prices)}
+QUERIES = {f.__name__: f for f in (feedback_tallies, feedback_totals, live_feedback_tallies, request_bursts, live_request_bursts, quote_payments, live_quote_payments, reused_transactions, latest_states, purchase_states, live_purchase_states, settled_payments, live_settled_payments, live_late_counts, answers_within_ttl, text_prices)}
 
 RATINGS = "r AS (SELECT ts, event_type = 'view' AS up, CASE WHEN user_id % 4 > 0 THEN 'm' || (user_id % 4) END AS mode FROM events WHERE event_type IN ('view', 'click'))"
 TALLIES = f"WITH {RATINGS} SELECT (date_trunc('day', ts))::TIMESTAMPTZ AS window_start, mode, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down FROM r GROUP BY ALL"
 BURSTS = f"SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts)::TIMESTAMPTZ AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > {LIMIT}"
+STATES = """WITH RECURSIVE e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  CASE event_type WHEN 'signup' THEN 'quoted' WHEN 'purchase' THEN 'paid' WHEN 'view' THEN 'delivered' WHEN 'error' THEN 'failed' ELSE 'refunded' END AS step
+  FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events)),
+s AS (SELECT DISTINCT key, 0::BIGINT AS steps, NULL::VARCHAR AS status, 0::BIGINT AS rejected FROM e
+  UNION ALL SELECT key, n, CASE WHEN ok THEN step ELSE status END, rejected + (NOT ok)::INT FROM (SELECT s.key, e.n, e.step, s.status, s.rejected,
+    coalesce(CASE s.status WHEN 'quoted' THEN step IN ('paid', 'failed') WHEN 'paid' THEN step IN ('delivered', 'refunded') WHEN 'delivered' THEN step = 'refunded' WHEN 'failed' THEN false WHEN 'refunded' THEN false ELSE step = 'quoted' END, false) AS ok
+    FROM s JOIN e ON e.key = s.key AND e.n = s.steps + 1))
+SELECT key, status, rejected, steps FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY steps DESC) = 1"""
+SETTLED = """WITH RECURSIVE a AS (SELECT * FROM events WHERE event_type IN ('signup', 'purchase')), w AS (SELECT epoch_ms(max(ts)) - 600000 AS until FROM a),
+e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts, event_id AS id, event_type = 'signup' AS quote, CASE WHEN event_type = 'signup' THEN value / 4 ELSE value END AS amount,
+  json_extract_string(props, '$.k') AS txid FROM a, w WHERE epoch_ms(ts) < until),
+s AS (SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS quote_id, NULL::DOUBLE AS price, NULL::TIMESTAMP AS made, 'none' AS status, []::VARCHAR[] AS known, NULL::BIGINT AS ended, NULL::VARCHAR AS ended_reason, NULL::BIGINT AS payment_id, NULL::VARCHAR AS reason FROM e
+  UNION ALL SELECT key, n, CASE WHEN quote THEN id ELSE quote_id END, CASE WHEN quote THEN amount ELSE price END, CASE WHEN quote THEN ts ELSE made END,
+    CASE WHEN quote THEN 'open' WHEN reason = 'paid' THEN 'paid' ELSE st END, CASE WHEN reason = 'paid' AND txid IS NOT NULL THEN list_append(known, txid) ELSE known END,
+    CASE WHEN over OR quote AND st = 'open' THEN quote_id END, CASE WHEN over THEN 'unpaid' WHEN quote AND st = 'open' THEN 'replaced' END, CASE WHEN NOT quote THEN id END, reason
+  FROM (SELECT *, CASE WHEN quote THEN NULL WHEN st = 'none' THEN 'unknown' WHEN st = 'paid' THEN 'used' WHEN st = 'expired' THEN 'expired' WHEN amount < price THEN 'underpaid'
+      WHEN coalesce(list_contains(known, txid), false) THEN 'reused' ELSE 'paid' END AS reason
+    FROM (SELECT e.*, s.quote_id, s.price, s.made, s.known, s.status = 'open' AND e.ts > s.made + INTERVAL 600 MINUTE AS over, CASE WHEN s.status = 'open' AND e.ts > s.made + INTERVAL 600 MINUTE THEN 'expired' ELSE s.status END AS st
+      FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))),
+z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1)
+SELECT key, ended AS quote_id, NULL::BIGINT AS payment_id, ended_reason AS reason FROM s WHERE ended IS NOT NULL
+UNION ALL SELECT key, quote_id, payment_id, reason FROM s WHERE payment_id IS NOT NULL
+UNION ALL SELECT key, quote_id, NULL, 'unpaid' FROM z, w WHERE status = 'open' AND epoch_us(made) + 36000000000 < until * 1000"""
 ORACLE_SQL = {
+    "purchase_states": STATES,
+    "live_purchase_states": STATES,
+    "settled_payments": SETTLED,
+    "live_settled_payments": SETTLED,
+    "live_late_counts": f"""WITH e AS (SELECT ts, floor((datediff('day', DATE '1970-01-01', ts::DATE) + CASE WHEN event_id % {LAG[1]} = 0 THEN 3 WHEN event_id % {LAG[0]} = 0 THEN 1 ELSE 0 END) / 3) AS arrival FROM events),
+b AS (SELECT arrival, dense_rank() OVER (ORDER BY arrival) - 1 AS batch, max(epoch_ms(ts)) AS newest FROM e GROUP BY arrival), k AS (SELECT arrival, batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM b)
+SELECT ts::DATE AS day, count(*) FILTER (NOT coalesce(epoch_ms(ts) < known - 86400000, false)) AS kept, count(*) FILTER (coalesce(epoch_ms(ts) < known - 86400000, false)) AS late, max(batch) AS newest_batch FROM e JOIN k USING (arrival) GROUP BY ALL""",
     "feedback_tallies": TALLIES,
     "live_feedback_tallies": TALLIES,
     "feedback_totals": f"WITH {RATINGS} SELECT mode, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down FROM r WHERE mode IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, count(*) FILTER (up), count(*) FILTER (NOT up) FROM r",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.operators import retrieval as ops
+from lodestone.operators import term_index
+from lodestone.plans.live import shared_folder
 from lodestone.sources.tables import corpus, questions, table
 
 TEXT = {"text": 1.0}
@@ -16,19 +20,48 @@ SHAPES = [(r"(?i)\bhow\b", "mechanism"), (r"(?i)\bwas\b.*\bby\b", "history"), (r
 AS_OF = "1998-08-02"
 
 
+#: Names of a second hop: capitalised words of seven letters or more.
+NAME = "[A-Z][a-z]{6,}"
+_built: dict[tuple, term_index.TermIndex] = {}
+
+
+def index(spark: SparkSession, d: str) -> term_index.TermIndex:
+    """The term index of the documents, built by the first query of a session that asks for it and kept in the shared folder;
+    built anew where the documents' files or the folder have changed since."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, d, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    known = _built.get(key)
+    if known is not None:
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{known.path}/stats/_SUCCESS")
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return term_index.TermIndex(spark, known.path, known.fields, known.buckets)
+    _built[key] = found = term_index.build(corpus(spark, d), ("title", "text"), f"{shared_folder(spark)}/term-index-{uuid.uuid4().hex}")
+    return found
+
+
 def top_passages(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents for each question, with at least a quarter of the best one's score."""
-    scored = ops.bm25(ops.query_terms(questions(spark, d)), corpus(spark, d), TEXT)
+    scored = term_index.search(index(spark, d), ops.query_terms(questions(spark, d)), TEXT)
     return ops.floored(ops.top(scored, 3), 0.0, 0.25).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def fielded_passages(spark: SparkSession, d: str) -> DataFrame:
-    scored = ops.bm25(ops.query_terms(questions(spark, d)), corpus(spark, d), FIELDS)
+    scored = term_index.search(index(spark, d), ops.query_terms(questions(spark, d)), FIELDS)
     return ops.floored(ops.top(scored, 4), 2.0, 0.3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return ops.document_frequency(corpus(spark, d))
+    return term_index.term_frequency(index(spark, d), ("text",))
+
+
+def second_hop_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The four best documents for each question, and what the names in their whole texts lead to."""
+    asked, docs, own = questions(spark, d), corpus(spark, d), index(spark, d)
+    first = ops.top(term_index.search(own, ops.query_terms(asked), TEXT), 4)
+    covered = asked.select("question_id", F.col("question").alias("text")).unionByName(first.join(docs, "doc_id").select("question_id", F.col("title").alias("text")))
+    return term_index.second_hop(own, first, term_index.named_ids(first, docs, covered, NAME), TEXT)
 
 
 def generic_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +74,7 @@ def question_variants(spark: SparkSession, d: str) -> DataFrame:
 
 def _variant_scores(spark: SparkSession, d: str) -> DataFrame:
     terms = ops.variants(questions(spark, d)).select("question_id", "pos", F.explode(F.array_distinct(t.content_words(F.col("query")))).alias("term"))
-    return ops.bm25(terms, corpus(spark, d), TEXT, keys=("question_id", "pos"))
+    return term_index.search(index(spark, d), terms, TEXT, keys=("question_id", "pos"))
 
 
 def best_of_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +86,7 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return ops.document_frequency(corpus(spark, d)).select(F.col("term").alias("word"))
+    return term_index.term_frequency(index(spark, d), ("text",)).select(F.col("term").alias("word"))
 
 
 def prefix_expansions(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +103,7 @@ def prefix_scores(spark: SparkSession, d: str) -> DataFrame:
     terms = ops.query_terms(questions(spark, d))
     longer = terms.join(ops.prefix_expansions(terms, _vocabulary(spark, d), 6), "term").select("question_id", F.col("word").alias("term"), F.lit(0.375).alias("weight"))
     both = terms.withColumn("weight", F.lit(1.0)).unionByName(longer).groupBy("question_id", "term").agg(F.max("weight").alias("weight"))
-    return ops.top(ops.bm25(both, corpus(spark, d), TEXT), 3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return ops.top(term_index.search(index(spark, d), both, TEXT), 3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def catalogue_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +113,7 @@ def catalogue_spread(spark: SparkSession, d: str) -> DataFrame:
 
 def diverse_passages(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
-    ranked = ops.top(ops.bm25(ops.query_terms(questions(spark, d)), docs, TEXT), 24).join(docs.select("doc_id", F.col("kind").alias("category")), "doc_id")
+    ranked = ops.top(term_index.search(index(spark, d), ops.query_terms(questions(spark, d)), TEXT), 24).join(docs.select("doc_id", F.col("kind").alias("category")), "doc_id")
     return ops.diverse_pick(ranked, ["src1"], 7)
 
 
@@ -107,11 +140,11 @@ def seeded_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unseen_questions(spark: SparkSession, d: str) -> DataFrame:
-    shown = ops.top(ops.bm25(ops.query_terms(questions(spark, d)), corpus(spark, d), TEXT), 1).select("question_id", "score").filter("score >= 60").select("question_id")
+    shown = ops.top(term_index.search(index(spark, d), ops.query_terms(questions(spark, d)), TEXT), 1).select("question_id", "score").filter("score >= 60").select("question_id")
     return questions(spark, d).select("question_id").join(shown, "question_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (top_passages, fielded_passages, document_frequency, generic_terms, question_variants, best_of_variants, round_robin, prefix_expansions, fuzzy_expansions, prefix_scores, catalogue_spread, diverse_passages, order_freshness, question_shapes, question_terms, seeded_samples, unseen_questions)}
+QUERIES = {f.__name__: f for f in (top_passages, fielded_passages, second_hop_passages, document_frequency, generic_terms, question_variants, best_of_variants, round_robin, prefix_expansions, fuzzy_expansions, prefix_scores, catalogue_spread, diverse_passages, order_freshness, question_shapes, question_terms, seeded_samples, unseen_questions)}
 
 STOP = ", ".join(f"'{w}'" for w in sorted(set(t.STOP_WORDS)))
 
@@ -162,6 +195,18 @@ s AS (SELECT DISTINCT user_id AS session FROM events WHERE user_id IS NOT NULL)
 SELECT session, item FROM (SELECT session, ({HASH('session')} % size + i + CASE WHEN session % 3 = 0 THEN 4 ELSE 0 END) % size AS place FROM s, z, range(0, 4) r(i) WHERE i < size) JOIN c USING (place)""",
     "top_passages": f"WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, {top_sql(3, 0.0, 0.25)}",
     "fielded_passages": f"WITH {QUESTIONS}, {docs_sql(FIELDS)}, {SCORED}, {top_sql(4, 2.0, 0.3)}",
+    "second_hop_passages": f"""WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, first AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 4),
+covered AS (SELECT question_id, lower(string_agg(x, chr(10))) AS known FROM (SELECT item_id AS question_id, text AS x FROM benchmark UNION ALL SELECT question_id, substr(string_split(text, chr(10))[1], 1, 120) FROM first JOIN documents USING (doc_id)) GROUP BY ALL),
+named AS (SELECT question_id, rank, unnest(regexp_extract_all(text, '{NAME}')) AS query, generate_subscripts(regexp_extract_all(text, '{NAME}'), 1) AS pos FROM first JOIN documents USING (doc_id)),
+names AS (SELECT question_id, query, min({{'r': rank, 'p': pos}}) AS at_ FROM named GROUP BY ALL),
+hops AS (SELECT question_id, query, row_number() OVER (PARTITION BY question_id ORDER BY at_, query) AS pos FROM names JOIN covered USING (question_id) WHERE NOT contains(known, lower(query)) QUALIFY pos <= 3),
+asked2 AS (SELECT question_id, pos, unnest(list_distinct({content_sql('query')})) AS term, 1.0 AS weight FROM hops),
+tf2 AS (SELECT doc_id, term, sum(boost) AS tf FROM posts WHERE term IN (SELECT term FROM asked2) GROUP BY ALL), df2 AS (SELECT term, count(*) AS df FROM tf2 GROUP BY ALL),
+{SCORED.replace('scored', 'scored2').replace('asked', 'asked2').replace('JOIN df ', 'JOIN df2 ').replace('JOIN tf ', 'JOIN tf2 ')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, pos ORDER BY score DESC, doc_id) AS rank FROM scored2 QUALIFY rank <= 2),
+once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank, pos) = 1),
+added AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY rank, pos) AS place FROM once ANTI JOIN first USING (question_id, doc_id) QUALIFY place <= 4)
+SELECT question_id, 1::BIGINT AS hop, rank AS place, doc_id FROM first UNION ALL SELECT question_id, 2, place, doc_id FROM added""",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({content_sql('text')})) AS term FROM documents) GROUP BY ALL",
     "generic_terms": f"""WITH s AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform({content_sql('text')}, lambda w: {stem_sql('w')}), lambda w: length(w) >= 3))) AS term FROM documents)
 SELECT term, count(*) AS df FROM s WHERE term IN ({', '.join(f"'{g}'" for g in GENERICS)}) GROUP BY term HAVING count(*) >= greatest(8, floor((SELECT count(*) FROM documents) * 0.02))""",

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LATE = "10 minutes"
+from lodestone.streaming.ordered import LATE, Purchase
+
 TTL_HOURS = 6
 
 
@@ -69,22 +70,18 @@ def first_within_ttl(answers: DataFrame, hours: int = TTL_HOURS) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "us", "change_id").mapInArrow(walk, "change_id long")
 
 
-PURCHASE_STEPS = {"quoted": ("paid", "failed"), "paid": ("delivered", "refunded"), "failed": (), "delivered": ("refunded",), "refunded": ()}
-
-
 def purchase_states(changes: DataFrame) -> DataFrame:
-    """Streaming purchase states (key, status, ts): a step that isn't allowed from the key's state is rejected."""
+    """key, status, rejected of streaming changes (key, status, ts and, if there, change_id) as they arrive, in update mode: of what a
+    micro-batch brings, all rows of a key are sorted by time and change_id first. Where rows of different micro-batches may
+    come in the wrong order, use ordered.walked_stream, which waits for the watermark."""
+    order = ["ts", "change_id"] if "change_id" in changes.columns else ["ts"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, rejected = state.get if state.exists else (None, 0)
-        for rows in batches:
-            for s in rows.sort_values("ts")["status"]:
-                if status is None and s == "quoted" or s in PURCHASE_STEPS.get(status, ()):
-                    status = s
-                else:
-                    rejected += 1
-        state.update((status, rejected))
-        yield pd.DataFrame([(key[0], status, rejected)], columns=["key", "status", "rejected"])
+        own = Purchase((*state.get, 0) if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        own.walk(key[0], [(0, 0, s) for s in rows["status"]], 0)
+        state.update((own.status, own.rejected))
+        yield pd.DataFrame([(key[0], own.status, own.rejected)], columns=["key", "status", "rejected"])
 
     return changes.groupBy("key").applyInPandasWithState(step, "key long, status string, rejected long", "status string, rejected long", "update", "NoTimeout")
 
@@ -94,17 +91,19 @@ def price(chars: F.Column, rate: float) -> F.Column:
     return F.ceil(F.greatest(chars, F.lit(100)) * 0.0001 / (rate * 0.9) * 1e8).cast("long")
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str], folder: str) -> DataFrame:
-    """All that a stream gives for the input there is, each key's last row: batches are appended to a table in the folder."""
+def drained(stream: DataFrame, mode: str, keys: list[str], folder: str, order: str | None = None) -> DataFrame:
+    """All that a stream gives for the input there is, each key's last row (of one batch the one with the largest `order`).
+    A batch has a folder of its own, which is replaced if the batch is done again, so no row is written twice."""
     spark, path = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
 
     def save(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("__batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
+        rows.write.mode("overwrite").parquet(f"{path}/out/__batch={batch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    rows = spark.read.parquet(f"{path}/out")
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__batch")))
+    fields = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
+    rows = spark.read.schema(f"{fields}, __batch long").parquet(f"{path}/out")
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__batch"), *([F.desc(order)] if order else [])))
     return rows.withColumn("__r", last).filter("__r = 1").drop("__r", "__batch")
 
 
