@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Named entities that pages use; &amp; comes last, so that what it makes isn't decoded again.
@@ -54,6 +54,12 @@ def clipped(text: Column, limit: int = 400, least: int = 40) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+def computed(rows: DataFrame) -> DataFrame:
+    """The same rows; filters and columns that come later use the columns as they are here, instead of computing them anew
+    in each place. Spark moves nothing past a generator, which here gives one row for one."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("row")).select("row.*")
+
+
 def unquoted(text: Column) -> Column:
     """Without lines that quote with >, and without all from a signature or footer line of dashes on."""
     lines = F.split(F.split(text, r"\n-{5,}", 2)[0], "\n")

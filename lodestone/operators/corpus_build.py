@@ -15,7 +15,7 @@ def page_items(pages: DataFrame) -> DataFrame:
     meta = lambda name: F.nullif(F.regexp_extract(head, rf'(?is)<meta[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)"', 1), F.lit(""))
     title = F.trim(F.regexp_replace(t.decoded(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
     rows = pages.select("page_id", t.canonical_url(F.col("url")).alias("url"), title.alias("title"), t.decoded(F.coalesce(meta("description"), meta("og:description"))).alias("description"), t.page_text(F.col("html")).alias("text"))
-    return rows.withColumn("excerpt", t.clipped(F.col("text")))
+    return t.computed(rows).withColumn("excerpt", t.clipped(F.col("text")))
 
 
 def robots_verdict(pages: DataFrame, rules: list[tuple[str, str]], blocked_prefix: str = "") -> DataFrame:

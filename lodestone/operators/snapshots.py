@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
+from lodestone.operators.graphs import row_components
 
 ITEM = "id string, url string, title string, date string, modified string, tags array<string>, excerpt string"
 
@@ -16,7 +20,7 @@ def required(items: DataFrame) -> DataFrame:
     """Items with all required strings, trimmed; empty optional strings are null, urls canonical, excerpts clipped."""
     trimmed = {c: F.nullif(F.trim(c), F.lit("")) for c in ("id", "url", "title", "date", "modified", "excerpt")}
     rows = items.withColumns(trimmed).withColumn("url", t.canonical_url(F.col("url"))).withColumn("excerpt", t.clipped(F.col("excerpt")))
-    return rows.dropna(subset=["id", "url", "title", "date", "excerpt"])
+    return t.computed(rows).dropna(subset=["id", "url", "title", "date", "excerpt"])
 
 
 def parsed(value: Column) -> Column:
@@ -41,7 +45,7 @@ def first_of(items: DataFrame, keys: tuple[str, ...], order: tuple[Column | str,
 def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Both item tables (with pos, the place in each) as one: of rows with one id, then of rows with one url, the later stamp
     stays; on ties incoming, else among incoming the last, among existing the first. A row without tags takes those of
-    the latest row it replaces. Chains over both keys are resolved id first, then url."""
+    the latest row it replaces. Chains over both keys are resolved id first, then url; upserted() walks them as they came."""
     both = existing.withColumn("incoming", F.lit(0)).unionByName(incoming.withColumn("incoming", F.lit(1)))
     rows = both.withColumn("stamp", stamp(F.col("modified"), F.col("date")))
     order = (F.desc("stamp"), F.desc("incoming"), F.when(F.col("incoming") == 1, -F.col("pos")).otherwise(F.col("pos")))
@@ -52,6 +56,66 @@ def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.drop("stamp", "pos")
 
 
+class Walk:
+    """One upsert after another over two keys: a row belongs to the item that has its id, else to the one with its url. It takes
+    that item's place if its stamp is later, or as late and incoming; the item's own keys are forgotten then."""
+
+    def __init__(self):
+        self.items: list[tuple] = []
+        self.ids: dict[str, int] = {}
+        self.urls: dict[str, int] = {}
+
+    def upsert(self, row: int, item_id: str, url: str, stamp: int, incoming: bool, tagged: bool) -> None:
+        at = self.ids.get(item_id, self.urls.get(url))
+        if at is None:
+            at, tags = len(self.items), row if tagged else None
+            self.items.append(())
+        else:
+            _, old_id, old_url, old_stamp, old_tags = self.items[at]
+            if stamp < old_stamp or stamp == old_stamp and not incoming:
+                return
+            tags = row if tagged else old_tags
+            self.ids.pop(old_id, None)
+            self.urls.pop(old_url, None)
+        self.items[at] = (row, item_id, url, stamp, tags)
+        self.ids[item_id] = self.urls[url] = at
+
+
+def upserted(existing: DataFrame, incoming: DataFrame, folder: str) -> DataFrame:
+    """Both item tables (with pos, the place in each) as one, in order of arrival: existing rows by pos, then incoming ones.
+
+    Rows that ids and urls link, over any number of steps, are one component; each is walked by itself (see Walk), its tasks
+    holding keys and stamps only, of one component at a time and as many as it has items. Rows and tags are fetched
+    afterwards. Ties of stamps go to incoming rows, else to what stands; pos is unique in each table; tables may be empty.
+    """
+    both = existing.withColumn("incoming", F.lit(False)).unionByName(incoming.withColumn("incoming", F.lit(True)))
+    path = f"{folder}/upserts-{uuid.uuid4().hex}"
+    both.withColumn("row", 2 * F.col("pos") + F.col("incoming").cast("long")).write.parquet(path)
+    rows = both.sparkSession.read.parquet(path)
+    small = rows.select("row", "pos", "id", "url", F.unix_micros(stamp(F.col("modified"), F.col("date"))).alias("stamp"), "incoming", (F.size("tags") > 0).alias("tagged"))
+    linked = row_components(small, ("id", "url"), folder)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = Walk(), None
+        for b in batches:
+            out: list[tuple] = []
+            for component, *event in zip(*(b.column(c).to_pylist() for c in ("component", "row", "id", "url", "stamp", "incoming", "tagged"))):
+                if component != at:
+                    out += own.items
+                    own, at = Walk(), component
+                own.upsert(*event)
+            yield chosen(out)
+        yield chosen(own.items)
+
+    def chosen(items: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i[0] for i in items], pa.int64()), pa.array([i[4] for i in items], pa.int64())], ["row", "tags_of"])
+
+    kept = linked.repartition("component").sortWithinPartitions("component", "incoming", "pos").mapInArrow(walk, "row long, tags_of long")
+    tags = rows.select(F.col("row").alias("tags_of"), F.col("tags").alias("__tags"))
+    found = rows.join(kept, "row").join(tags, "tags_of", "left")
+    return found.withColumn("tags", F.coalesce("__tags", "tags")).drop("row", "tags_of", "__tags", "pos")
+
+
 def covered_deletes(items: DataFrame, incoming: DataFrame, first: str, last: str, complete: bool) -> DataFrame:
     """Items without those inside the fetched days that a complete fetch did not return, by id or url."""
     if not complete:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import evaluation, evidence as ops, retrieval, term_index
+from lodestone.operators import duplicates, evaluation, evidence as ops, retrieval, term_index
 from lodestone.plans.retrieval import QUESTIONS, SCORED, TEXT, content_sql, docs_sql, index, stem_sql, words_sql
 from lodestone.sources.tables import corpus, questions, table
 
@@ -67,6 +67,28 @@ def evidence_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return ops.deduplicated(_candidates(spark, d))
 
 
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole candidates as hits: two documents in a row are the two forms of one text, the language and the first word its title."""
+    whole = _candidates(spark, d).join(corpus(spark, d).select("doc_id", "text"), "doc_id")
+    slug = F.floor(F.col("doc_id") / 2).cast("string")
+    kind = F.when(F.col("doc_id") % 2 == 0, "principle").otherwise("essay")
+    return whole.select("question_id", "rank", F.concat_ws(":", kind, F.lit("medium"), slug).alias("id"), kind.alias("kind"), F.concat(F.lit("own://essay/medium/"), slug).alias("locator"), F.concat_ws(" ", "tier", F.substring_index("title", " ", 1)).alias("title"), F.lit(None).cast("string").alias("date"), F.col("text").alias("excerpt"), F.array("theme").alias("themes"))
+
+
+def evidence_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    kept = duplicates.collapsed(_hits(spark, d))
+    return kept.select("question_id", "place", "id", F.md5("excerpt").alias("digest"), F.array_join("aliases", ",").alias("aliases"))
+
+
+def evidence_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.alias_map(duplicates.collapsed(_hits(spark, d)))
+
+
+def evidence_keys(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d)
+    return h.select("question_id", "id", "rank", duplicates.pair_key(F.col("id"), F.col("locator")).alias("pair"), duplicates.title_key(F.col("title")).alias("title_key"), duplicates.cluster_key(F.col("id"), F.col("kind"), F.when(F.col("rank") % 2 == 0, F.col("themes")), F.col("title")).alias("cluster"))
+
+
 def evidence_diversified(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d, 24)
     return ops.diversified(c.withColumn("on_subject", F.col("rank") <= 2))
@@ -128,7 +150,7 @@ def term_lint(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.linted(table(spark, d, "documents"), LINT).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_relevance, evidence_slots, evidence_budget, evidence_numbers, evidence_citations, evidence_collectors, evidence_claims, evidence_second_hop, evidence_deduplicated, evidence_diversified, evidence_same_story, evidence_prose, eval_flags, eval_flag_counts, eval_worst, eval_depths, eval_rubric, eval_rubric_totals, term_lint)}
+QUERIES = {f.__name__: f for f in (evidence_relevance, evidence_slots, evidence_budget, evidence_numbers, evidence_citations, evidence_collectors, evidence_claims, evidence_second_hop, evidence_deduplicated, evidence_collapsed, evidence_aliases, evidence_keys, evidence_diversified, evidence_same_story, evidence_prose, eval_flags, eval_flag_counts, eval_worst, eval_depths, eval_rubric, eval_rubric_totals, term_lint)}
 
 
 def candidates_sql(k: int, name: str = "c") -> str:
@@ -155,7 +177,12 @@ def has_sql(f: str) -> str:
 RUNS = f"{HEAD}, {runs_sql(3, '3')}"
 RUBRIC = f"""{HEAD}, {candidates_sql(1)}, a AS (SELECT item_id AS question_id, coalesce(title || ' ' || excerpt, '') AS answer, {content_sql('text')}[1:3] AS must FROM benchmark LEFT JOIN c ON question_id = item_id),
 res AS (SELECT question_id, question_id % 2 = 0 AS guard, (len(list_filter(must, lambda w: NOT contains(lower(answer), lower(w)))) + contains(lower(answer), 'idiot')::INT + contains(lower(answer), 'password')::INT + (length(answer) < 100)::INT)::BIGINT AS failed FROM a)"""
+TITLE = "concat_ws(' ', tier, string_split(title, ' ')[1])"
+STEMS = f"list_filter(list_transform({content_sql('title')}, lambda w: {stem_sql('w')}), lambda w: length(w) > 2)[1:2]"
 ORACLE_SQL = {
+    "evidence_keys": f"""{C12}, k AS (SELECT question_id, doc_id, rank, source, {TITLE} AS title FROM c), s AS (SELECT *, string_split_regex(title, '\\s+[—–-]\\s+|:\\s+')[1] AS head, nullif(trim(regexp_replace(regexp_replace(lower(title), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS title_key FROM k)
+SELECT question_id, CASE WHEN doc_id % 2 = 0 THEN 'principle' ELSE 'essay' END || ':medium:' || (doc_id // 2) AS id, rank, 'medium:' || (doc_id // 2) AS pair, title_key,
+  CASE WHEN rank % 2 = 0 THEN 'theme:' || lower(source) ELSE coalesce('series:' || nullif(array_to_string({STEMS.replace('title', 'head')}, '-'), ''), 'title:' || title_key) END AS cluster FROM s""",
     "evidence_relevance": f"""{C12}, m AS (SELECT c.question_id, c.doc_id, tier, {SUBJECT('q.text')} AS s, {SUBJECT('title')} AS tt, {SUBJECT('excerpt')} AS et FROM c JOIN benchmark q ON q.item_id = c.question_id),
 pairs AS (SELECT question_id, doc_id, tier, unnest(s) AS a, tt, et FROM m), hit AS (SELECT question_id, doc_id, tier, a, {{}} FROM pairs),
 flat AS (SELECT question_id, doc_id, any_value(tier) AS tier, bool_or(len(list_filter(tt, lambda b: MATCH)) > 0) AS t, bool_or(len(list_filter(et, lambda b: MATCH)) > 0) AS e FROM pairs GROUP BY ALL)

@@ -9,6 +9,7 @@ from lodestone.functions import text as t
 from lodestone.operators import snapshots as ops
 from lodestone.plans.corpus_build import ITEMS as PAGE_ITEMS, clip_sql
 from lodestone.operators.corpus_build import page_items
+from lodestone.plans.live import shared_folder
 from lodestone.sources.tables import table
 
 TODAY, FIRST, LAST = "2024-06-30", "2024-02-01", "2024-12-31"
@@ -38,6 +39,11 @@ def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     return ops.merged(*_halves(spark, d)).select("id", "url", "title", "date", "modified", F.array_join("tags", ",").alias("tags"))
 
 
+def snapshot_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """The merge as a walk in order of arrival, chains over both keys included."""
+    return ops.upserted(*_halves(spark, d), shared_folder(spark)).select("id", "url", "title", "date", "modified", F.array_join("tags", ",").alias("tags"))
+
+
 def snapshot_deletes(spark: SparkSession, d: str) -> DataFrame:
     old, new = _halves(spark, d)
     new = new.filter("pos % 8 < 5")
@@ -64,7 +70,7 @@ def snapshot_order(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(ops.parsed(F.col("date"))), "id").limit(50).select("id", "date")
 
 
-QUERIES = {f.__name__: f for f in (snapshot_items, snapshot_merge, snapshot_deletes, snapshot_first_seen, snapshot_first_wins, snapshot_manifest, snapshot_order)}
+QUERIES = {f.__name__: f for f in (snapshot_items, snapshot_merge, snapshot_upserts, snapshot_deletes, snapshot_first_seen, snapshot_first_wins, snapshot_manifest, snapshot_order)}
 
 ROWS = f"""{PAGE_ITEMS}, rows AS (SELECT page_id AS pos, 'p' || (page_id // 4) AS id, 'https://example.org/item/' || (page_id % 97) AS url, nullif(title, '') AS title,
   strftime(DATE '2023-06-01' + (page_id * 37 % 700)::INT, '%Y-%m-%d') AS date, CASE WHEN page_id % 5 = 0 THEN strftime(DATE '2023-06-01' + (page_id * 53 % 700)::INT, '%Y-%m-%d') END AS modified,
@@ -75,6 +81,16 @@ merged AS (SELECT * REPLACE (coalesce(first_value(nullif(tags, '') IGNORE NULLS)
 ORACLE_SQL = {
     "snapshot_items": f"WITH {ROWS} SELECT * FROM rows",
     "snapshot_merge": f"WITH {ROWS}, chosen AS (SELECT * FROM rows), {MERGED} SELECT id, url, title, date, modified, tags FROM merged",
+    "snapshot_upserts": f"""WITH RECURSIVE {ROWS},
+o AS (SELECT row_number() OVER (ORDER BY pos % 2, pos) AS n, pos, pos % 2 = 1 AS inc, id, url, coalesce(modified, date) AS stamp, tags FROM rows),
+w AS (SELECT 0::BIGINT AS n, []::STRUCT(pos BIGINT, id VARCHAR, url VARCHAR, stamp VARCHAR, tags VARCHAR)[] AS items, []::STRUCT(k VARCHAR, pl BIGINT)[] AS ids, []::STRUCT(k VARCHAR, pl BIGINT)[] AS urls
+  UNION ALL SELECT n, CASE WHEN pl IS NULL THEN list_append(items, it) WHEN wins THEN list_concat(list_concat(items[1:pl - 1], [it]), items[pl + 1:]) ELSE items END,
+    CASE WHEN wins THEN list_append(list_filter(ids, lambda x: x.k <> it.id AND x.k IS DISTINCT FROM old.id), {{'k': it.id, 'pl': coalesce(pl, len(items) + 1)}}) ELSE ids END,
+    CASE WHEN wins THEN list_append(list_filter(urls, lambda x: x.k <> it.url AND x.k IS DISTINCT FROM old.url), {{'k': it.url, 'pl': coalesce(pl, len(items) + 1)}}) ELSE urls END
+  FROM (SELECT *, pl IS NULL OR stamp > old.stamp OR stamp = old.stamp AND inc AS wins, {{'pos': pos, 'id': id, 'url': url, 'stamp': stamp, 'tags': CASE WHEN tags = '' THEN coalesce(old.tags, '') ELSE tags END}} AS it
+    FROM (SELECT *, items[pl] AS old FROM (SELECT o.*, w.items, w.ids, w.urls, coalesce(list_filter(w.ids, lambda x: x.k = o.id)[1].pl, list_filter(w.urls, lambda x: x.k = o.url)[1].pl) AS pl FROM w JOIN o ON o.n = w.n + 1)))),
+z AS (SELECT unnest(items) AS i FROM w WHERE n = (SELECT max(n) FROM w))
+SELECT i.id AS id, i.url AS url, r.title, r.date, r.modified, i.tags AS tags FROM z JOIN rows r ON r.pos = i.pos""",
     "snapshot_deletes": f"""WITH {ROWS}, chosen AS (SELECT * FROM rows WHERE pos % 2 = 0 OR pos % 8 < 5), {MERGED}, fetched AS (SELECT * FROM rows WHERE pos % 2 = 1 AND pos % 8 < 5)
 SELECT id, url, date FROM merged WHERE NOT (date BETWEEN '{FIRST}' AND '{LAST}' AND id NOT IN (SELECT id FROM fetched) AND url NOT IN (SELECT url FROM fetched))""",
     "snapshot_first_seen": f"""WITH {ROWS}, old AS (SELECT id, CASE WHEN pos % 10 = 0 THEN NULL ELSE date::DATE END AS old FROM rows WHERE pos % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1)
