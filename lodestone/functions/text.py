@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,25 @@ MOJIBAKE = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\x9d":
 
 
 def decoded(text: Column) -> Column:
-    """Numeric entities, then named ones."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6});"), F.lit(1)))
-    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("int")), 8, "0")), "UTF-32")
-    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, text, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), char(c)))).otherwise(text)
+    """Numeric entities, decimal or hexadecimal, then named ones in either case. Codes of no character vanish."""
+    out = text
+    for pattern, prefix, base in ((r"&#([0-9]{1,7});", "&#", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", "&#[xX]", 16)):
+        codes = F.array_distinct(F.regexp_extract_all(out, F.lit(pattern), F.lit(1)))
+        out = F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, out, _with_code(prefix, base))).otherwise(out)
+    named = out
     for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return out
+        named = F.regexp_replace(named, f"(?i)&{name};", value)
+    return F.when(F.contains(out, F.lit("&")), named).otherwise(out)
+
+
+def _with_code(prefix: str, base: int) -> Callable[[Column, Column], Column]:
+    def put(text: Column, digits: Column) -> Column:
+        code = F.conv(digits, base, 10).cast("int")
+        whole = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(whole, code).otherwise(0x20)), 8, "0")), "UTF-32")
+        return F.regexp_replace(text, F.concat(F.lit(prefix), digits, F.lit(";")), F.when(~whole, "").when(char.isin("$", "\\"), F.concat(F.lit("\\"), char)).otherwise(char))
+
+    return put
 
 
 def html_text(html: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 
 THIN = 1500
+#: Letters of a distinctive word.
+DISTINCTIVE = 5
 FLAGS = ("NONE", "THIN", "NO-SPEC-FOR-MECHANISM", "ESSAY-ONLY", "TITLE-MISMATCH")
 
 
@@ -28,9 +30,15 @@ def flag_counts(runs: DataFrame) -> DataFrame:
 
 
 def worst(runs: DataFrame, k: int = 10) -> DataFrame:
-    """The k runs with the highest severity; ties go by less evidence, then id."""
+    """The k runs with the highest severity; ties go by less evidence, then id. A specification that was expected and found
+    but doesn't lead (kinds come in the order of the sources), and titles that share no distinctive word with the question,
+    count too, flagged or not."""
     on = lambda f: F.array_contains("flags", f)
     points = F.when(on("NONE"), 1000).when(on("THIN"), 400).otherwise(0) + F.when(on("TITLE-MISMATCH"), 350).otherwise(0) + F.when(on("NO-SPEC-FOR-MECHANISM"), 300).otherwise(0) + F.when(on("ESSAY-ONLY"), 250).otherwise(0)
+    n, asked = F.size("titles"), F.filter(F.array_distinct(t.content_words(F.col("question"))), lambda w: F.length(w) >= DISTINCTIVE)
+    behind = F.col("expects_spec") & (n > 0) & ~F.coalesce(F.get("kinds", F.lit(0)) == "spec", F.lit(False)) & F.exists("kinds", lambda k: k == "spec")
+    apart = (n > 0) & ~on("NONE") & ~F.exists("titles", lambda x: F.arrays_overlap(t.words(x), asked))
+    points = points + F.when(behind, 80).otherwise(0) + F.when(apart, 60).otherwise(0)
     points = points + F.when(~on("NONE"), F.greatest(F.lit(0), THIN - F.col("evidence_chars")) / 50).otherwise(0.0)
     return runs.select("question_id", F.round(points, 6).alias("severity"), "evidence_chars").orderBy(F.desc("severity"), "evidence_chars", "question_id").limit(k)
 

@@ -90,17 +90,22 @@ def linkable_dated(hits: DataFrame) -> DataFrame:
     return hits.groupBy("question_id").agg(F.count_if(F.col("url").rlike(LINK)).alias("linkable"), F.count_if(F.col("date").rlike(DAY)).alias("dated"))
 
 
-def clean_cut(text: Column, limit: int) -> Column:
-    """The text's beginning, cut at a line end, else after a sentence, else at a space; only where that lies in the last half."""
+def clean_cut(text: Column, limit: int, more: str = "") -> Column:
+    """The text's beginning, cut at a line end, else after a sentence (. ! or ? and a space), else at a space; only where that
+    lies in the last half. more: what is put at the end of a text that wasn't cut after a sentence."""
     head = F.substring(text, 1, limit)
 
     def last(mark: str) -> Column:
         back = F.instr(F.reverse(head), mark[::-1])
         return F.when(back > 0, limit - back - len(mark) + 2)  # where the mark begins
 
-    line, sentence, space = last("\n"), last(". "), last(" ")
+    line, sentence, space = last("\n"), F.greatest(last(". "), last("! "), last("? ")), last(" ")
     at = F.coalesce(F.when(line > limit / 2, line - 1), F.when(sentence > limit / 2, sentence), F.when(space > limit / 2, space - 1), F.lit(limit))
-    return F.when(F.length(text) <= limit, text).otherwise(F.substr(text, F.lit(1), at))
+    cut = F.substr(text, F.lit(1), at)
+    if more:
+        after = ~F.coalesce(line > limit / 2, F.lit(False)) & F.coalesce(sentence > limit / 2, F.lit(False))
+        cut = F.when(after, cut).otherwise(F.concat(F.rtrim(cut), F.lit(more)))
+    return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
 def reports(cited: DataFrame, titles: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def category_counts(listings: DataFrame) -> DataFrame:
 
 
 def read_each(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """subject and the rows of its file, oldest first within the whole; a file that isn't there has no rows."""
+    """subject and the rows of its file; a file that isn't there has no rows. In no order: see in_order()."""
 
     def one(subject: str, path: str) -> DataFrame:
         try:
@@ -148,6 +153,11 @@ def read_each(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFr
     return reduce(DataFrame.unionByName, (one(*x) for x in paths.items()))
 
 
+def in_order(rows: DataFrame, date: str = "ts") -> DataFrame:
+    """The rows of all sources, oldest first, those without a date last; ties by subject."""
+    return rows.orderBy(F.col(date).asc_nulls_last(), "subject")
+
+
 def activity_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """subject, n, first_day: every subject, also one without rows."""
     rows = read_each(spark, paths, "ts timestamp_ntz").groupBy("subject").agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"))

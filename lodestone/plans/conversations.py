@@ -55,6 +55,26 @@ def reply_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return ops.reply_check(m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), reply.alias("reply")))
 
 
+def _anchored(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns as replies to the turn before: a third repeats its words, a third says what nobody asked."""
+    m = ops.with_prior_question(_messages(spark, d)).filter("prior is not null")
+    n = F.length("prior") % 3
+    own = F.when(n == 0, F.regexp_replace(F.substring("prior", 1, 300), r"[^A-Za-z ]", "")).when(n == 1, "zzzqq xxyyw { nothing").otherwise("")
+    reply = F.concat(F.lit('note {"verdict":"pass","rewrite":"'), own, F.lit('","used":[2,0,2,9,1]} end'))
+    return m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), reply.alias("reply"), F.col("prior").alias("question"), F.lit(None).cast("string").alias("context"), F.lit(3).alias("n_citations"))
+
+
+def reply_anchors(spark: SparkSession, d: str) -> DataFrame:
+    found = ops.anchored_replies(_anchored(spark, d))
+    return found.select("reply_id", F.md5("rewrite").alias("digest"), F.array_join("used", ",").alias("used"), "reason")
+
+
+def thread_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations by their first question's first word as threads: what a thread asks again."""
+    m = _messages(spark, d)
+    return ops.asked_before(m.withColumn("turn", F.col("conv_id") * 1000 + F.col("turn")).withColumn("text", F.substring_index("text", " ", 2)).withColumn("conv_id", F.col("conv_id") % 7))
+
+
 def _cited(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
     source = F.concat_ws(" ", "title", F.substring("text", 1, 1200))
@@ -81,7 +101,7 @@ def follow_ups(spark: SparkSession, d: str) -> DataFrame:
     return attribution.follow_ups(_cited(spark, d).join(q, "answer_id"))
 
 
-QUERIES = {f.__name__: f for f in (thread_messages, thread_context, thread_prior_questions, thread_asked_before, most_asked_questions, thread_export, thread_search, reply_verdicts, citation_usage, answer_provenance, source_labels, follow_ups)}
+QUERIES = {f.__name__: f for f in (thread_messages, thread_context, thread_prior_questions, thread_asked_before, most_asked_questions, thread_export, thread_search, thread_repeats, reply_verdicts, reply_anchors, citation_usage, answer_provenance, source_labels, follow_ups)}
 
 VALID = "m AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('system', 'user', 'assistant') AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1)"
 KEY = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -89,6 +109,7 @@ USE = lambda x: f"list_filter({words_sql(x)}, lambda w: length(w) >= 4 AND NOT l
 TOP3 = f"""WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, kept AS (SELECT * FROM scored QUALIFY score >= max(score) OVER (PARTITION BY question_id) * 0.25),
 best AS (SELECT question_id AS answer_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS n, doc_id FROM kept QUALIFY n <= 3)"""
 FOLD = lambda x: f"translate(lower({x}), '{ops.FOLDED[0]}', '{ops.FOLDED[1]}')"
+SUBJECT = lambda x: f"list_filter(list_transform({content_sql(x)}, lambda w: {stem_sql('w')}), lambda w: length(w) >= 3)"
 ORACLE_SQL = {
     "thread_search": f"""WITH {VALID}, q AS (SELECT r_regionkey AS query_id, list_distinct(list_filter(string_split_regex({FOLD("lower(left(r_name, 2)) || ' ent'")}, '\\s+'), lambda x: x <> '')) AS terms FROM region),
 f AS (SELECT query_id, conv_id, turn, text, terms, list_filter(terms, lambda x: contains({FOLD('text')}, x)) AS found FROM m, q),
@@ -102,6 +123,12 @@ SELECT query_id, conv_id, turn, snippet FROM g WHERE len(found) = len(terms)""",
     "most_asked_questions": f"WITH {VALID} SELECT {KEY} AS key, count(*) AS n, count(DISTINCT conv_id) AS threads FROM m WHERE role = 'user' GROUP BY 1 ORDER BY n DESC, key LIMIT 20",
     "thread_export": f"""WITH {VALID}, e AS (SELECT conv_id, '# ' || coalesce(substr(regexp_replace(arg_min(text, turn) FILTER (role = 'user'), '\\s+', ' ', 'g'), 1, 60), 'Untitled') || chr(10) || chr(10) ||
   string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM m GROUP BY conv_id) SELECT conv_id, md5(markdown) AS digest, length(markdown) AS chars FROM e""",
+    "thread_repeats": f"""WITH {VALID}, k AS (SELECT conv_id % 7 AS conv_id, conv_id * 1000 + turn AS turn, array_to_string(string_split(text, ' ')[1:2], ' ') AS text FROM m WHERE role = 'user')
+SELECT conv_id, turn FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, {KEY} ORDER BY turn) > 1""",
+    "reply_anchors": f"""WITH {VALID}, p AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM m WHERE role = 'user'),
+r AS (SELECT conv_id * 1000 + turn AS reply_id, prior, CASE length(prior) % 3 WHEN 0 THEN regexp_replace(substr(prior, 1, 300), '[^A-Za-z ]', '', 'g') WHEN 1 THEN 'zzzqq xxyyw {{ nothing' ELSE '' END AS w FROM p WHERE prior IS NOT NULL),
+s AS (SELECT *, CASE WHEN trim(w) <> '' AND NOT (list_has_any({SUBJECT('w')}, {SUBJECT('prior')}) OR list_has_any(regexp_extract_all(w, '\\b[A-Z][A-Z0-9]+\\b'), regexp_extract_all(prior, '\\b[A-Z][A-Z0-9]+\\b'))) THEN 'no anchor' END AS reason FROM r)
+SELECT reply_id, CASE WHEN reason IS NULL THEN md5(w) END AS digest, CASE WHEN reason IS NULL THEN '2,1' END AS used, reason FROM s""",
     "reply_verdicts": f"""WITH {VALID} SELECT conv_id * 1000 + turn AS reply_id, CASE length(text) % 4 WHEN 0 THEN 'revise' WHEN 1 THEN 'pass' END AS verdict, CASE length(text) % 4 WHEN 0 THEN length(text)::VARCHAR END AS rewrite,
   CASE length(text) % 4 WHEN 2 THEN 'unknown verdict' WHEN 3 THEN 'no object' END AS reason FROM m WHERE role = 'assistant'""",
     "citation_usage": f"""{TOP3}, c AS (SELECT answer_id, n, {USE("concat_ws(' ', substr(string_split(d.text, chr(10))[1], 1, 120), substr(d.text, 1, 1200))")} AS ct, {USE('q.text')} AS ta, q.text AS answer FROM best JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = answer_id),

@@ -63,7 +63,7 @@ def _q(s: str) -> str:
 
 def decoded_sql(x: str) -> str:
     for name, value in t.ENTITIES.items():
-        x = f"replace({x}, '&{name};', {_q(value)})"
+        x = f"regexp_replace({x}, '(?i)&{name};', {_q(value)}, 'g')"
     return x
 
 

@@ -106,7 +106,7 @@ def evidence_prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    found = _candidates(spark, d, k).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("titles"), F.collect_list("tier").alias("kinds"), F.sum("chars").cast("long").alias("evidence_chars"))
+    found = _candidates(spark, d, k).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("titles"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "tier"))), lambda x: x["tier"]).alias("kinds"), F.sum("chars").cast("long").alias("evidence_chars"))
     q = questions(spark, d).withColumn("category", F.concat(F.lit("c"), (F.col("question_id") % 4).cast("string"))).withColumn("expects_spec", F.col("question_id") % 3 == 0)
     none = F.array().cast("array<string>")
     # questions without candidates stay, as rows that found nothing
@@ -164,8 +164,8 @@ SUBJECT = lambda x: f"list_distinct(list_filter(list_transform({content_sql(x)},
 
 
 def runs_sql(k: int, name: str) -> str:
-    return f"""{candidates_sql(k, 'c' + name)}, f{name} AS (SELECT question_id, list(title) AS titles, list(tier) AS kinds, sum(chars)::BIGINT AS chars FROM c{name} GROUP BY ALL),
-q{name} AS (SELECT item_id AS question_id, 'c' || (item_id % 4) AS category, item_id % 3 = 0 AS spec, list_filter(list_distinct({content_sql('text')}), lambda w: length(w) > 2) AS asked, coalesce(titles, []) AS titles, coalesce(kinds, []) AS kinds, coalesce(chars, 0) AS evidence_chars FROM benchmark LEFT JOIN f{name} ON question_id = item_id),
+    return f"""{candidates_sql(k, 'c' + name)}, f{name} AS (SELECT question_id, list(title) AS titles, list(tier ORDER BY rank) AS kinds, sum(chars)::BIGINT AS chars FROM c{name} GROUP BY ALL),
+q{name} AS (SELECT item_id AS question_id, 'c' || (item_id % 4) AS category, item_id % 3 = 0 AS spec, list_filter(list_distinct({content_sql('text')}), lambda w: length(w) > 2) AS asked, list_filter(list_distinct({content_sql('text')}), lambda w: length(w) >= 5) AS distinctive, coalesce(titles, []) AS titles, coalesce(kinds, []) AS kinds, coalesce(chars, 0) AS evidence_chars FROM benchmark LEFT JOIN f{name} ON question_id = item_id),
 r{name} AS (SELECT *, list_filter([CASE WHEN len(titles) = 0 THEN 'NONE' END, CASE WHEN evidence_chars < 1500 THEN 'THIN' END, CASE WHEN spec AND NOT list_contains(kinds, 'spec') THEN 'NO-SPEC-FOR-MECHANISM' END,
   CASE WHEN len(titles) > 0 AND len(list_filter(kinds, lambda x: x <> 'essay')) = 0 THEN 'ESSAY-ONLY' END, CASE WHEN len(titles) > 0 AND len(asked) > 0 AND len(list_filter(titles, lambda x: list_has_any({words_sql('x')}, asked))) = 0 THEN 'TITLE-MISMATCH' END], lambda x: x IS NOT NULL) AS flags FROM q{name})"""
 
@@ -201,6 +201,7 @@ SELECT question_id, query, row_number() OVER (PARTITION BY question_id ORDER BY
     "eval_flags": f"{RUNS} SELECT question_id, array_to_string(flags, ',') AS flags, evidence_chars FROM r3",
     "eval_flag_counts": f"""{RUNS} SELECT category, count(*) AS questions, {', '.join(f"count(*) FILTER ({has_sql(f)}) AS {f.lower().replace('-', '_')}" for f in evaluation.FLAGS)}, count(*) FILTER (len(flags) = 0) AS clean FROM r3 GROUP BY ROLLUP (category)""",
     "eval_worst": f"""{RUNS}, s AS (SELECT question_id, round((CASE WHEN {has_sql('NONE')} THEN 1000 WHEN {has_sql('THIN')} THEN 400 ELSE 0 END + CASE WHEN {has_sql('TITLE-MISMATCH')} THEN 350 ELSE 0 END + CASE WHEN {has_sql('NO-SPEC-FOR-MECHANISM')} THEN 300 ELSE 0 END + CASE WHEN {has_sql('ESSAY-ONLY')} THEN 250 ELSE 0 END
+  + CASE WHEN spec AND len(titles) > 0 AND kinds[1] <> 'spec' AND list_contains(kinds, 'spec') THEN 80 ELSE 0 END + CASE WHEN len(titles) > 0 AND len(list_filter(titles, lambda x: list_has_any({words_sql('x')}, distinctive))) = 0 THEN 60 ELSE 0 END
   + CASE WHEN {has_sql('NONE')} THEN 0 ELSE greatest(0, 1500 - evidence_chars) / 50 END)::DOUBLE, 6) AS severity, evidence_chars FROM r3) SELECT * FROM s ORDER BY severity DESC, evidence_chars, question_id LIMIT 10""",
     "eval_depths": f"{HEAD}, {runs_sql(1, '1')}, {runs_sql(3, '3')} SELECT question_id, a.evidence_chars AS quick_chars, len(a.flags) AS quick_flags, b.evidence_chars AS deep_chars, len(b.flags) AS deep_flags FROM r1 a JOIN r3 b USING (question_id)",
     "eval_rubric": f"{RUBRIC} SELECT *, failed = 0 AS passed FROM res",

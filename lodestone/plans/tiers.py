@@ -142,7 +142,7 @@ SELECT question_id, string_agg('[' || n || '] ' || trim(title, ' ') || ' (' || C
     "tier_spec_summary": f"""WITH {HITS}, q AS (SELECT question_id % 2 = 0 AS e, bool_or(kind = 'brc' AND engages) AS s FROM h GROUP BY question_id)
 SELECT count(*) FILTER (e) AS expected, count(*) FILTER (e AND s) AS met, count(*) FILTER (e AND NOT s) AS missed, count(*) FILTER (NOT e AND s) AS unasked FROM q""",
     "document_cuts": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), {CUT}) AS s FROM documents),
-b AS (SELECT *, instr(reverse(s), chr(10)) AS line, instr(reverse(s), ' .') AS sentence, instr(reverse(s), ' ') AS space FROM d)
+b AS (SELECT *, instr(reverse(s), chr(10)) AS line, coalesce(least(nullif(instr(reverse(s), ' .'), 0), nullif(instr(reverse(s), ' !'), 0), nullif(instr(reverse(s), ' ?'), 0)), 0) AS sentence, instr(reverse(s), ' ') AS space FROM d)
 SELECT doc_id, CASE WHEN length(t) <= {CUT} THEN t WHEN line > 0 AND {CUT} - line + 1 > {CUT} / 2 THEN left(t, {CUT} - line)
   WHEN sentence > 0 AND {CUT} - sentence > {CUT} / 2 THEN left(t, {CUT} - sentence) WHEN space > 0 AND {CUT} - space + 1 > {CUT} / 2 THEN left(t, {CUT} - space) ELSE s END AS cut FROM b""",
     "snapshot_stale": f"WITH {MANIFESTS} SELECT snapshot, strftime(stamp, '%Y-%m-%d') AS updated_on, TIMESTAMP '{AS_OF}' > stamp + INTERVAL {DAYS} DAY AS stale FROM m",
