@@ -15,16 +15,27 @@ INLINE_TAGS = "a|b|i|u|em|strong|span|small|code|img|sup|sub|font|html|body|head
 MOJIBAKE = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\x9d": "”", "â€“": "–", "â€”": "—", "â€¦": "…", "Â©": "©", "Â·": "·", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä"}
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once, however often `of` uses it: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def decoded(text: Column) -> Column:
     """Numeric entities, decimal or hexadecimal, then named ones in either case. Codes of no character vanish."""
-    out = text
-    for pattern, prefix, base in ((r"&#([0-9]{1,7});", "&#", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", "&#[xX]", 16)):
-        codes = F.array_distinct(F.regexp_extract_all(out, F.lit(pattern), F.lit(1)))
-        out = F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, out, _with_code(prefix, base))).otherwise(out)
-    named = out
-    for name, value in ENTITIES.items():
-        named = F.regexp_replace(named, f"(?i)&{name};", value)
-    return F.when(F.contains(out, F.lit("&")), named).otherwise(out)
+    numbers = ((r"&#([0-9]{1,7});", "&#", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", "&#[xX]", 16))
+
+    def coded(out: Column) -> Column:
+        for pattern, prefix, base in numbers:
+            out = bound(out, lambda x: F.aggregate(F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1))), x, _with_code(prefix, base)))
+        return out
+
+    def named(out: Column) -> Column:
+        for name, value in ENTITIES.items():
+            out = F.regexp_replace(out, f"(?i)&{name};", value)
+        return out
+
+    known = bound(text, lambda x: F.when(F.contains(x, F.lit("&#")), coded(x)).otherwise(x))
+    return bound(known, lambda x: F.when(F.contains(x, F.lit("&")), named(x)).otherwise(x))
 
 
 def _with_code(prefix: str, base: int) -> Callable[[Column, Column], Column]:
