@@ -10,6 +10,7 @@ skips row groups by the terms' bounds. Documents are read once, when the index i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,15 +48,17 @@ def _occurrences(field: int) -> Column:
     return F.transform(f"w{field}", lambda w: F.struct(w.alias("term"), F.lit(field).alias("field"), F.lit(1).alias("n")))
 
 
-def build(docs: DataFrame, fields: tuple[str, ...], path: str, buckets: int = BUCKETS) -> TermIndex:
-    """Writes the index of docs (doc_id, the fields; other columns are ignored) to path.
+def build(docs: DataFrame, fields: tuple[str, ...], path: str, buckets: int = BUCKETS, analyse: Callable[[Column], Column] = t.content_words) -> TermIndex:
+    """Writes the index of docs (doc_id, the fields; other columns only where `analyse` uses them) to path.
+
+    analyse: a text's terms; queries must be cut by the same rules (see functions.analysers).
 
     A null field has no words; a document without any still counts in n. doc_id is unique: rows that repeat an id are one
     document with the sum of its counts. No documents give empty tables. Occurrences are counted where they are read, so a
     row a document and term is shuffled.
     """
     spark = docs.sparkSession
-    counted = docs.select("doc_id", *(t.content_words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"w{k}") for k, f in enumerate(fields)))
+    counted = docs.select("doc_id", *(analyse(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"w{k}") for k, f in enumerate(fields)))
     each = [_occurrences(k) for k in range(len(fields))]
     whole = [F.struct(F.lit("").alias("term"), F.lit(k).alias("field"), F.size(f"w{k}").alias("n")) for k in range(len(fields))]
     rows = counted.select("doc_id", F.array(*(F.size(f"w{k}").cast("long") for k in range(len(fields)))).alias("length"), F.explode(F.flatten(F.array(F.array(*whole), *each))).alias("e"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import analysers
 from lodestone.functions import text as t
 from lodestone.operators import retrieval as ops
 from lodestone.operators import term_index
@@ -64,6 +65,27 @@ def second_hop_passages(spark: SparkSession, d: str) -> DataFrame:
     return term_index.second_hop(own, first, term_index.named_ids(first, docs, covered, NAME), TEXT)
 
 
+def _collections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a language as their collection."""
+    name = F.when(F.col("lang") == "de", "news").when(F.col("lang") == "fr", "catalogue").otherwise("archive")
+    return corpus(spark, d).withColumn("collection", name)
+
+
+def collection_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """Each collection's document frequencies, by its own token rules."""
+    terms = analysers.by_collection(F.col("collection"))(F.col("text"))
+    rows = _collections(spark, d).select("collection", F.explode(F.array_distinct(terms)).alias("term"))
+    return rows.groupBy("collection", "term").agg(F.count("*").alias("df"))
+
+
+def news_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The three best documents of one collection for each question, both cut by that collection's rules."""
+    news = analysers.COLLECTIONS["news"]
+    own = term_index.build(_collections(spark, d).filter("collection = 'news'"), ("text",), f"{shared_folder(spark)}/news-index-{uuid.uuid4().hex}", analyse=news.terms)
+    terms = questions(spark, d).select("question_id", F.explode(F.array_distinct(news.terms(F.col("question")))).alias("term"))
+    return ops.top(term_index.search(own, terms, TEXT), 3).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def generic_terms(spark: SparkSession, d: str) -> DataFrame:
     return ops.generic_terms(corpus(spark, d), GENERICS)
 
@@ -144,7 +166,7 @@ def unseen_questions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("question_id").join(shown, "question_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (top_passages, fielded_passages, second_hop_passages, document_frequency, generic_terms, question_variants, best_of_variants, round_robin, prefix_expansions, fuzzy_expansions, prefix_scores, catalogue_spread, diverse_passages, order_freshness, question_shapes, question_terms, seeded_samples, unseen_questions)}
+QUERIES = {f.__name__: f for f in (top_passages, fielded_passages, second_hop_passages, collection_frequency, news_passages, document_frequency, generic_terms, question_variants, best_of_variants, round_robin, prefix_expansions, fuzzy_expansions, prefix_scores, catalogue_spread, diverse_passages, order_freshness, question_shapes, question_terms, seeded_samples, unseen_questions)}
 
 STOP = ", ".join(f"'{w}'" for w in sorted(set(t.STOP_WORDS)))
 
@@ -157,6 +179,13 @@ def content_sql(x: str) -> str:
     return f"list_filter({words_sql(x)}, lambda w: NOT list_contains([{STOP}], w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]$')))"
 
 
+def terms_sql(x: str, a: analysers.Analyser) -> str:
+    """As Analyser.terms without the ids that stay whole: no driver table holds one, tests do."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(t.STOP_WORDS) | a.stop))
+    found = f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"list_filter({found}, lambda w: NOT list_contains([{stop}], w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]$')))"
+
+
 def stem_sql(w: str) -> str:
     return f"CASE WHEN length({w}) > 5 AND ends_with({w}, 'ing') THEN left({w}, length({w}) - 3) WHEN length({w}) > 4 AND ends_with({w}, 'ed') THEN left({w}, length({w}) - 2) WHEN length({w}) > 4 AND ends_with({w}, 'es') THEN left({w}, length({w}) - 2) WHEN length({w}) > 3 AND ends_with({w}, 's') AND NOT ends_with({w}, 'ss') THEN left({w}, length({w}) - 1) ELSE {w} END"
 
@@ -195,6 +224,12 @@ s AS (SELECT DISTINCT user_id AS session FROM events WHERE user_id IS NOT NULL)
 SELECT session, item FROM (SELECT session, ({HASH('session')} % size + i + CASE WHEN session % 3 = 0 THEN 4 ELSE 0 END) % size AS place FROM s, z, range(0, 4) r(i) WHERE i < size) JOIN c USING (place)""",
     "top_passages": f"WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, {top_sql(3, 0.0, 0.25)}",
     "fielded_passages": f"WITH {QUESTIONS}, {docs_sql(FIELDS)}, {SCORED}, {top_sql(4, 2.0, 0.3)}",
+    "collection_frequency": f"""WITH c AS (SELECT CASE lang WHEN 'de' THEN 'news' WHEN 'fr' THEN 'catalogue' ELSE 'archive' END AS collection, text FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT collection, unnest(list_distinct({terms_sql('text', a)})) AS term FROM c WHERE collection = '{n}'" for n, a in analysers.COLLECTIONS.items())}) SELECT collection, term, count(*) AS df FROM k GROUP BY ALL""",
+    "news_passages": f"""WITH asked AS (SELECT item_id AS question_id, 1 AS pos, unnest(list_distinct({terms_sql('text', analysers.COLLECTIONS['news'])})) AS term, 1.0 AS weight FROM benchmark),
+posts AS (SELECT doc_id, unnest({terms_sql('text', analysers.COLLECTIONS['news'])}) AS term, 1.0 AS boost FROM documents WHERE lang = 'de'), sizes AS (SELECT d.doc_id, coalesce(sum(boost), 0) AS length FROM documents d LEFT JOIN posts p ON p.doc_id = d.doc_id WHERE lang = 'de' GROUP BY ALL),
+tf AS (SELECT doc_id, term, sum(boost) AS tf FROM posts WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM sizes), {SCORED}
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 3""",
     "second_hop_passages": f"""WITH {QUESTIONS}, {docs_sql(TEXT)}, {SCORED}, first AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 4),
 covered AS (SELECT question_id, lower(string_agg(x, chr(10))) AS known FROM (SELECT item_id AS question_id, text AS x FROM benchmark UNION ALL SELECT question_id, substr(string_split(text, chr(10))[1], 1, 120) FROM first JOIN documents USING (doc_id)) GROUP BY ALL),
 named AS (SELECT question_id, rank, unnest(regexp_extract_all(text, '{NAME}')) AS query, generate_subscripts(regexp_extract_all(text, '{NAME}'), 1) AS pos FROM first JOIN documents USING (doc_id)),
