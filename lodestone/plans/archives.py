@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import evidence, retrieval
 from lodestone.plans.evidence import C12, _candidates
 from lodestone.plans.live import shared_folder
+from lodestone.plans.retrieval import content_sql
 from lodestone.sources import archives as ops
 from lodestone.sources.tables import questions, table
 
@@ -62,7 +63,13 @@ def evidence_broad(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (catalogue_entries, unquoted_pages, term_names, question_expansions, question_skips, evidence_angles, evidence_broad)}
 SECTION = "CASE p_partkey % 4 WHEN 0 THEN 'apps' WHEN 1 THEN 'blocks' WHEN 2 THEN 'orgs' END"
+KEY = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+ADDED = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') AND NOT contains(lower(text), '{x}') THEN '{x}' END" for p, x in PHRASES)
+HEAD = f"coalesce({', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{x}' END" for p, x in HEADS)}, CASE WHEN len({content_sql('text')}) >= 3 THEN list_filter({content_sql('text')}, lambda w: length(w) > 3)[1] END)"
 ORACLE_SQL = {
+    "question_expansions": f"SELECT item_id AS question_id, unnest(list_distinct(list_filter([{ADDED}, {HEAD}], lambda x: x IS NOT NULL))) AS query FROM benchmark",
+    "question_skips": f"""WITH k AS (SELECT item_id AS question_id, {KEY} AS key FROM benchmark), n AS (SELECT *, len(list_filter(string_split(key, ' '), lambda w: w <> '')) AS n FROM k)
+SELECT question_id, regexp_matches(key, '^(thanks|thank you|hello|hi|ok|okay|great|merci|danke|gracias)( .{{0,12}})?$') AS courtesy, n = 1 AS bare, n <= 3 AS short FROM n""",
     "catalogue_entries": f"SELECT {SECTION} AS section, 'part-' || p_partkey AS id, p_name AS name, p_brand AS category, 'size ' || p_size AS summary, p_type || '|x' AS tags, ('2024-01-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0'))::DATE AS last_updated FROM part",
     "unquoted_pages": "SELECT page_id, md5(regexp_replace(html, '(?s)<div class=\"ad\">.*?</div>', '', 'g')) AS digest FROM pages",
     "term_names": "SELECT c_mktsegment AS item_id, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 5 > 0 GROUP BY ALL",

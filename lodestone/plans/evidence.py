@@ -179,7 +179,13 @@ RUBRIC = f"""{HEAD}, {candidates_sql(1)}, a AS (SELECT item_id AS question_id, c
 res AS (SELECT question_id, question_id % 2 = 0 AS guard, (len(list_filter(must, lambda w: NOT contains(lower(answer), lower(w)))) + contains(lower(answer), 'idiot')::INT + contains(lower(answer), 'password')::INT + (length(answer) < 100)::INT)::BIGINT AS failed FROM a)"""
 TITLE = "concat_ws(' ', tier, string_split(title, ' ')[1])"
 STEMS = f"list_filter(list_transform({content_sql('title')}, lambda w: {stem_sql('w')}), lambda w: length(w) > 2)[1:2]"
+PLAIN = lambda x: f"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+SENTENCES = lambda x: f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
 ORACLE_SQL = {
+    "evidence_prose": f"""{HEAD}, {candidates_sql(2)}, p AS (SELECT question_id AS key, arg_min(excerpt, rank) AS a, arg_max(excerpt, rank) AS b FROM c GROUP BY ALL),
+l AS (SELECT key, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS longer, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS other FROM p),
+k AS (SELECT *, list_transform({SENTENCES('longer')}, lambda s: {PLAIN('s')}) AS known FROM l)
+SELECT key, concat_ws(' ', longer, nullif(array_to_string(list_filter({SENTENCES('other')}, lambda s: {PLAIN('s')} <> '' AND NOT list_contains(known, {PLAIN('s')})), ' '), '')) AS prose FROM k""",
     "evidence_keys": f"""{C12}, k AS (SELECT question_id, doc_id, rank, source, {TITLE} AS title FROM c), s AS (SELECT *, string_split_regex(title, '\\s+[—–-]\\s+|:\\s+')[1] AS head, nullif(trim(regexp_replace(regexp_replace(lower(title), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS title_key FROM k)
 SELECT question_id, CASE WHEN doc_id % 2 = 0 THEN 'principle' ELSE 'essay' END || ':medium:' || (doc_id // 2) AS id, rank, 'medium:' || (doc_id // 2) AS pair, title_key,
   CASE WHEN rank % 2 = 0 THEN 'theme:' || lower(source) ELSE coalesce('series:' || nullif(array_to_string({STEMS.replace('title', 'head')}, '-'), ''), 'title:' || title_key) END AS cluster FROM s""",
