@@ -122,6 +122,22 @@ def spec_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count_if(e).alias("expected"), F.count_if(e & h).alias("met"), F.count_if(e & ~h).alias("missed"), F.count_if(~e & h).alias("unasked"))
 
 
+def file_times(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """snapshot, file_time: when the newest of a snapshot's files was written, from the files' own metadata; a snapshot that isn't
+    there, or has no rows, has none. What freshness() falls back to where a pin has no readable stamp."""
+
+    def one(snapshot: str, path: str) -> DataFrame:
+        try:
+            rows = spark.read.parquet(path).select(F.col("_metadata.file_modification_time").alias("t"))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            rows = spark.createDataFrame([], "t timestamp")
+        return rows.agg(F.max("t").alias("file_time")).select(F.lit(snapshot).alias("snapshot"), "file_time")
+
+    return reduce(DataFrame.unionByName, (one(*x) for x in paths.items()))
+
+
 def freshness(manifests: DataFrame) -> DataFrame:
     """snapshot, updated_at: the newest of its pins' stamps, or of its files' times where a stamp can't be read."""
     stamp = F.coalesce(F.try_to_timestamp("fetched_at"), F.col("file_time").cast("timestamp"))
