@@ -24,8 +24,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = frozenset(".-_*~'·,/")
 #: Log costs of the channel: a letter written as another sign, a letter repeated, a separator put in, a space left out.
 COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_BOUNDARY = -0.7, -1.2, -0.3, -2.5
-#: Decodings that are kept and scored for each hidden word, and the longest stretch that counts as one hidden word.
+#: Decodings that are kept and scored for each hidden word, and the lattice steps that count as one hidden word: 32 letters with
+#: any number of separators and repetitions between them.
 BEST, LONGEST = 8, 64
+#: One step of the lattice: a run of separators and other signs that stand for nothing, or of one letter or telling sign.
+_STEP = re.compile(rf"[^{''.join(sorted(LETTERS))}{re.escape(''.join(LEET))}]+|(.)\1*")
 #: Consecutive single letters that count as a word written with spaces.
 SPACED = 4
 #: Labelled rows of each class that the classifier is fitted on at most (the smallest hashes of the id).
@@ -80,28 +83,32 @@ def trigrams(word: str) -> list[str]:
 
 
 def lattice(word: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """For each run of one character what it may stand for, and the cost. Spaced: a word may end after any letter."""
+    """For each step what it may stand for, and the cost. Spaced: a word may end after any letter."""
     out = []
-    for m in re.finditer(r"(.)\1*", word, re.S):
+    for m in _STEP.finditer(word):
         c, n = m[1], len(m[0])
-        ways = []
+        ways = [] if c else [("", COST_SEPARATOR)]
         for letter, cost in [(c, 0.0)] * (c in LETTERS) + [(x, COST_LEET * n) for x in LEET.get(c, "")]:
             ways.append((letter * min(n, 2), cost if n <= 2 else cost + COST_REPEAT))
             if n > 1:
                 ways.append((letter, cost + COST_REPEAT))
-        if c in SEPARATORS or c not in LETTERS and not ways:
-            ways.append(("", COST_SEPARATOR))
         if spaced:
             ways += [(f"{x} ", cost + COST_BOUNDARY) for x, cost in ways if x]
         out.append(ways)
     return out
 
 
+def stretches(word: str) -> list[str]:
+    """The word in overlapping pieces of at most LONGEST steps, so that each half of that many steps is whole in one."""
+    marks = [m.start() for k, m in enumerate(_STEP.finditer(word)) if k % (LONGEST // 2) == 0] or [0]
+    return [word[a:b] for a, b in zip(marks, [*marks[2:], len(word)])]
+
+
 def decode(word: str, model: CharModel, spaced: bool = False) -> list[str]:
     """The best readings of a hidden word under channel and character model, the most likely first (list Viterbi over the
     last two letters). Ties go by the reading."""
     states: dict[str, list[tuple[float, str]]] = {EDGE * 2: [(0.0, "")]}
-    for ways in lattice(word[:LONGEST], spaced):
+    for ways in lattice(word, spaced):
         new: dict[str, list[tuple[float, str]]] = {}
         for last, paths in states.items():
             for text, cost in ways:
@@ -116,11 +123,13 @@ def decode(word: str, model: CharModel, spaced: bool = False) -> list[str]:
 
 
 def readings(word: str, model: CharModel) -> list[str]:
-    """As decode; what is longer than one hidden word is taken as several, in overlapping stretches."""
+    """As decode; what has more characters than one hidden word has steps is taken as several words too, and only so where it
+    has more steps, in overlapping stretches."""
+    parts = stretches(word)
+    whole = decode(word, model) if len(parts) == 1 else []
     if len(word) <= LONGEST:
-        return decode(word, model)
-    parts = (word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2))
-    return list(dict.fromkeys(w for part in parts for read in decode(part, model, spaced=True) for w in read.split()))
+        return whole
+    return list(dict.fromkeys(whole + [w for part in parts for read in decode(part, model, spaced=True) for w in read.split()]))
 
 
 def likelier(word: str, model: CharModel) -> list[str]:
@@ -162,8 +171,7 @@ class Restored:
                 while a < b:  # cut where the next text begins
                     e = min(b, int(self.offsets[d + 1]))
                     joined = "".join(words[c] for c in self.codes[a:e].tolist())
-                    for k in range(0, len(joined), LONGEST // 2):  # overlapping stretches of a long run
-                        part = joined[k : k + LONGEST]
+                    for part in stretches(joined):
                         if len(part) >= SPACED and sum(c in LETTERS for c in part) >= 2:
                             self.spaced.append((d, [w for read in decode(part, model, spaced=True) for w in read.split()]))
                     a, d = e, d + 1
