@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.operators.graphs import row_components
 
+#: The file that names the version which readers of a snapshot take.
+PIN = "pin.json"
 ITEM = "id string, url string, title string, date string, modified string, tags array<string>, excerpt string"
 
 
@@ -138,8 +141,8 @@ def manifest(items: DataFrame) -> DataFrame:
 
 
 def write_snapshot(items: DataFrame, path: str, version: str) -> str:
-    """Writes a new version beside the others and refuses an empty one. The path written; readers are pointed there by the
-    caller once it has returned."""
+    """Writes a new version beside the others and refuses an empty one. The path written; publish() points readers there once
+    it has returned."""
     if items.isEmpty():
         raise ValueError("an empty fetch doesn't replace a snapshot")
     target = f"{path}/version={version}"
@@ -147,6 +150,32 @@ def write_snapshot(items: DataFrame, path: str, version: str) -> str:
     return target
 
 
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Points readers of `path` to a version that is written whole: the pin is written beside the old one and takes its place
+    in one rename, so a reader finds the old version or the new one, never a part. The last to publish wins. A version whose
+    job hasn't ended is refused."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda name: hadoop.Path(f"{path}/{name}")
+    files = place(PIN).getFileSystem(conf)
+    if not files.exists(place(f"version={version}/_SUCCESS")):
+        raise ValueError(f"version {version} is not written whole")
+    new = f"{PIN}-{uuid.uuid4().hex}"
+    out = files.create(place(new))
+    out.write(bytearray(json.dumps({"version": version}), "utf-8"))
+    out.close()
+    # overwriting is one step here, where FileSystem.rename refuses a name that is taken
+    rename = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    rename[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(place(new), place(PIN), rename)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that readers of `path` are pointed to."""
+    pin = spark.read.schema("version string").json(f"{path}/{PIN}").first()
+    return spark.read.parquet(f"{path}/version={pin.version}")
+
+
 def read_snapshot(spark: SparkSession, path: str | None, schema: str = ITEM) -> DataFrame:
     """A JSON snapshot {pin, documents}; without a path an empty table of the same columns."""
     if path is None:
