@@ -48,6 +48,8 @@ DOUBLED = "|".join(f"{c}{{2}}" for c in sorted(LETTERS))
 #: (at most 64 characters before the @, as mail has it).
 PLAIN = r"://|^www\.|^[0-9.,:+-]*\p{L}{0,2}$"
 ADDRESS = r"^[\p{L}0-9._%+-]{1,64}@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}$"
+#: Runs of one letter.
+_RUN = re.compile(r"((.)\2+)")
 
 
 @dataclass
@@ -108,16 +110,25 @@ def decode(word: str, model: CharModel, spaced: bool = False) -> list[str]:
     """The best readings of a hidden word under channel and character model, the most likely first (list Viterbi over the
     last two letters). Ties go by the reading."""
     states: dict[str, list[tuple[float, str]]] = {EDGE * 2: [(0.0, "")]}
+    logp = model.logp
     for ways in lattice(word, spaced):
         new: dict[str, list[tuple[float, str]]] = {}
+        met = set()
         for last, paths in states.items():
             for text, cost in ways:
                 at, p = last, cost
                 for c in text:
-                    p += model.logp(at + (EDGE if c == " " else c))
+                    p += logp(at + (EDGE if c == " " else c))
                     at = EDGE * 2 if c == " " else at[1] + c
-                new.setdefault(at, []).extend((q + p, read + text) for q, read in paths)
-        states = {at: sorted(set(paths), key=lambda x: (-x[0], x[1]))[:BEST] for at, paths in new.items()}
+                longer = [(q + p, read + text) for q, read in paths]
+                if at in new:
+                    new[at] += longer
+                    met.add(at)
+                else:
+                    new[at] = longer  # in order as it was
+        for at in met:
+            new[at] = sorted(set(new[at]), key=lambda x: (-x[0], x[1]))[:BEST]
+        states = new
     ends = [(q + model.logp(at + EDGE), read) for at, paths in states.items() for q, read in paths]
     return [read.strip() for _, read in sorted(ends, key=lambda x: (-x[0], x[1]))[:BEST]]
 
@@ -125,15 +136,25 @@ def decode(word: str, model: CharModel, spaced: bool = False) -> list[str]:
 def readings(word: str, model: CharModel) -> list[str]:
     """As decode; what has more characters than one hidden word has steps is taken as several words too, and only so where it
     has more steps, in overlapping stretches."""
+    if len(word) <= LONGEST:
+        return decode(word, model)
     parts = stretches(word)
     whole = decode(word, model) if len(parts) == 1 else []
-    if len(word) <= LONGEST:
-        return whole
     return list(dict.fromkeys(whole + [w for part in parts for read in decode(part, model, spaced=True) for w in read.split()]))
 
 
 def likelier(word: str, model: CharModel) -> list[str]:
-    """The readings that the model finds likelier than the word itself."""
+    """The readings that the model finds likelier than the word itself. For a word of known letters, one of them doubled once,
+    the only other reading is without it, and only the trigrams at that place differ."""
+    doubled = _RUN.findall(word)
+    if len(doubled) == 1 and len(doubled[0][0]) == 2 and len(word) <= LONGEST and LETTERS.issuperset(word):
+        padded = f"{EDGE}{EDGE}{word}{EDGE}"
+        c, k = doubled[0][1], padded.index(doubled[0][0])
+        before, a = padded[k - 1], padded[k + 2]
+        kept = model.logp(before + c + c) + model.logp(c + c + a)
+        single = model.logp(before + c + a) + COST_REPEAT
+        once = word[: k - 2] + word[k - 1 :]
+        return [once] if (single, word) > (kept, once) else []
     found = readings(word, model)
     return found[: found.index(word)] if word in found else found
 
@@ -151,11 +172,13 @@ class Restored:
         self.codes, distinct = coded(values)
         words = distinct.to_pylist()
         self.readings: list[list[str]] = [[stripped(w)] for w in words]
-        bare = pa.array([r[0] for r in self.readings], pa.string())
+        self.bare = bare = pa.array([r[0] for r in self.readings], pa.string())
+        self.decoded: list[int] = []
         plain = pc.or_(pc.match_substring_regex(distinct, PLAIN), pc.match_substring_regex(bare, ADDRESS))
         hidden = pc.and_(pc.match_substring_regex(distinct, HIDDEN), pc.invert(plain)).to_numpy(zero_copy_only=False)
         doubled = pc.and_(pc.match_substring_regex(bare, DOUBLED), pc.invert(plain)).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(hidden | doubled).tolist():
+            self.decoded.append(k)
             if words[k] not in memo:
                 if len(memo) > 100_000:
                     memo.clear()
@@ -188,10 +211,21 @@ class Model:
     weights: dict[str, float]
     linear: list[float]
 
+    def heaviest(self, words: pa.Array) -> np.ndarray:
+        """The largest weight among the features of each word, at least 0."""
+        names, weights = pa.array(list(self.weights), pa.string()), np.array([*self.weights.values(), 0.0])
+        best, n = np.zeros(max(1, len(words))), pc.utf8_length(words)
+        stems = [pc.if_else(pc.greater(n, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), "*", ""), None) for k in (4, 5)]
+        for of in (words, *stems):
+            best[: len(words)] = np.maximum(best[: len(words)], weights[pc.fill_null(pc.index_in(of, names), -1).to_numpy(zero_copy_only=False)])
+        return best
+
     def evidence(self, texts: pa.Array, memo: dict[str, list[str]]) -> np.ndarray:
         """For each text: the largest weight of a word, the log of the number of telling words, and of all words."""
         found, get = Restored(texts, self.chars, memo), self.weights.get
-        best = np.array([max((get(f, 0.0) for r in reads for f in features(r)), default=0.0) for reads in found.readings] or [0.0])
+        best = self.heaviest(found.bare)
+        for k in found.decoded:
+            best[k] = max((get(f, 0.0) for r in found.readings[k] for f in features(r)), default=0.0)
         own, at = best[found.codes], found.offsets
         n = len(texts)
         top = np.zeros(n)
