@@ -1,6 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, retrieval
+from lodestone.plans import archives as plans
 from lodestone.sources import archives
 
 
@@ -41,3 +43,14 @@ def test_angles_and_expansions(spark):
     out = {(r.question_id, r.query) for r in retrieval.expanded(q, [(r"(?i)1\s*mb", "block size limit")], [(r"(?i)merkle", "merkle")]).collect()}
     assert out == {(1, "block size limit"), (1, "limit"), (3, "merkle")}
     assert {r.question_id: (r.courtesy, r.bare, r.short) for r in retrieval.reply_skips(q).collect()} == {1: (False, False, False), 2: (True, True, True), 3: (False, False, True)}
+
+
+def test_expansions_and_their_sql_know_the_letters_of_all_languages(spark, tmp_path):
+    texts = ["sie bütion hat drei", "an tion, here", "tion", "_tion 7", "möble élan", "tion2 ble", "äthe of them", "the\n of x", "ewas now gut", "ñwas  nun", "It WAS so", "x²tion", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, plans.question_expansions(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert got == sorted(con.sql(plans.ORACLE_SQL["question_expansions"]).fetchall())
+    added = {i for i, q in got if q in ("ending", "able words")}
+    assert added == {1, 2, 5, 11} and {i for i, q in got if q in ("the of", "was")} == {7, 10}
