@@ -65,3 +65,34 @@ def test_second_hop_asks_for_what_the_first_names(spark, tmp_path):
     assert rows(names) == [(7, 1, "Paymail"), (7, 2, "Handcash")]
     assert rows(ti.second_hop(index, first, names, {"text": 1.0})) == [(7, 1, 1, 1), (7, 2, 1, 2), (7, 2, 2, 5), (7, 2, 3, 3), (8, 1, 1, 4)]
     assert rows(ti.second_hop(index, first, names.limit(0), {"text": 1.0})) == [(7, 1, 1, 1), (8, 1, 1, 4)]
+
+
+def test_scores_are_added_up_by_segment(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ti, "SEGMENT", 4)
+    monkeypatch.setattr(ti, "QUERIES", 2)
+    texts = ["alpha beta", "beta gamma gamma", "alpha alpha delta", "delta", "", None, "gamma beta alpha", "beta gamma gamma"]
+    some = [(100 - k, "Beta" if k % 3 else None, texts[k % 8]) for k in range(30)]
+    docs = spark.createDataFrame(some, "doc_id long, title string, text string").coalesce(2)
+    index = ti.build(docs, ("title", "text"), f"{tmp_path}/segments", 8)
+    posted = index.table("postings")
+    assert posted.filter("bucket >= 0").count() <= 4 * 2 * 5  # a row a segment and term, not one a document and term
+    assert posted.filter("bucket >= 0 and size(at) > 1").count() > 5
+    asked = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma"), (2, 1, "delta beta"), (None, 1, "beta"), (3, 1, "alpha gamma delta")], "question_id long, pos int, query string")
+    terms = asked.select("question_id", "pos", F.explode(F.split("query", " ")).alias("term"), F.col("pos").cast("double").alias("weight"))
+    keys = ("question_id", "pos")
+    every = retrieval.bm25(terms, docs.na.fill(""), BOOSTS, keys=keys)
+    key = lambda df: sorted(map(tuple, df.select(*keys, "doc_id", "score").collect()), key=repr)
+    assert key(ti.search(index, terms, BOOSTS, keys=keys)) == key(every)
+    for k in (1, 3, 100):
+        assert key(ti.best(index, terms, BOOSTS, k, keys)) == key(retrieval.top(every, k, keys))
+    plan = ti.search(index, terms, BOOSTS, keys=keys, most=3)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("hashpartitioning(")[1:] if x.startswith("question_id")]  # no table of all pairs is dealt out
+
+
+def test_rows_of_one_id_are_one_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (1, "alpha gamma gamma"), (None, "beta"), (None, "beta delta"), (3, "")], "doc_id long, text string")
+    index = ti.build(docs, ("text",), f"{tmp_path}/repeated", 8)
+    assert index.table("stats").first()[:] == (4, [9]) and rows(ti.term_frequency(index, ("text",))) == [("alpha", 2), ("beta", 2), ("delta", 1), ("gamma", 1)]
+    terms = spark.createDataFrame([(1, "beta"), (1, "alpha")], "question_id long, term string")
+    found = {r.doc_id for r in ti.best(index, terms, {"text": 1.0}, 5).collect()}
+    assert found == {1, 2, None}
