@@ -30,23 +30,29 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def missing(docs: DataFrame, keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """digest, text: one row of each content of docs (keyed: doc_id, digest) that isn't known. Texts are shuffled once."""
+    lacking = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
+    # the id as a key that is never null: the join's keys are plain columns, so the rows lie by them when one a content is taken
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    left = docs.select(named, normalised(whole_text()).alias("text")).withColumn("digest", F.sha2("text", 256))
+    # repeated rows of an id and text lie together after that join: one of them is encoded, and the cache holds one row a digest
+    return left.join(lacking.select(named, "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("digest", "text")
+
+
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text; other columns are ignored).
 
     Contents are known by the digest of the normalised text, tokenizers by the digest of their file. The two are joined to
-    the cache at cache_path; of the contents it lacks one row each is encoded and appended. Only digests, and each missing
-    content once, are shuffled. One job at a time may append to a cache. A null text counts as empty, a null or repeated doc_id keeps its rows, an empty table gives none.
+    the cache at cache_path; of the contents it lacks one row each is encoded and appended. Digests are shuffled, and
+    texts once where the missing digests are too many to be broadcast. One job at a time may append to a cache. A null text counts as empty, a null or repeated doc_id keeps its rows, an empty table gives none.
     """
     spark, path = docs.sparkSession, tokenizer_path or word_bpe.default_path()
     version = word_bpe.version(path)
     text = whole_text()
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(normalised(text), 256).alias("digest"))
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest")
-    lacking = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    left, right = docs.select("doc_id", normalised(text).alias("text")).withColumn("digest", F.sha2("text", 256)).alias("d"), lacking.alias("m")
-    misses = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi")
-    # repeated rows of an id and text lie together after that join: one of them is encoded, and the cache holds one row a digest
-    misses = misses.dropDuplicates(["doc_id", "digest"]).select("digest", "text")
+    misses = missing(docs, keyed, known)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, keeps=path):

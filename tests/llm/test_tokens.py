@@ -3,7 +3,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import word_bpe
 from lodestone.llm.common import new_path
-from lodestone.llm.token_counts import count_tokens, read_cache
+from lodestone.llm.token_counts import count_tokens, missing, read_cache
 
 TEXTS = ["", None, " \t\n", "One two, three. Don't!", "a<|endoftext|>b <|startoftext|>", "Straße İstanbul ΣΊΣΥΦΟΣ ﬁ ½ x y　z", "été ́x", "one  two,\nthree. don't!", "日本語 🙂🙂 123 4.5", "word " * 5000, "x" * 20000, "A.. b,, c.,", "Éaux. ÉAUX, éaux"]
 
@@ -32,3 +32,19 @@ def test_ids_equal_the_library():
 
     ids, at = word_bpe.text_ids(pa.array([t or "" for t in TEXTS]), word_bpe.default_path())
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(t) for t in TEXTS]
+
+
+def test_missing_texts_are_shuffled_once(spark):
+    rows = [(1, "a b", "p"), (1, "a b", "p"), (2, "a b", "p"), (None, "c", "q"), (None, "c", "q"), (3, "d", "r"), (4, "d", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    keyed = docs.selectExpr("doc_id", "sha2(text, 256) AS digest")
+    known = keyed.filter("doc_id = 3").select("digest")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = missing(docs.select("doc_id", "text"), keyed, known)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("Exchange")  # nothing is dealt out anew behind the join
+        assert sorted(r.text for r in found.collect()) == ["a b", "c"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
