@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 LATE = "10 minutes"
+#: Events of one value of a state's list. A value costs a call of its own on both sides, an event in it next to nothing.
+TOGETHER = 4096
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -120,32 +122,44 @@ class KnownTransactions:
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then walks them by time and id."""
+    """Holds a key's events until the watermark has passed them, then walks them by time and id. Events are held in lists, a
+    list a column, of at most TOGETHER."""
 
     def __init__(self, kind: type):
         self.kind = kind
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.kind.EVENT)
+        self.names, types = zip(*(c.split() for c in self.kind.EVENT.split(", ")))
+        self.held = handle.getListState("held", ", ".join(f"{n} array<{t}>" for n, t in zip(self.names, types)))
         self.state = handle.getValueState("state", self.kind.STATE)
         self.known = KnownTransactions(handle.getMapState("known", "txid string", "one int"))
 
+    @staticmethod
+    def values(column: pd.Series) -> list:
+        """Plain values, None where there is none."""
+        found = column.tolist()
+        return [None if x != x else x for x in found] if column.hasnans else found
+
+    def lists(self, events: list[tuple]) -> list[tuple]:
+        """Events (tuples of the kind's columns) as values of the list state."""
+        return [tuple(map(list, zip(*events[k : k + TOGETHER]))) for k in range(0, len(events), TOGETHER)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.kind.EVENT.split(", ")]
         for some in rows:
-            events = list(some[names].astype(object).where(some[names].notna(), None).itertuples(index=False, name=None))
-            self.held.appendList(events)
+            events = list(zip(*(self.values(some[n]) for n in self.names)))
+            for value in self.lists(events):
+                self.held.appendValue(value)
             self.handle.registerTimer(min(e[0] for e in events) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.held.get(), key=lambda e: e[:2]) if self.held.exists() else []
+        held = sorted((e for x in self.held.get() for e in zip(*x)), key=lambda e: e[:2]) if self.held.exists() else []
         ready = [e for e in held if e[0] // 1000 < until]
         rest = held[len(ready) :]
         if ready and rest:
-            self.held.put(rest)
+            self.held.put(self.lists(rest))
         elif ready:
             self.held.clear()
         if rest:  # the watermark may stand at the very millisecond of the timer that brought us here

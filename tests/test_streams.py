@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import permutations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,19 @@ def last_state(rows):
 
 
 CHANGES = [(7, s, START + timedelta(hours=k), k) for k, s in enumerate(["quoted", "paid", "delivered", "refunded"])]
+
+
+def test_held_events_are_few_values(spark):
+    """A state's list has a value for many events, not one for each; they come back as they were, nulls as well."""
+    own = ordered.InOrder(ordered.Payments)
+    n = 2 * ordered.TOGETHER + 5
+    events = [(k, -k, "quote" if k % 2 else None, None if k % 3 else k / 2, str(k)) for k in range(n)]
+    values = own.lists(events)
+    assert len(values) == 3 and [e for v in values for e in zip(*v)] == events
+    assert own.lists([]) == []
+    assert own.values(pd.Series([1.5, None])) == [1.5, None] and own.values(pd.Series(["a", None])) == ["a", None]
+
+
 LATER = (99, "quoted", START + timedelta(days=9), 100)  # moves the watermark on
 
 
