@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, whole_text, written
+from lodestone.llm.common import documents, told_apart, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -193,8 +193,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(covered, acc["out"]).otherwise(added).alias("out"))
 
     clean = F.aggregate(F.array_sort(F.concat(base, told)), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))))
-    joined = docs.withColumn(digest, F.sha2(whole_text(), 256)).join(by_text, digest, "left")
-    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(columns)
+    asked, alone = told_apart(docs, F.sha2(whole_text(), 256), by_text, F.col(digest))  # texts without any span meet nothing
+    joined = asked.withColumn(digest, F.sha2(whole_text(), 256)).join(by_text, digest, "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(columns).union(alone.select(columns))
 
 
 def fresh(columns: list[str], name: str) -> str:
