@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import documents, slices, whole_text, written
+from lodestone.llm.common import documents, slices, small_batches, whole_text, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs together. More of them leave fewer half-empty sequences; the number of groups grows with the input.
@@ -78,7 +78,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path:
     is packed longest first by the smallest sum of squares, ties by id, piece and digest. A group's memory is bounded by
     group_pieces, the number of groups grows with the input.
     """
-    pieces = written(cut_pieces(docs, tokenizer_path or word_bpe.default_path(), capacity, end_id), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(cut_pieces(docs, tokenizer_path or word_bpe.default_path(), capacity, end_id), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from lodestone.llm import packing
 from lodestone.llm.packing import pack, sum_of_squares
 from tests.llm.test_tokens import TEXTS, library
 
@@ -70,3 +71,12 @@ def test_pack_keeps_every_token(spark):
     same = pack(spark.createDataFrame([(1, "a b")] * 100 + [(None, "a b")] * 100, "doc_id long, text string"), capacity=64, group_pieces=10).collect()
     groups = Counter(r.sequence_id >> 32 for r in same)
     assert len(same) == 200 and len(groups) > 10 and max(groups.values()) < 40
+
+
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "cut_pieces", lambda docs, *a, was=packing.cut_pieces: (seen.append(spark.conf.get(name)), was(docs, *a))[1])
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(5)], "doc_id long, text string")
+    assert packing.pack(docs).count() == 5
+    assert len(seen) == 1 and int(seen[0]) <= 1_000 and spark.conf.get(name) == before
