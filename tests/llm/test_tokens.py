@@ -48,3 +48,29 @@ def test_missing_texts_are_shuffled_once(spark):
         assert sorted(r.text for r in found.collect()) == ["a b", "c"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_are_encoded_together():
+    import pyarrow as pa
+
+    words = word_bpe.WordTokens(word_bpe.default_path())
+
+    class Counted:
+        calls = 0
+
+        def encode(self, *a, was=words.tokenizer, **k):
+            Counted.calls += 1
+            return was.encode(*a, **k)
+
+    words.tokenizer = Counted()
+    odd = [f"x{k}-y!!" for k in range(500)] + ["<|endoftext|>", "a<|startoftext|>b", "don't", "\x00", "ﬁ½", "́x"]
+    plain = [w for k in range(500) for w in (f"wo{'abcdefghij'[k % 10] * (k % 7)}", f"Wo{chr(224 + k % 20)}.", f"É{chr(97 + k % 26)},")]
+    some = sorted({*odd, *plain})
+    whole = Tokenizer.from_file(word_bpe.default_path())
+    want = [whole.encode(w, add_special_tokens=False).ids for w in some]
+    for _ in range(2):  # the second time from what is kept
+        ids, at = words.of(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert Counted.calls < 20
+    ids, at = words.of(pa.array([], pa.string()))
+    assert len(ids) == 0 and at.tolist() == [0]
