@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import coded, discarded, documents, id_remainder, owner, shuffles_dropped, slices, split_words, sums, whole_text, written
+from lodestone.llm.common import coded, discarded, documents, id_remainder, listed, raw_bytes, shuffles_dropped, slices, split_words, sums, whole_text, written
 
 #: Leaves of the code's tree that are words: the most frequent ones, by count and word. Bounded, so broadcast.
 HOT_WORDS = 65_536
@@ -43,6 +43,8 @@ UNIT_BYTES, RANGE_TOKENS = 2 << 20, 1_200_000
 BLOCK, RATE, MOST_STEP = 32, 0.01, 0.25
 #: Tokens whose decisions are laid out at a time; this changes no result.
 CHUNK = 60_000
+#: Texts that go on together, and keys whose predictions are laid out at a time; no result changes.
+TEXTS, SOME_KEYS = 64, 5_000
 #: Added to both counts of a decision in a context of words, and of bytes.
 ADDED, SPELL_ADDED = 0.08, 0.2
 #: How often a decision's node was seen in a context: never, once, two or three times, more often.
@@ -70,9 +72,20 @@ def start_weights() -> np.ndarray:
     return w.reshape(LEVELS * LEVELS, 3)
 
 
+def by_half_doublings(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 4, n, np.minimum(120, np.rint(4 + 2 * np.log2(np.maximum(n, 4) / 4)))).astype(np.uint8)
+
+
+#: What by_half_doublings gives for small counts.
+QUANTISED = by_half_doublings(np.arange(1 << 12))
+
+
 def quantised(n: np.ndarray) -> np.ndarray:
     """Counts in a byte: exact up to 4, then by half doublings."""
-    return np.where(n < 4, n, np.minimum(120, np.rint(4 + 2 * np.log2(np.maximum(n, 4) / 4)))).astype(np.uint8)
+    out = QUANTISED[np.minimum(n, len(QUANTISED) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(QUANTISED))
+    out[large] = by_half_doublings(n[large])
+    return out
 
 
 COUNT = np.where(np.arange(128) < 4, np.arange(128), 4 * 2 ** ((np.arange(128) - 4) / 2))
@@ -151,9 +164,9 @@ def text_units(rows: DataFrame) -> DataFrame:
             values, at = split_words(pc.ascii_lower(b.column("text")))
             codes, distinct = coded(values)
             size = sums(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1, at) + 1
-            row = [(TaskContext.get().partitionId() << 32) + k, b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), size.tolist(), at.tolist(), distinct.to_pylist(), planes(codes.astype(np.uint32))]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in UNITS.split(", ")])
+            lists = [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(at, pa.int32()), distinct.cast(pa.string())]
+            row = [pa.array([(TaskContext.get().partitionId() << 32) + k]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), pa.array([planes(codes.astype(np.uint32))])]
+            yield pa.RecordBatch.from_arrays(row, [c.split()[0] for c in UNITS.split(", ")])
             k += 1
 
     return written(rows.mapInArrow(run, UNITS), "units")
@@ -190,10 +203,12 @@ class Unit:
         size = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(size):
             return np.zeros(0, np.uint64)
-        raw = np.frombuffer("".join(self.words.to_pylist()).encode(), np.uint8)
-        first = np.cumsum(size) - size
+        raw, first = raw_bytes(self.words), np.cumsum(size) - size
         power = np.cumprod(np.full(int(size.max()), MIX2, np.uint64))
-        return mixed(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(raw)) - np.repeat(first, size)], first))
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[np.arange(len(raw)) - np.repeat(first, size)]
+        return mixed(np.add.reduceat(terms, first))
 
     def numbers(self, hot: pa.Array) -> np.ndarray:
         """The place of each word among the hot ones, -1 for others."""
@@ -226,8 +241,11 @@ def word_counts(units: DataFrame) -> DataFrame:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * MIX2
-    return (h ^ (h >> np.uint64(29))) * MIX1
+    h = h ^ (h >> np.uint64(32))
+    h *= MIX2
+    h ^= h >> np.uint64(29)
+    h *= MIX1
+    return h
 
 
 @dataclass
@@ -350,19 +368,29 @@ def replies(asked: DataFrame, shared) -> DataFrame:
 
 def path_planes(rows: np.ndarray, deep: np.ndarray, seen: np.ndarray) -> bytes:
     """The rows of along_paths, depth by depth, each as far as it holds anything, and how often each key was seen."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([deep.tobytes(), seen.tobytes(), *(rows[deep > d, d].tobytes() for d in range(int(deep.max())))]))
+    out, there = [deep.tobytes(), seen.tobytes()], np.flatnonzero(deep)
+    for d in range(int(deep.max())):
+        out.append(rows[there, d].tobytes())
+        there = there[deep.take(there) > d + 1]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unplaned_paths(data: bytes, length: np.ndarray) -> np.ndarray:
     """For each key's path the counts beside it and, at the end, of the key itself; one path after another."""
-    raw, rows, m = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.zeros((len(length), CODE_BITS + 1), np.uint8), len(length)
+    raw, m = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), len(length)
+    ends = np.cumsum(length + 1)
+    out, last = np.zeros(ends[-1], np.uint8), ends - 1
     deep, at = raw[:m], 2 * m
-    for d in range(int(deep.max())):
-        there = np.flatnonzero(deep > d)
-        rows[there, d] = raw[at : at + len(there)]
-        at += len(there)
-    rows[np.arange(m), length] = raw[m : 2 * m]
-    return rows[np.arange(CODE_BITS + 1) <= length[:, None]]
+    there = np.flatnonzero(deep)
+    place = (last - length)[there]
+    deep = deep[there]
+    for d in range(int(raw[:m].max())):
+        out[place + d] = raw[at : at + len(place)]
+        at += len(place)
+        more = deep > d + 1
+        place, deep = place[more], deep[more]
+    out[last] = raw[m : 2 * m]
+    return out
 
 
 _kept: dict = {}
@@ -381,13 +409,13 @@ def predictions(raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nda
     each path one more place, as in raw."""
     x, levels = np.empty(len(raw), np.float32), np.empty(len(raw), np.uint8)
     ends = np.concatenate([[0], np.cumsum(length + 1)])
-    for k in range(0, len(length), 50_000):
-        at = ends[k : k + 50_001]
-        own = raw[at[0] : at[-1]]
-        n = COUNT[own]
+    for k in range(0, len(length), SOME_KEYS):
+        at = ends[k : k + SOME_KEYS + 1]
+        own = raw[at[0] : at[-1]].astype(np.int64)
+        n = COUNT.take(own)
         total = np.cumsum(n)
         below = np.maximum(np.repeat(total[at[1:] - at[0] - 1], np.diff(at)) - total, 0).astype(np.float32)  # on the path after this decision
-        x[at[0] : at[-1]] = np.log(below + np.float32(ADDED)) - LN_COUNT[own]
+        np.subtract(np.log(below + np.float32(ADDED)), LN_COUNT.take(own), out=x[at[0] : at[-1]])
         below += n
         levels[at[0] : at[-1]] = (below > 0.5).view(np.uint8) + (below > 1.5).view(np.uint8) + (below > 3.5).view(np.uint8)
     return x, levels
@@ -399,9 +427,8 @@ def predictions(raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nda
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words (a space ends each), where each begins, and for each byte its hashed contexts: what stands before it
     in the word, up to so many bytes."""
-    raw = [w.encode() + b" " for w in words]
-    symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    symbols = np.frombuffer(" ".join([*words, ""]).encode(), np.uint8).astype(np.int64)
+    at = np.concatenate([[0], np.flatnonzero(symbols == 32) + 1])  # no word holds a space
     into = np.arange(len(symbols)) - np.repeat(at[:-1], np.diff(at))
     before = np.zeros(len(symbols), np.uint64)
     contexts = []
@@ -431,22 +458,22 @@ class Spelling:
         bits = [b for p in found for b, _, _ in p]
         return Spelling(starts, np.array(nodes, np.uint64), np.array(bits, np.uint8), np.zeros(1 << SPELL_BITS, np.int16), np.full((SPELL_GATES, len(SPELL_ORDERS)), 0.4))
 
-    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Where each word's decisions begin, their bits, and their places in the table for each context."""
         symbols, at, contexts = spelled(words)
         n = np.diff(self.starts)[symbols]
         ends = np.concatenate([[0], np.cumsum(n)])
         path = np.repeat(self.starts[symbols] - ends[:-1], n) + np.arange(ends[-1])
-        node = self.nodes[path] * MIX2
-        h = [(mixed(np.repeat(c, n) + node) >> np.uint64(64 - SPELL_BITS)).astype(np.int64) for c in contexts]
-        return ends[at], self.bits[path], np.stack(h)
+        node = self.nodes.take(path) * MIX2
+        h = [(mixed(np.repeat(c, n) + node) >> np.uint64(64 - SPELL_BITS)).view(np.int64) for c in contexts]
+        return ends[at], self.bits.take(path), h
 
-    def inputs(self, places: np.ndarray, bits: np.ndarray, leave_out: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, places: list[np.ndarray], bits: np.ndarray, leave_out: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
         """Predictions for the bit that follows, by context, and the gates. leave_out: without the decision itself."""
-        cells = [self.table[p] for p in places]
-        sign = np.where(bits == 1, 1, -1).astype(np.float32)
-        x = [sign * (SPELL_WITHOUT[bits, cell] if leave_out else SPELL_INPUT[cell]) for cell in cells]
-        return x, np.minimum(SPELL_LEVEL[cells[2]], 2) * 2 + (SPELL_LEVEL[cells[1]] > 2)
+        cells = [self.table.take(p).astype(np.int64) for p in places]
+        sign = np.where(bits == 1, np.float32(1), np.float32(-1))
+        x = [sign * (SPELL_WITHOUT[bits, cell] if leave_out else SPELL_INPUT.take(cell)) for cell in cells]
+        return x, np.minimum(SPELL_LEVEL.take(cells[2]), 2) * 2 + (SPELL_LEVEL.take(cells[1]) > 2)
 
     def logs(self, words: list[str]) -> np.ndarray:
         """ln of each word's probability."""
@@ -454,18 +481,19 @@ class Spelling:
         for k in range(0, len(words), SOME_WORDS):
             at, bits, places = self.places(words[k : k + SOME_WORDS])
             x, gate = self.inputs(places, bits)
-            out.append(-np.add.reduceat(np.log1p(np.exp(-np.clip(dot(x, gate, self.weights), -20, 20))), at[:-1], dtype=np.float64))
+            out.append(-np.add.reduceat(np.log(1 + np.exp(-np.clip(dot(x, gate, self.weights), -20, 20))), at[:-1], dtype=np.float64))
         return np.concatenate(out)
 
 
 def dot(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return sum(v * weights[:, k].astype(np.float32)[gate] for k, v in enumerate(x))
+    gate = gate.astype(np.int64)
+    return sum(v * weights[:, k].astype(np.float32).take(gate) for k, v in enumerate(x))
 
 
 def some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
     for b in slices(batches, "word", 1 << 18):
         for k in range(0, b.num_rows, SOME_WORDS):
-            yield b.column("word").slice(k, SOME_WORDS).to_pylist(), b.column("c").slice(k, SOME_WORDS).to_numpy(zero_copy_only=False)
+            yield listed(b.column("word").slice(k, SOME_WORDS)), b.column("c").slice(k, SOME_WORDS).to_numpy(zero_copy_only=False)
 
 
 def fit_spelling(rare: DataFrame) -> Spelling:
@@ -548,12 +576,22 @@ def spelled_logs(shared, words: list[str]) -> np.ndarray:
 def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
     """ln of each text's probability in the tree. x, levels: predictions, first: where those of each token begin, for both contexts.
 
-    All texts go on block by block together. A block's decisions are mixed by each text's weights; after it the weights
-    follow the gradient of what the block cost."""
-    texts, gates = len(s.at) - 1, LEVELS * LEVELS
-    total, weights = np.zeros(texts), np.tile(start_weights().T, (texts, 1, 1))  # text, context, gate
-    text = owner(s.at)
-    step = (np.arange(len(text)) - s.at[text]) // BLOCK
+    Texts of about one length go on block by block together. A block's decisions are mixed by each text's weights; after it
+    the weights follow the gradient of what the block cost."""
+    size, total = np.diff(s.at), np.zeros(len(s.at) - 1)
+    by = np.argsort(size, kind="stable")
+    for k in range(0, len(by), TEXTS):
+        own = by[k : k + TEXTS]
+        total[own] = _together(s, own, size[own], tree, x, levels, first)
+    return total
+
+
+def _together(s: Symbols, texts: np.ndarray, size: np.ndarray, tree: Tree, x: np.ndarray, levels: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+    gates = LEVELS * LEVELS
+    total, weights = np.zeros(len(texts)), np.tile(start_weights().T, (len(texts), 1, 1))  # text, context, gate
+    text = np.repeat(np.arange(len(texts)), size)
+    into = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    where, step = np.repeat(s.at[texts], size) + into, into // BLOCK
     order = np.argsort(step, kind="stable")
     ends = np.cumsum(np.bincount(step)).tolist()
     k = 0
@@ -562,12 +600,14 @@ def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first
         while last < len(ends) and ends[last] - lo <= CHUNK:
             last += 1
         token = order[lo : ends[last - 1]]
-        each = tree.length[s.symbol[token]]
+        place = where.take(token)
+        symbol = s.symbol.take(place)
+        each = tree.length.take(symbol)
         to = np.concatenate([[0], np.cumsum(each)])
-        inside = np.arange(to[-1]) - np.repeat(to[:-1], each)
-        i, j = (np.repeat(at[token], each) + inside for at in first)
-        a, b, c = tree.plain[np.repeat(tree.start[s.symbol[token]], each) + inside], x[i], x[j]
-        gate = levels[i] * np.uint8(LEVELS) + levels[j]
+        all_of, start = np.arange(to[-1]), to[:-1]
+        i, j = (np.repeat(at.take(place) - start, each) + all_of for at in first)
+        a, b, c = tree.plain.take(np.repeat(tree.start.take(symbol) - start, each) + all_of), x.take(i), x.take(j)
+        gate = levels.take(i) * np.uint8(LEVELS) + levels.take(j)
         for e in ends[k:last]:
             own = text[token[lo - ends[k - 1] if k else lo : e - (ends[k - 1] if k else 0)]]
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) + (lo - (ends[k - 1] if k else 0))
@@ -576,10 +616,11 @@ def text_scores(s: Symbols, tree: Tree, x: np.ndarray, levels: np.ndarray, first
             row = np.repeat(np.arange(len(left)) * gates, np.diff(cut)) + gate[part]
             w = weights[left]
             v = (a[part], b[part], c[part])
-            z = sum(v[m] * w[:, m].ravel()[row] for m in range(3))
-            cost = np.exp(-np.clip(z, -30, 30))
-            total[left] -= np.add.reduceat(np.log1p(cost), cut[:-1] - cut[0], dtype=np.float64)
-            error = cost / (1 + cost)
+            z = sum(v[m] * w[:, m].ravel().take(row) for m in range(3))
+            cost = np.exp(-np.clip(z, -30, 30, out=z), out=z)
+            both = 1 + cost
+            total[left] -= np.add.reduceat(np.log(both), cut[:-1] - cut[0], dtype=np.float64)
+            error = np.divide(cost, both, out=both)
             for m in range(3):
                 g = np.bincount(row, weights=error * v[m], minlength=len(left) * gates).reshape(-1, gates)
                 w[:, m] += np.clip(RATE * g, -MOST_STEP, MOST_STEP)
@@ -616,7 +657,7 @@ def score_units(units: DataFrame, told: DataFrame, shared) -> DataFrame:
         if len(rare):
             _, where = np.unique(h[rare], return_inverse=True)
             c[rare] = np.concatenate([unplaned(got[k], np.uint64) for k in sorted(k for k in got if k[1] >= m.parts)]).astype(np.int64)[where]
-            spelling[rare] = spelled_logs(shared, unit.words.take(pa.array(rare)).to_pylist())
+            spelling[rare] = spelled_logs(shared, listed(unit.words.take(pa.array(rare))))
         own = c[unit.codes]
         columns = [left.column("doc_id").combine_chunks().flatten(), pa.array(unit.held), pa.array(np.diff(unit.at) + 1), pa.array(sums((own > 0).astype(np.int64), unit.at)), pa.array(sums(np.log10(own + 1.0), unit.at)), pa.array(ln + sums(spelling[unit.codes], unit.at)), left.column("size").combine_chunks().flatten()]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in SCORED.split(", ")])

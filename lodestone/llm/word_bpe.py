@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import coded, kept, split_words
+from lodestone.llm.common import coded, kept, listed, split_words
 
 NAME = "word_bpe_49k.json"
 #: Words kept for reuse in one Python worker; beyond that the store starts anew. It bounds memory and changes no result.
@@ -65,7 +65,7 @@ class WordTokens:
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self.each(words)
 
     def by_parts(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
-        parts = [encode(words.slice(k, TOGETHER).to_pylist()) for k in range(0, len(words), TOGETHER)]
+        parts = [encode(listed(words.slice(k, TOGETHER))) for k in range(0, len(words), TOGETHER)]
         return np.concatenate([np.zeros(0, "<u4"), *(ids for ids, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
 
     def learned(self, words: pa.Array) -> np.ndarray:

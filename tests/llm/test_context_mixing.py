@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import context_mixing as cm
 
@@ -159,3 +160,29 @@ def test_a_model_of_the_whole_corpus_beats_single_words(spark):
         rows.append((i, " ".join(text)))
     got = [x for x in cm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
     assert len(got) > 5 and all(x.score > 0.7 * x.base_score for x in got)
+
+
+def test_words_are_hashed_from_their_bytes_wherever_a_slice_begins():
+    words = ["zero", "a", "ab", "é日", "x" * 40, "ba", "last"]
+    hashes = lambda x: cm.Unit(x, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)).hashes()
+    whole = hashes(pa.array(words))
+    assert len(set(whole.tolist())) == len(words)
+    assert hashes(pa.array(words).slice(2, 4)).tolist() == whole[2:6].tolist()
+    assert cm.raw_bytes(pa.array(words).slice(2, 2)).tobytes() == "abé日".encode() and len(cm.raw_bytes(pa.array([], pa.string()))) == 0
+    assert len(hashes(pa.array([], pa.string()))) == 0
+
+
+def test_scores_are_the_same_whatever_texts_go_on_together(monkeypatch):
+    r = np.random.default_rng(1)
+    tree = cm.Tree.of(np.array([50, 30, 20, 5]), 7, 9)
+    size = np.array([1, 90, 0, 33, 64, 200, 2])
+    at = np.concatenate([[0], np.cumsum(size)])
+    s = cm.Symbols(r.integers(0, 6, at[-1]), at, np.ones(at[-1], bool), ())
+    first = [k * at[-1] * 8 + np.arange(at[-1]) * 8 for k in (0, 1)]
+    x, levels = r.normal(size=at[-1] * 16).astype(np.float32), r.integers(0, cm.LEVELS, at[-1] * 16).astype(np.uint8)
+    together = cm.text_scores(s, tree, x, levels, first)
+    assert together[2] == 0 and (together[size > 0] < 0).all()
+    for texts, chunk in ((1, 60_000), (2, 40), (3, 1)):
+        monkeypatch.setattr(cm, "TEXTS", texts)
+        monkeypatch.setattr(cm, "CHUNK", chunk)
+        assert np.allclose(cm.text_scores(s, tree, x, levels, first), together, rtol=1e-6)
